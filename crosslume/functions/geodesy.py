@@ -15,18 +15,23 @@ SPHERE_RADIUS_M = 6371000.0
 METERS_PER_DEGREE = 111320.0
 
 
-def ecef(p: Column) -> Column:
+def ecef_axes(p: Column | dict[str, Column]) -> dict[str, Column]:
     """Earth-centred x, y, z of a lon/lat point on the WGS84 ellipsoid."""
     lon, lat = F.radians(p["x"]), F.radians(p["y"])
     n = F.lit(WGS84_A) / F.sqrt(1.0 - WGS84_E2 * F.sin(lat) * F.sin(lat))
-    return F.struct(
-        (n * F.cos(lat) * F.cos(lon)).alias("x"),
-        (n * F.cos(lat) * F.sin(lon)).alias("y"),
-        (n * (1.0 - WGS84_E2) * F.sin(lat)).alias("z"),
-    )
+    return {
+        "x": n * F.cos(lat) * F.cos(lon),
+        "y": n * F.cos(lat) * F.sin(lon),
+        "z": n * (1.0 - WGS84_E2) * F.sin(lat),
+    }
+
+
+def ecef(p: Column) -> Column:
+    """``ecef_axes`` as one struct."""
+    return F.struct(*[value.alias(axis) for axis, value in ecef_axes(p).items()])
 
 
-def curvature_24(p: Column) -> Column:
+def curvature_24(p: Column | dict[str, Column]) -> Column:
     """24 M N at a point, M and N being the WGS84 radii of curvature."""
     s = F.sin(F.radians(p["y"]))
     w = 1.0 - WGS84_E2 * s * s
@@ -41,7 +46,11 @@ def geodesic_from_chord(chord: Column, curvature: Column) -> Column:
     return chord + chord * chord * chord / curvature
 
 
-def sphere_distance(p: Column, q: Column, radius_m: float = SPHERE_RADIUS_M) -> Column:
+def sphere_distance(
+    p: Column | dict[str, Column],
+    q: Column | dict[str, Column],
+    radius_m: float = SPHERE_RADIUS_M,
+) -> Column:
     """Great-circle distance by the haversine formula."""
     sin_lat = F.sin(F.radians(q["y"] - p["y"]) / 2.0)
     sin_lon = F.sin(F.radians(q["x"] - p["x"]) / 2.0)

@@ -195,50 +195,50 @@ def _hull(points: Column) -> Column:
 
 
 def _best_box(hull: Column) -> Column:
-    """Smallest box over all hull edges: unit direction u and the extents along and across it."""
+    """Smallest box over all hull edges: unit direction u and the extents along and across it.
+
+    The hull lies to the left of its edges, so the lower extent across is that of the edge itself.
+    """
 
     def box(start: Column, k: Column) -> Column:
         end = F.get(hull, (k + 1) % F.size(hull))
+        delta = F.struct((end["x"] - start["x"]).alias("x"), (end["y"] - start["y"]).alias("y"))
+
+        def unit(d: Column) -> Column:
+            length = F.hypot(d["x"], d["y"])
+            return F.struct((d["x"] / length).alias("x"), (d["y"] / length).alias("y"))
 
         def along(u: Column) -> Column:
-            a = F.transform(hull, lambda p: p["x"] * u["ux"] + p["y"] * u["uy"])
-            b = F.transform(hull, lambda p: p["y"] * u["ux"] - p["x"] * u["uy"])
-
-            def extents(s: Column) -> Column:
-                return F.struct(
-                    F.round((s["a1"] - s["a0"]) * (s["b1"] - s["b0"]), 14).alias("area"),
-                    k.alias("k"),
-                    u["ux"].alias("ux"),
-                    u["uy"].alias("uy"),
-                    s["a0"].alias("a0"),
-                    s["a1"].alias("a1"),
-                    s["b0"].alias("b0"),
-                    s["b1"].alias("b1"),
-                )
+            return F.struct(
+                u.alias("u"),
+                F.transform(hull, lambda p: p["x"] * u["x"] + p["y"] * u["y"]).alias("a"),
+                F.array_max(
+                    F.transform(hull, lambda p: p["y"] * u["x"] - p["x"] * u["y"])
+                ).alias("b1"),
+                (start["y"] * u["x"] - start["x"] * u["y"]).alias("b0"),
+            )
 
-            return _let(
-                F.struct(
-                    F.array_min(a).alias("a0"),
-                    F.array_max(a).alias("a1"),
-                    F.array_min(b).alias("b0"),
-                    F.array_max(b).alias("b1"),
-                ),
-                extents,
+        def extents(s: Column) -> Column:
+            return F.struct(
+                s["u"].alias("u"),
+                F.array_min(s["a"]).alias("a0"),
+                F.array_max(s["a"]).alias("a1"),
+                s["b0"].alias("b0"),
+                s["b1"].alias("b1"),
             )
 
-        def unit(d: Column) -> Column:
-            return F.struct((d["x"] / d["r"]).alias("ux"), (d["y"] / d["r"]).alias("uy"))
+        def ranked(s: Column) -> Column:
+            area = (s["a1"] - s["a0"]) * (s["b1"] - s["b0"])
+            return F.struct(F.round(area, 14).alias("area"), k.alias("k"), s.alias("box"))
 
-        delta = F.struct((end["x"] - start["x"]).alias("x"), (end["y"] - start["y"]).alias("y"))
         return _let(
             delta,
             lambda d: _let(
-                F.struct(d["x"].alias("x"), d["y"].alias("y"), F.hypot(d["x"], d["y"]).alias("r")),
-                lambda e: _let(unit(e), along),
+                unit(d), lambda u: _let(along(u), lambda s: _let(extents(s), ranked))
             ),
         )
 
-    return F.array_min(F.transform(hull, box))
+    return F.array_min(F.transform(hull, box))["box"]
 
 
 def _box_ring(box: Column, origin: Column, decimals: int) -> Column:
@@ -246,16 +246,16 @@ def _box_ring(box: Column, origin: Column, decimals: int) -> Column:
 
     def corner(a: str, b: str) -> Column:
         return point(
-            snap(box[a] * box["ux"] - box[b] * box["uy"] + origin["x"], decimals),
-            snap(box[a] * box["uy"] + box[b] * box["ux"] + origin["y"], decimals),
+            snap(box[a] * box["u"]["x"] - box[b] * box["u"]["y"] + origin["x"], decimals),
+            snap(box[a] * box["u"]["y"] + box[b] * box["u"]["x"] + origin["y"], decimals),
         )
 
     def close(corners: Column) -> Column:
-        first = F.array_min(
+        lowest = F.array_min(
             F.transform(corners, lambda c, i: F.struct(c["y"], c["x"], i.alias("i")))
         )["i"]
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(4)), lambda i: F.get(corners, (first + i) % 4)
+        return _let(
+            lowest, lambda first: F.array(*[F.get(corners, (first + i) % 4) for i in (0, 1, 2, 3, 0)])
         )
 
     corners = F.array(corner("a0", "b0"), corner("a1", "b0"), corner("a1", "b1"), corner("a0", "b1"))
@@ -274,7 +274,7 @@ def min_area_rectangle(polygon: Column, decimals: int = SNAP_DECIMALS) -> Column
         vertices = F.flatten(rings)
 
         def from_origin(origin: Column) -> Column:
-            local = F.array_sort(
+            local = F.sort_array(
                 F.array_distinct(
                     F.transform(
                         vertices,
@@ -346,6 +346,7 @@ def segment_crossing(
     ab_is_point = (a["x"] == b["x"]) & (a["y"] == b["y"])
     t = o1 / F.nullif(o1 - o2, F.lit(0.0))
     crossing = point(c["x"] + t * (d["x"] - c["x"]), c["y"] + t * (d["y"] - c["y"]))
+    a, b, c, d = (point(p["x"], p["y"]) for p in (a, b, c, d))
     start = F.greatest(F.least(a, b), F.least(c, d))
     end = F.least(F.greatest(a, b), F.greatest(c, d))
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosslume.functions.geometry import midpoint, point, point_n, snap, snap_point, to_wkt
-from crosslume.operators.skew import HOT_ROWS, HOT_SHARE, split_join
+from crosslume.operators.skew import HOT_ROWS, split_join
 
 
 def crossings(hits: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def _mean(sum_x: Column, sum_y: Column, n: Column) -> Column:
 
 
 def oneway_centers(
-    edges: DataFrame, hits: DataFrame, *, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS
+    edges: DataFrame, hits: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Center 'A' of a one-way crosswalk on every street it meets: the mean of their crossing.
 
@@ -59,8 +59,7 @@ def oneway_centers(
         crosswalks,
         ["crosswalk_id"],
         split_left=["street_segment_id"],
-        share=hot_share,
-        rows=hot_rows,
+        hot_rows=hot_rows,
     )
     center = _mean(F.col("sum_x"), F.col("sum_y"), F.col("n"))
     return met.select(
@@ -116,8 +115,8 @@ def twoway_centers(edges: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def find_crosswalk_centers(
-    edges: DataFrame, hits: DataFrame, *, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS
+    edges: DataFrame, hits: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One-way and two-way centers together."""
-    one = oneway_centers(edges, hits, hot_share=hot_share, hot_rows=hot_rows)
+    one = oneway_centers(edges, hits, hot_rows=hot_rows)
     return one.unionByName(twoway_centers(edges, hits))

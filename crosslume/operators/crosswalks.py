@@ -31,22 +31,21 @@ def simplify_to_rectangle(crosswalks: DataFrame, decimals: int = TEXT_DECIMALS)
 
 def decompose_edges(crosswalks: DataFrame) -> DataFrame:
     """One row per polygon edge: crosswalk_id, ring_id, edge_id (from 1 in each ring), geometry."""
-    return (
-        crosswalks.select(
-            F.col("OBJECTID").cast("long").alias("crosswalk_id"),
-            F.posexplode("geometry").alias("ring", "points"),
-        )
-        .select(
-            "crosswalk_id",
-            (F.col("ring") + 1).cast("long").alias("ring_id"),
-            F.posexplode(ring_edges(F.col("points"))).alias("pos", "edge"),
-        )
-        .select(
-            "crosswalk_id",
-            "ring_id",
-            (F.col("pos") + 1).cast("long").alias("edge_id"),
-            F.array("edge.p", "edge.q").alias("geometry"),
-        )
+    # Outer explodes, as Spark would compute an inner one's array again to filter out empty ones.
+    rings = crosswalks.select(
+        F.col("OBJECTID").cast("long").alias("crosswalk_id"),
+        F.posexplode_outer("geometry").alias("ring", "points"),
+    )
+    edges = rings.select(
+        "crosswalk_id",
+        (F.col("ring") + 1).cast("long").alias("ring_id"),
+        F.posexplode_outer(ring_edges(F.col("points"))).alias("pos", "edge"),
+    )
+    return edges.where(F.col("pos").isNotNull()).select(
+        "crosswalk_id",
+        "ring_id",
+        (F.col("pos") + 1).cast("long").alias("edge_id"),
+        F.array("edge.p", "edge.q").alias("geometry"),
     )
 
 

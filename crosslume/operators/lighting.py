@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import flip_lat_long
 from crosslume.functions.geometry import make_line, midpoint, point_n, snap_point, to_wkt
-from crosslume.operators.skew import HOT_ROWS, HOT_SHARE, hot_keys, split_join
+from crosslume.operators.skew import HOT_ROWS, hot_keys, piece_of, split_join
 from crosslume.operators.spatial_join import CENTER_KEY
 
-# A list longer than LIST_ROWS is cut into parts, as is none shorter. Above LIST_SHARE of all pairs
-# the limit grows with the data, so that fewer than 1 / LIST_SHARE centers are ever cut.
+# Lists longer than LIST_ROWS are cut into parts, those of the LIST_KEYS centers with most lights;
+# any other center has less than 1 / LIST_KEYS of all pairs.
 LIST_ROWS = 100_000
-LIST_SHARE = 1e-5
+LIST_KEYS = 100_000
 
 
 def with_lat_long(df: DataFrame) -> DataFrame:
@@ -25,11 +25,7 @@ def with_lat_long(df: DataFrame) -> DataFrame:
 
 
 def light_lists(
-    centers: DataFrame,
-    pairs: DataFrame,
-    *,
-    list_share: float = LIST_SHARE,
-    list_rows: int = LIST_ROWS,
+    centers: DataFrame, pairs: DataFrame, *, list_rows: int = LIST_ROWS
 ) -> DataFrame:
     """Centers with aligned lists of light ids and distances, in the order of the ids.
 
@@ -38,12 +34,11 @@ def light_lists(
     """
     key = list(CENTER_KEY)
     lights = pairs.select(*key, "streetlight_id", "dist")
-    # Bounded: fewer than 1 / list_share rows.
-    hot = F.broadcast(hot_keys(lights, key, list_share, list_rows))
-    ways = F.coalesce(F.col("ways"), F.lit(1))
+    # Bounded: at most LIST_KEYS rows.
+    hot = F.broadcast(hot_keys(lights, key, list_rows, LIST_KEYS))
     parts = (
         lights.join(hot, key, "left")
-        .withColumn("list_part", F.pmod(F.xxhash64("streetlight_id"), ways).cast("int"))
+        .withColumn("list_part", piece_of(["streetlight_id"], F.col("ways")))
         .groupBy(*key, "list_part")
         .agg(F.array_sort(F.collect_list(F.struct("streetlight_id", "dist"))).alias("lights"))
     )
@@ -114,7 +109,7 @@ def crosswalk_axes(centers: DataFrame) -> DataFrame:
 
 
 def with_axes(
-    centers: DataFrame, *, hot_share: float = HOT_SHARE, hot_rows: int = HOT_ROWS
+    centers: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Centers with the axis of their crosswalk."""
     return split_join(
@@ -122,8 +117,7 @@ def with_axes(
         crosswalk_axes(centers),
         ["crosswalk_id"],
         split_left=["street_segment_id", "center_id"],
-        share=hot_share,
-        rows=hot_rows,
+        hot_rows=hot_rows,
     )
 
 
@@ -182,7 +176,6 @@ def contrast_heuristics(
     threshold: float,
     *,
     keep_geometry: bool = False,
-    hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Contrast and brightness of both sides per (crosswalk, center), 0 where no light is near.
@@ -224,8 +217,7 @@ def contrast_heuristics(
         ["crosswalk_id", "center_id"],
         "left",
         split_left=["geometry"],
-        share=hot_share,
-        rows=hot_rows,
+        hot_rows=hot_rows,
     )
     return scored.select(
         "crosswalk_id",

@@ -7,34 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot above this share of all rows. Fewer than 1 / HOT_SHARE keys can be, whatever the
-# data, which is the size bound of the broadcasts below.
-HOT_SHARE = 1.0 / 1024
-# ... and above this many rows, so that small inputs are left alone.
+# A key with more rows than this is hot and is cut into pieces of about this size.
 HOT_ROWS = 200_000
+# Only this many of the largest keys are cut; any other holds less than 1 / HOT_KEYS of all rows.
+HOT_KEYS = 1024
+# A key is cut into at most this many pieces.
+MAX_WAYS = 512
 
 
 def hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    share: float = HOT_SHARE,
-    rows: int = HOT_ROWS,
-    ways: str = "ways",
+    df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS, top: int = HOT_KEYS
 ) -> DataFrame:
-    """Keys above ``share`` of the rows, with the number of ways to split each; < 1/share rows.
+    """The ``top`` largest keys with more than ``rows`` rows, and in ``ways`` n / rows, rounded up.
 
     Rows are counted with a partial aggregate before the shuffle, so a hot key costs one row per
-    map task here.
+    map task here. The result never has more than ``top`` rows.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    limit = F.greatest(F.coalesce(total, F.lit(0)) * F.lit(float(share)), F.lit(float(rows)))
     return (
-        counts.where(F.col("_n") > limit)
-        .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias(ways))
+        df.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .where(F.col("_n") > rows)
+        .orderBy(F.desc("_n"), *keys)
+        .limit(top)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(float(rows))).alias("ways"))
     )
 
 
+def piece_of(spread: Sequence[str], ways: Column) -> Column:
+    """Piece of a hot key a row belongs to, from a hash of ``spread``; 0 for other keys."""
+    piece = F.when(ways.isNotNull(), F.pmod(F.xxhash64(*spread), ways)).otherwise(F.lit(0))
+    return F.coalesce(piece.cast("int"), F.lit(0))
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,
@@ -43,51 +47,61 @@ def split_join(
     *,
     split_left: Sequence[str] = (),
     split_right: Sequence[str] = (),
-    share: float = HOT_SHARE,
-    rows: int = HOT_ROWS,
+    hot_rows: int = HOT_ROWS,
+    hint: str | None = None,
 ) -> DataFrame:
     """Join on ``keys`` with the hot keys of either side cut into pieces.
 
     ``split_left`` and ``split_right`` name the columns that spread a side's rows of one key; a side
     without them is not split. Every left piece meets every right piece exactly once, so the result
     is that of the plain join. Only an inner join may split the right side.
+
+    ``hint`` is a join strategy; a side that grows by exploding should give "merge", as Spark may
+    judge it by the size of its files and broadcast it.
+
+    A copied row costs one more row to shuffle and meets ``hot_rows`` candidates in return, so the
+    copies never weigh much against the join itself.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"split_join does not support a {how!r} join")
     if how == "left" and split_right:
         raise ValueError("a left join keeps its right side whole")
+    one = F.lit(1).cast("long")
+    ways = F.least(F.col("ways"), F.lit(MAX_WAYS)).cast("long")
     hot = []
     if split_left:
-        hot.append(hot_keys(left, keys, share, rows, "_kl").withColumn("_kr", F.lit(1)))
+        hot.append(
+            hot_keys(left, keys, hot_rows).select(*keys, ways.alias("_kl"), one.alias("_kr"))
+        )
     if split_right:
         hot.append(
-            hot_keys(right, keys, share, rows, "_kr")
-            .withColumn("_kl", F.lit(1))
-            .select(*keys, "_kl", "_kr")
+            hot_keys(right, keys, hot_rows).select(*keys, one.alias("_kl"), ways.alias("_kr"))
         )
     if not hot:
         return left.join(right, list(keys), how)
     splits = hot[0]
     if len(hot) == 2:
         splits = (
-            hot[0].unionByName(hot[1]).groupBy(*keys).agg(
-                F.max("_kl").alias("_kl"), F.max("_kr").alias("_kr")
-            )
+            hot[0]
+            .unionByName(hot[1])
+            .groupBy(*keys)
+            .agg(F.max("_kl").alias("_kl"), F.max("_kr").alias("_kr"))
         )
 
     def cut(df: DataFrame, spread: Sequence[str], own: str, other: str, i: str, j: str) -> DataFrame:
-        """Tag rows with their piece ``i`` and with each piece ``j`` of the other side."""
-        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("_copy")
-        # Bounded: the ways of all hot keys of one side add up to less than 2 / share.
-        ways = F.broadcast(splits.select(*keys, F.col(own).alias("_ways"), copies))
-        tagged = df.join(ways, list(keys), "left")
-        piece = F.lit(0)
-        if spread:
-            piece = F.pmod(F.xxhash64(*spread), F.coalesce("_ways", F.lit(1))).cast("int")
-        return tagged.withColumns({i: piece, j: F.coalesce("_copy", F.lit(0))}).drop("_ways", "_copy")
+        """Tag rows with their piece ``i``, one copy for each piece ``j`` of the other side."""
+        copies = F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1)).alias("_copy")
+        # Bounded: at most 2 * HOT_KEYS keys, each with at most MAX_WAYS copies.
+        pieces = F.broadcast(splits.select(*keys, F.col(own).alias("_ways"), copies))
+        piece = piece_of(spread, F.col("_ways")) if spread else F.lit(0)
+        return (
+            df.join(pieces, list(keys), "left")
+            .withColumns({i: piece, j: F.coalesce("_copy", F.lit(0))})
+            .drop("_ways", "_copy")
+        )
 
-    return (
-        cut(left, split_left, "_kl", "_kr", "_i", "_j")
-        .join(cut(right, split_right, "_kr", "_kl", "_j", "_i"), [*keys, "_i", "_j"], how)
-        .drop("_i", "_j")
-    )
+    cut_left = cut(left, split_left, "_kl", "_kr", "_i", "_j")
+    cut_right = cut(right, split_right, "_kr", "_kl", "_j", "_i")
+    if hint:
+        cut_right = cut_right.hint(hint)
+    return cut_left.join(cut_right, [*keys, "_i", "_j"], how).drop("_i", "_j")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crosslume.functions.geodesy import (
     SPHERE_RADIUS_M,
     curvature_24,
-    ecef,
+    ecef_axes,
     geodesic_from_chord,
     sphere_distance,
 )
@@ -23,7 +23,7 @@ from crosslume.functions.geometry import (
     segments_apart,
     snap_point,
 )
-from crosslume.operators.skew import HOT_ROWS, HOT_SHARE, split_join
+from crosslume.operators.skew import HOT_ROWS, split_join
 
 CELL_DEGREES = 0.001
 MAX_RADIUS_M = 20_000.0
@@ -41,7 +41,10 @@ def _with_cells(df: DataFrame, ends: Sequence[str], cell: float) -> DataFrame:
     pad = cell * 1e-4
 
     def cells(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(F.floor((low - pad) / cell), F.floor((high + pad) / cell)))
+        # Outer, as Spark would compute the array again to filter out empty ones; none is.
+        return F.explode_outer(
+            F.sequence(F.floor((low - pad) / cell), F.floor((high + pad) / cell))
+        )
 
     bounded = df.withColumns(
         {
@@ -73,9 +76,21 @@ def _with_cells(df: DataFrame, ends: Sequence[str], cell: float) -> DataFrame:
     return columns.withColumn("gy", cells(low, high)).select(*df.columns, "gx", "gy")
 
 
-def _end_columns(line: Column, names: Sequence[str]) -> list[Column]:
-    ends = [F.get(line, F.lit(i))[axis] for i in (0, 1) for axis in "xy"]
-    return [end.alias(name) for end, name in zip(ends, names, strict=True)]
+def _real(value: Column) -> Column:
+    """A coordinate as a column that is never NULL, which spares the generated code its checks."""
+    return F.coalesce(value, F.lit(0.0))
+
+
+def _vertex(line: str, index: int) -> Column:
+    return F.get(line, F.lit(index))
+
+
+def _end_columns(p: Column, q: Column, names: str) -> list[Column]:
+    return [
+        _real(end[axis]).alias(f"{name}{axis}")
+        for name, end in zip(names, (p, q), strict=True)
+        for axis in "xy"
+    ]
 
 
 def segment_hits(
@@ -83,7 +98,6 @@ def segment_hits(
     streets: DataFrame,
     cell: float = CELL_DEGREES,
     *,
-    hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Intersections of crosswalk edges with street lines.
@@ -97,26 +111,27 @@ def segment_hits(
     rows where an edge and a street piece overlap along a line.
     """
     left = _with_cells(
-        edges.select(
-            "crosswalk_id", "edge_id", *_end_columns(F.col("geometry"), ("ax", "ay", "bx", "by"))
+        edges.where(F.size("geometry") == 2).select(
+            "crosswalk_id", "edge_id", *_end_columns(_vertex("geometry", 0), _vertex("geometry", 1), "ab")
         ),
         ("ax", "ay", "bx", "by"),
         cell,
     )
-    pieces = streets.select(
-        F.col("OBJECTID").cast("long").alias("street_segment_id"),
-        F.col("ONEWAY").alias("oneway"),
-        F.get("geometry", F.lit(0)).alias("street_start"),
-        F.posexplode(line_pieces(F.col("geometry"))).alias("piece_id", "piece"),
-    ).select(
-        "street_segment_id",
-        "oneway",
-        "street_start",
-        "piece_id",
-        F.col("piece.p.x").alias("cx"),
-        F.col("piece.p.y").alias("cy"),
-        F.col("piece.q.x").alias("dx"),
-        F.col("piece.q.y").alias("dy"),
+    pieces = (
+        streets.select(
+            F.col("OBJECTID").cast("long").alias("street_segment_id"),
+            F.col("ONEWAY").alias("oneway"),
+            _vertex("geometry", 0).alias("street_start"),
+            F.posexplode_outer(line_pieces(F.col("geometry"))).alias("piece_id", "piece"),
+        )
+        .where(F.col("piece_id").isNotNull())
+        .select(
+            "street_segment_id",
+            "oneway",
+            "street_start",
+            "piece_id",
+            *_end_columns(F.col("piece.p"), F.col("piece.q"), "cd"),
+        )
     )
     right = _with_cells(pieces, ("cx", "cy", "dx", "dy"), cell)
     candidates = split_join(
@@ -125,10 +140,10 @@ def segment_hits(
         ["gx", "gy"],
         split_left=["crosswalk_id", "edge_id"],
         split_right=["street_segment_id", "piece_id"],
-        share=hot_share,
-        rows=hot_rows,
+        hot_rows=hot_rows,
+        hint="merge",
     )
-    ends = [point(F.col(f"{n}x"), F.col(f"{n}y")) for n in "abcd"]
+    ends = [{axis: F.col(f"{name}{axis}") for axis in "xy"} for name in "abcd"]
     turns = segment_turns(*ends)
     met = candidates.where(~segments_apart(turns)).withColumn(
         "points", segment_crossing(*ends, turns=turns)
@@ -138,7 +153,7 @@ def segment_hits(
         met.where(F.col("points").isNotNull())
         .where(F.floor(first["x"] / F.lit(cell)) == F.col("gx"))
         .where(F.floor(first["y"] / F.lit(cell)) == F.col("gy"))
-        .withColumn("point", F.explode("points"))
+        .withColumn("point", F.explode_outer("points"))
         .withColumn("point", snap_point(F.col("point")))
         .select(
             "crosswalk_id",
@@ -159,7 +174,6 @@ def lights_within(
     radius_m: float,
     sphere_radius_m: float = SPHERE_RADIUS_M,
     *,
-    hot_share: float = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """All (center, light) pairs at most ``radius_m`` apart on the WGS84 spheroid.
@@ -176,6 +190,26 @@ def lights_within(
     reach = float(radius_m) * (1 + 1e-9) + 1e-6
     edge = 2.0 * reach
     axes = ("x", "y", "z")
+
+    def bins(prefix: str, shift: float) -> dict[str, Column]:
+        # Never NULL, or Spark would compute every bin once more in a filter of its own.
+        return {
+            f"_b{a}": F.coalesce(F.floor((F.col(f"{prefix}{a}") + shift) / edge), F.lit(0))
+            for a in axes
+        }
+
+    def lon_lat(prefix: str) -> dict[str, Column]:
+        return {"x": F.col(f"{prefix}lon"), "y": F.col(f"{prefix}lat")}
+
+    def located(df: DataFrame, prefix: str) -> DataFrame:
+        """Longitude, latitude and x, y, z of the points, as plain columns."""
+        placed = df.where(F.col("geometry.x").isNotNull() & F.col("geometry.y").isNotNull())
+        placed = placed.withColumns(
+            {f"{prefix}lon": _real(F.col("geometry.x")), f"{prefix}lat": _real(F.col("geometry.y"))}
+        )
+        xyz = ecef_axes(lon_lat(prefix))
+        return placed.withColumns({f"{prefix}{a}": _real(xyz[a]) for a in axes})
+
     # A search box is as wide as a bin: it touches two on each axis, the lower end's and the next.
     steps = F.array(
         *[
@@ -184,22 +218,18 @@ def lights_within(
         ]
     )
     left = (
-        centers.where(F.col("geometry").isNotNull())
-        .withColumns({"_c": ecef(F.col("geometry")), "_k24": curvature_24(F.col("geometry"))})
+        located(centers, "_c")
+        .withColumns({"_k24": _real(curvature_24(lon_lat("_c"))), **bins("_c", -reach)})
         .withColumn("_step", F.explode(steps))
-        .withColumns(
-            {f"_b{a}": F.floor((F.col("_c")[a] - reach) / edge) + F.col("_step")[a] for a in axes}
-        )
+        .withColumns({f"_b{a}": F.col(f"_b{a}") + F.col("_step")[a] for a in axes})
         .drop("_step")
     )
     right = (
-        lights.where(F.col("geometry").isNotNull())
-        .select(
-            F.col("OBJECTID").cast("long").alias("streetlight_id"),
-            point(F.col("geometry.x"), F.col("geometry.y")).alias("light"),
-            ecef(F.col("geometry")).alias("_l"),
+        located(
+            lights.select(F.col("OBJECTID").cast("long").alias("streetlight_id"), "geometry"), "_l"
         )
-        .withColumns({f"_b{a}": F.floor(F.col("_l")[a] / edge) for a in axes})
+        .drop("geometry")
+        .withColumns(bins("_l", 0.0))
     )
     joined = split_join(
         left,
@@ -207,19 +237,19 @@ def lights_within(
         ["_bx", "_by", "_bz"],
         split_left=[c for c in CENTER_KEY if c in centers.columns] or centers.columns,
         split_right=["streetlight_id"],
-        share=hot_share,
-        rows=hot_rows,
+        hot_rows=hot_rows,
+        hint="merge",
     )
-    dx, dy, dz = (F.col("_c")[a] - F.col("_l")[a] for a in axes)
-    chord = F.sqrt(dx * dx + dy * dy + dz * dz)
+    dx, dy, dz = (F.col(f"_c{a}") - F.col(f"_l{a}") for a in axes)
     return (
-        joined.where(chord <= reach)
-        .where(geodesic_from_chord(chord, F.col("_k24")) <= float(radius_m))
+        joined.withColumn("_chord", F.sqrt(dx * dx + dy * dy + dz * dz))
+        .where(F.col("_chord") <= reach)
+        .where(geodesic_from_chord(F.col("_chord"), F.col("_k24")) <= float(radius_m))
         .select(
             *centers.columns,
             "streetlight_id",
-            "light",
-            sphere_distance(F.col("geometry"), F.col("light"), sphere_radius_m)
+            point(F.col("_llon"), F.col("_llat")).alias("light"),
+            sphere_distance(lon_lat("_c"), lon_lat("_l"), sphere_radius_m)
             .cast("float")
             .alias("dist"),
         )
