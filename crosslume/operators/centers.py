@@ -5,26 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crosslume.functions.geometry import midpoint, point, point_n, snap, snap_point, to_wkt
+from crosslume.functions.geometry import (
+    SNAP_DECIMALS,
+    midpoint,
+    point,
+    point_n,
+    snap_point,
+    to_wkt,
+)
 from crosslume.operators.skew import HOT_ROWS, split_join
 
 
+# Coordinates are averaged as whole numbers of the snapping unit: sums are exact in any order, and
+# a mean halfway between two units always goes up.
+_UNITS = 10**SNAP_DECIMALS
+
+
+def _units(value: Column) -> Column:
+    return F.floor(value * F.lit(float(_UNITS)) + F.lit(0.5))
+
+
+def _mean(sum_x: Column, sum_y: Column, n: Column) -> Column:
+    def half_up(total: Column) -> Column:
+        twice = 2 * total + n
+        whole = twice - F.pmod(twice, 2 * n)
+        return whole / (2 * n) / F.lit(float(_UNITS))
+
+    return point(half_up(sum_x), half_up(sum_y))
+
+
 def crossings(hits: DataFrame) -> DataFrame:
-    """One row per (crosswalk, street): distinct intersection points summed, and their mean.
+    """One row per (crosswalk, street): the number and sums of its distinct intersection points.
 
     A street through a corner hits two edges in one point, hence the set. It is no larger than the
-    vertices of one street and one ring allow; sorting it makes the sums repeatable.
+    vertices of one street and one ring allow.
     """
 
     def total(axis: str) -> Column:
-        return F.aggregate("points", F.lit(0.0), lambda s, p: s + p[axis])
+        return F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p[axis])
 
+    units = F.struct(_units(F.col("x")).alias("x"), _units(F.col("y")).alias("y"))
     return (
         hits.groupBy("crosswalk_id", "street_segment_id")
-        .agg(
-            F.array_sort(F.collect_set(F.struct("x", "y"))).alias("points"),
-            F.first("street_start").alias("street_start"),
-        )
+        .agg(F.collect_set(units).alias("points"), F.first("street_start").alias("street_start"))
         .select(
             "crosswalk_id",
             "street_segment_id",
@@ -36,10 +59,6 @@ def crossings(hits: DataFrame) -> DataFrame:
     )
 
 
-def _mean(sum_x: Column, sum_y: Column, n: Column) -> Column:
-    return point(snap(sum_x / n), snap(sum_y / n))
-
-
 def oneway_centers(
     edges: DataFrame, hits: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import flip_lat_long
-from crosslume.functions.geometry import make_line, midpoint, point_n, snap_point, to_wkt
+from crosslume.functions.geometry import make_line, midpoint, point_n, to_wkt
 from crosslume.operators.skew import HOT_ROWS, hot_keys, piece_of, split_join
 from crosslume.operators.spatial_join import CENTER_KEY
 
@@ -92,9 +92,7 @@ def crosswalk_axes(centers: DataFrame) -> DataFrame:
     def last(condition: Column, p: Column) -> Column:
         return F.max(F.when(condition & p.isNotNull(), F.struct(to_wkt(p).alias("text"), p.alias("p"))))
 
-    edge_middle = snap_point(
-        midpoint(point_n(F.col("ped_edge_geom"), 1), point_n(F.col("ped_edge_geom"), 2))
-    )
+    edge_middle = midpoint(point_n(F.col("ped_edge_geom"), 1), point_n(F.col("ped_edge_geom"), 2))
     is_b = F.coalesce(F.col("center_id") == "B", F.lit(False))
     b = F.when(is_b, F.col("geometry")).when(F.col("is_oneway"), edge_middle)
     return (
