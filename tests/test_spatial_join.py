@@ -73,8 +73,7 @@ def crosses(p, q):
     return 0 <= t <= 1 and 0 <= u <= 1
 
 
-@pytest.mark.parametrize("cell", [0.0003, 0.001, 0.5])
-@pytest.mark.parametrize("hot_rows", [3, 200_000])
+@pytest.mark.parametrize("cell, hot_rows", [(0.0003, 3), (0.001, 200_000), (0.5, 3)])
 def test_segment_hits_equal_brute_force(spark, cell, hot_rows):
     rng = random.Random(5)
     ours, theirs = random_segments(rng, 120, 0.004), random_segments(rng, 90, 0.03)
@@ -106,8 +105,7 @@ def test_streets_without_geometry_or_with_one_vertex(spark):
     assert segment_hits(box, streets(spark, [(1, "FT", None), (2, "FT", [(0.0, 0.0)])])).count() == 0
 
 
-@pytest.mark.parametrize("hot_rows", [2, 200_000])
-@pytest.mark.parametrize("radius", [20.0, 350.0])
+@pytest.mark.parametrize("radius, hot_rows", [(20.0, 200_000), (350.0, 2)])
 def test_lights_within_equal_brute_force(spark, radius, hot_rows):
     rng = random.Random(11)
     spots = [(-71.06, 42.36), (179.9999, 10.0), (-179.9999, 10.0), (25.0, 80.0), (0.0, 89.9995)]
