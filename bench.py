@@ -39,6 +39,8 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # Call sites of columns are of no use here and cost a round trip to the JVM for each.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="crosslume-bench-"))
         .getOrCreate()

@@ -17,7 +17,7 @@ from crosslume.operators.lighting import (
     with_axes,
     with_lat_long,
 )
-from crosslume.operators.skew import hot_keys, split_join
+from crosslume.operators.skew import hot_keys, prune_to, split_join
 from crosslume.operators.spatial_join import lights_within, segment_hits
 
 __all__ = [
@@ -36,6 +36,7 @@ __all__ = [
     "lookup_distance",
     "oneway_centers",
     "oneway_direction",
+    "prune_to",
     "segment_hits",
     "simplify_to_rectangle",
     "split_join",

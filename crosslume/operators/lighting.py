@@ -10,6 +10,9 @@ from crosslume.functions.geometry import make_line, midpoint, point_n, to_wkt
 from crosslume.operators.skew import HOT_ROWS, hot_keys, piece_of, split_join
 from crosslume.operators.spatial_join import CENTER_KEY
 
+# All of a center that classifying its lights takes; pairs carry no more than this.
+SIDE_COLUMNS = (*CENTER_KEY, "geometry", "from_coord", "to_coord", "a_to_b")
+
 # Lists longer than LIST_ROWS are cut into parts, those of the LIST_KEYS centers with most lights;
 # any other center has less than 1 / LIST_KEYS of all pairs.
 LIST_ROWS = 100_000

@@ -105,3 +105,17 @@ def split_join(
     if hint:
         cut_right = cut_right.hint(hint)
     return cut_left.join(cut_right, [*keys, "_i", "_j"], how).drop("_i", "_j")
+
+
+def prune_to(
+    df: DataFrame, other: DataFrame, keys: Sequence[str], source: DataFrame, rows: int | None
+) -> DataFrame:
+    """``df`` without the rows whose keys ``other`` does not have, if that is cheap to find out.
+
+    Meant for a large ``df`` before its shuffle. The keys of ``other`` are broadcast only when
+    ``source``, the table it was made from, is counted and has at most ``rows`` rows; a larger one, or
+    ``rows`` None, leaves ``df`` as it is, and the join that follows drops the same rows.
+    """
+    if rows is None or source.limit(rows + 1).count() > rows:
+        return df
+    return df.join(F.broadcast(other.select(*keys).distinct()), list(keys), "left_semi")

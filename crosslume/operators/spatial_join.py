@@ -23,7 +23,7 @@ from crosslume.functions.geometry import (
     segments_apart,
     snap_point,
 )
-from crosslume.operators.skew import HOT_ROWS, split_join
+from crosslume.operators.skew import HOT_ROWS, prune_to, split_join
 
 CELL_DEGREES = 0.001
 MAX_RADIUS_M = 20_000.0
@@ -99,12 +99,14 @@ def segment_hits(
     cell: float = CELL_DEGREES,
     *,
     hot_rows: int = HOT_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """Intersections of crosswalk edges with street lines.
 
     Both sides are cut into grid cells and joined on the cell. A pair that shares several cells is
     kept only in the cell of its intersection point, which both segments pass through, so no pair
-    is missed and none comes twice. The street's ``ONEWAY`` code and first vertex travel along: no
+    is missed and none comes twice. With ``small_rows``, edges are counted, and when they are no more
+    than that, street pieces in cells without edges are dropped before the shuffle. The street's ``ONEWAY`` code and first vertex travel along: no
     later step has to join the streets again.
 
     Returns crosswalk_id, edge_id, street_segment_id, piece_id, oneway, street_start, x, y; two
@@ -134,6 +136,7 @@ def segment_hits(
         )
     )
     right = _with_cells(pieces, ("cx", "cy", "dx", "dy"), cell)
+    right = prune_to(right, left, ["gx", "gy"], edges, small_rows)
     candidates = split_join(
         left,
         right,
@@ -175,12 +178,15 @@ def lights_within(
     sphere_radius_m: float = SPHERE_RADIUS_M,
     *,
     hot_rows: int = HOT_ROWS,
+    small_rows: int | None = None,
 ) -> DataFrame:
     """All (center, light) pairs at most ``radius_m`` apart on the WGS84 spheroid.
 
     Points become earth-centred x, y, z and fall into cubes of edge 2 * radius: a light into one, a
     center into the eight that its search box touches. A chord is never longer than the
     geodesic, so no pair is lost, each comes once, and poles and the antimeridian need no care.
+    With ``small_rows``, centers are counted, and when they are no more than that, lights in bins
+    without centers are dropped before the shuffle.
 
     Returns the columns of ``centers`` plus streetlight_id, light (point) and dist, the great-circle
     distance on a sphere as a 32-bit float.
@@ -231,10 +237,12 @@ def lights_within(
         .drop("geometry")
         .withColumns(bins("_l", 0.0))
     )
+    keys = ["_bx", "_by", "_bz"]
+    right = prune_to(right, left, keys, centers, small_rows)
     joined = split_join(
         left,
         right,
-        ["_bx", "_by", "_bz"],
+        keys,
         split_left=[c for c in CENTER_KEY if c in centers.columns] or centers.columns,
         split_right=["streetlight_id"],
         hot_rows=hot_rows,

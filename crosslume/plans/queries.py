@@ -17,6 +17,7 @@ from crosslume.operators.centers import find_crosswalk_centers, oneway_centers,
 from crosslume.operators.crosswalks import decompose_edges, simplify_to_rectangle
 from crosslume.operators.direction import oneway_direction, twoway_direction, vehicle_direction
 from crosslume.operators.lighting import (
+    SIDE_COLUMNS,
     brightness,
     classify_sides,
     contrast_heuristics,
@@ -265,7 +266,8 @@ def _centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     centers = _centers(spark, sf_dir)
     lights = fixtures.streetlights(spark, sf_dir)
-    return centers, lights_within(with_axes(centers), lights, RADIUS_M)
+    axes = stage(with_axes(centers).select(*SIDE_COLUMNS), "axes")
+    return centers, lights_within(axes, lights, RADIUS_M)
 
 
 def _pair_columns() -> list:

@@ -19,6 +19,7 @@ from crosslume.operators.crosswalks import (
 )
 from crosslume.operators.direction import vehicle_direction
 from crosslume.operators.lighting import (
+    SIDE_COLUMNS,
     brightness,
     classify_sides,
     contrast_heuristics,
@@ -34,6 +35,8 @@ from crosslume.sources.tables import read_source
 # Search radius in metres and contrast threshold.
 RADIUS_M = 20.0
 THRESHOLD = 0.01
+# Up to this many edges or centers, streets and lights far from all of them are not shuffled.
+SMALL_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +62,7 @@ def segments_and_hits(
 ) -> tuple[DataFrame, DataFrame]:
     """Classified edges and street hits, both written once and read many times."""
     edges = stage(decompose_edges(simplify_to_rectangle(crosswalks, decimals)), "edges")
-    hits = stage(segment_hits(edges, streets, cell), "hits")
+    hits = stage(segment_hits(edges, streets, cell, small_rows=SMALL_ROWS), "hits")
     return classify_edges(edges, hits, oneway_codes), hits
 
 
@@ -79,7 +82,7 @@ def run_pipeline(
 ) -> Results:
     """Score the lighting of crosswalks.
 
-    Edges, hits, classified segments, centers and pairs are each staged once; the four result tables
+    Edges, hits, classified segments, centers, axes and pairs are each staged once; the four result tables
     are lazy and start from those. The pairs carry all that classification needs, so that the
     largest table is neither joined nor shuffled again before it is summed up.
     """
@@ -91,11 +94,13 @@ def run_pipeline(
     )
     segments = stage(segments, "segments")
     located = stage(vehicle_direction(find_crosswalk_centers(segments, hits)), "centers")
+    centers = located.drop("street_start")
+    # The axes are read for the counts and the join. Every center goes to eight bins and every pair
+    # repeats its center, so both take along only what is needed.
+    axes = stage(with_axes(centers).select(*SIDE_COLUMNS), "axes")
     pairs = stage(
-        lights_within(with_axes(located.drop("street_start")), lights, radius_m, sphere_radius_m),
-        "pairs",
+        lights_within(axes, lights, radius_m, sphere_radius_m, small_rows=SMALL_ROWS), "pairs"
     )
-    centers = located.drop("street_start")
     classified = classify_sides(pairs)
     contrast = contrast_heuristics(classified, centers, threshold, keep_geometry=keep_geometry)
     return Results(

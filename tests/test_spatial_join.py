@@ -128,6 +128,20 @@ def test_lights_within_equal_brute_force(spark, radius, hot_rows):
     assert len(want) > 50
 
 
+def test_pruning_changes_nothing(spark):
+    rng = random.Random(3)
+    ours = [(i, (rng.uniform(0, 0.002), rng.uniform(0, 0.002))) for i in range(40)]
+    theirs = [(i, (rng.uniform(0, 0.01), rng.uniform(0, 0.01))) for i in range(400)]
+    want = None
+    for small in (None, 40, 39):
+        near = lights_within(lights(spark, ours), lights(spark, theirs), 50, small_rows=small)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert ("LeftSemi" in plan) == (small == 40)
+        got = rows_of(near, "OBJECTID", "streetlight_id")
+        assert got == (want or got) and got
+        want = got
+
+
 def test_radius_is_checked(spark):
     some = lights(spark, [(1, (0.0, 0.0))])
     for radius in (0, -1, 1e6):
