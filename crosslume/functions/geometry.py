@@ -6,6 +6,8 @@ Nothing here is a Python UDF: every function returns a ``Column`` built from Spa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -325,32 +327,75 @@ def segment_turns(a: Column, b: Column, c: Column, d: Column) -> dict[str, Colum
 
 def segments_apart(turns: dict[str, Column]) -> Column:
     """TRUE when one segment lies wholly on one side of the other's line."""
+    return (turns["o1"] * turns["o2"] > 0) | (turns["o3"] * turns["o4"] > 0)
 
-    def same_side(s: Column, t: Column) -> Column:
-        return ((s > 0) & (t > 0)) | ((s < 0) & (t < 0))
-
-    return same_side(turns["o1"], turns["o2"]) | same_side(turns["o3"], turns["o4"])
 
-
-def segment_crossing(
-    a: Column, b: Column, c: Column, d: Column, turns: dict[str, Column] | None = None
+def common_points(
+    a: Column,
+    b: Column,
+    c: Column,
+    d: Column,
+    turns: dict[str, Column],
+    bind: Callable[[dict[str, Column]], dict[str, Column]] = dict,
 ) -> Column:
-    """Common points of the closed segments ab and cd, as an array; NULL when they are apart.
+    """Common points of the segments ab and cd, given that they are not ``segments_apart``.
 
-    One point for a crossing or a touch, the two ends for a stretch on one line.
+    ``bind`` may turn intermediate values into columns of a DataFrame, so that each is computed once.
     """
-    turns = turns or segment_turns(a, b, c, d)
     o1, o2, o3 = turns["o1"], turns["o2"], turns["o3"]
-    # Both ends of cd on the line of ab; if ab is a point, it must lie on the line of cd.
+    is_point = (a["x"] == b["x"]) & (a["y"] == b["y"])
+    # For both ends of cd on the line of ab: positions from a along ab, or along cd if ab is a point.
+    way = bind(
+        {
+            f"way_{axis}": F.when(is_point, d[axis] - c[axis]).otherwise(b[axis] - a[axis])
+            for axis in "xy"
+        }
+    )
+    x, y = way["way_x"], way["way_y"]
+    at = bind(
+        {
+            **{
+                f"at_{name}": (p["x"] - a["x"]) * x + (p["y"] - a["y"]) * y
+                for name, p in {"b": b, "c": c, "d": d}.items()
+            },
+            "square": x * x + y * y,
+        }
+    )
+    share = bind(
+        {
+            "cross": o1 / F.nullif(o1 - o2, F.lit(0.0)),
+            "low": F.greatest(F.lit(0.0), F.least(at["at_c"], at["at_d"]))
+            / F.nullif(at["square"], F.lit(0.0)),
+            "high": F.least(at["at_b"], F.greatest(at["at_c"], at["at_d"]))
+            / F.nullif(at["square"], F.lit(0.0)),
+        }
+    )
     on_line = (o1 == 0) & (o2 == 0)
-    ab_is_point = (a["x"] == b["x"]) & (a["y"] == b["y"])
-    t = o1 / F.nullif(o1 - o2, F.lit(0.0))
-    crossing = point(c["x"] + t * (d["x"] - c["x"]), c["y"] + t * (d["y"] - c["y"]))
-    a, b, c, d = (point(p["x"], p["y"]) for p in (a, b, c, d))
-    start = F.greatest(F.least(a, b), F.least(c, d))
-    end = F.least(F.greatest(a, b), F.greatest(c, d))
-    return (
-        F.when(segments_apart(turns), F.lit(None))
-        .when(~on_line, F.array(crossing))
-        .when((start <= end) & (~ab_is_point | (o3 == 0)), F.array_distinct(F.array(start, end)))
+    # The one point of a crossing, or the first and last of a stretch.
+    first = bind(
+        {
+            "first_x": F.when(on_line, a["x"] + share["low"] * x).otherwise(
+                c["x"] + share["cross"] * (d["x"] - c["x"])
+            ),
+            "first_y": F.when(on_line, a["y"] + share["low"] * y).otherwise(
+                c["y"] + share["cross"] * (d["y"] - c["y"])
+            ),
+            "last_x": a["x"] + share["high"] * x,
+            "last_y": a["y"] + share["high"] * y,
+        }
     )
+    one = point(first["first_x"], first["first_y"])
+    touches = ~on_line | ((share["low"] == share["high"]) & (~is_point | (o3 == 0)))
+    return F.when(touches, F.array(one)).when(
+        on_line & (share["low"] < share["high"]),
+        F.array(one, point(first["last_x"], first["last_y"])),
+    )
+
+
+def segment_crossing(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Common points of the closed segments ab and cd, as an array; NULL when there is none.
+
+    One point for a crossing or a touch, the two ends for a stretch on one line.
+    """
+    turns = segment_turns(a, b, c, d)
+    return F.when(~segments_apart(turns), common_points(a, b, c, d, turns))

@@ -16,12 +16,12 @@ from crosslume.functions.geodesy import (
     sphere_distance,
 )
 from crosslume.functions.geometry import (
+    common_points,
     line_pieces,
     point,
-    segment_crossing,
     segment_turns,
     segments_apart,
-    snap_point,
+    snap,
 )
 from crosslume.operators.skew import HOT_ROWS, prune_to, split_join
 
@@ -93,6 +93,17 @@ def _end_columns(p: Column, q: Column, names: str) -> list[Column]:
     ]
 
 
+class _Bound:
+    """A DataFrame that takes intermediate values as columns."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def bind(self, values: dict[str, Column]) -> dict[str, Column]:
+        self.df = self.df.withColumns({f"_{name}": value for name, value in values.items()})
+        return {name: F.col(f"_{name}") for name in values}
+
+
 def segment_hits(
     edges: DataFrame,
     streets: DataFrame,
@@ -103,9 +114,9 @@ def segment_hits(
 ) -> DataFrame:
     """Intersections of crosswalk edges with street lines.
 
-    Both sides are cut into grid cells and joined on the cell. A pair that shares several cells is
-    kept only in the cell of its intersection point, which both segments pass through, so no pair
-    is missed and none comes twice. With ``small_rows``, edges are counted, and when they are no more
+    Both sides are cut into grid cells and joined on the cell. Of a pair that shares several cells, a
+    common point is kept only in its own cell, which both segments pass through, so none is missed
+    and none comes twice. With ``small_rows``, edges are counted, and when they are no more
     than that, street pieces in cells without edges are dropped before the shuffle. The street's ``ONEWAY`` code and first vertex travel along: no
     later step has to join the streets again.
 
@@ -147,17 +158,17 @@ def segment_hits(
         hint="merge",
     )
     ends = [{axis: F.col(f"{name}{axis}") for axis in "xy"} for name in "abcd"]
-    turns = segment_turns(*ends)
-    met = candidates.where(~segments_apart(turns)).withColumn(
-        "points", segment_crossing(*ends, turns=turns)
-    )
-    first = F.get(F.col("points"), F.lit(0))
+    joined = _Bound(candidates)
+    turns = joined.bind(segment_turns(*ends))
+    joined.df = joined.df.where(~segments_apart(turns))
+    points = common_points(*ends, turns, joined.bind)
+    # The points are exploded before they are filtered: a filter on the array would put its whole
+    # expression into the join, and methods of that size are never compiled by the JIT.
+    spot = F.col("spot")
     return (
-        met.where(F.col("points").isNotNull())
-        .where(F.floor(first["x"] / F.lit(cell)) == F.col("gx"))
-        .where(F.floor(first["y"] / F.lit(cell)) == F.col("gy"))
-        .withColumn("point", F.explode_outer("points"))
-        .withColumn("point", snap_point(F.col("point")))
+        joined.df.withColumn("spot", F.explode_outer(points))
+        .where(F.floor(spot["x"] / F.lit(cell)) == F.col("gx"))
+        .where(F.floor(spot["y"] / F.lit(cell)) == F.col("gy"))
         .select(
             "crosswalk_id",
             "edge_id",
@@ -165,8 +176,8 @@ def segment_hits(
             "piece_id",
             "oneway",
             "street_start",
-            F.col("point.x").alias("x"),
-            F.col("point.y").alias("y"),
+            snap(spot["x"]).alias("x"),
+            snap(spot["y"]).alias("y"),
         )
     )
 

@@ -1,4 +1,8 @@
-"""Small hand-made tables."""
+"""Small hand-made tables, and helpers."""
+
+import contextlib
+import io
+import re
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,3 +59,11 @@ def rows_of(df, *columns):
 
 def xy(df, column):
     return df.withColumns({"x": F.col(column)["x"], "y": F.col(column)["y"]})
+
+
+def largest_method(spark, df):
+    """Bytes of the largest method Spark generates for a plan; the JIT skips those above 8000."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("codegen")
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue()))

@@ -2,7 +2,7 @@ import math
 
 import pytest
 from pyspark.sql import functions as F
-from shapes import edges, lights, polygons, rows_of, square, streets
+from shapes import edges, largest_method, lights, polygons, rows_of, square, streets
 
 from crosslume.operators import (
     brightness,
@@ -338,3 +338,14 @@ def test_edges_need_no_streets(spark):
     parts = edges(spark, [(1, 1, [(0.0, 0.0), (1.0, 0.0)])])
     hits = segment_hits(parts, streets(spark, [(1, None, [(5.0, 5.0), (6.0, 6.0)])]))
     assert find_crosswalk_centers(classify_edges(parts, hits), hits).count() == 0
+
+
+def test_generated_methods_are_small_enough_to_compile(spark):
+    centers, pairs, classified, scores = scored(spark)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        near = lights_within(stage(with_axes(centers), "axes"), lights(spark, SPOTS), 20)
+        frames = [near, classify_sides(pairs), scores, light_lists(centers, pairs)]
+        assert max(largest_method(spark, df) for df in frames) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

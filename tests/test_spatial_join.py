@@ -3,7 +3,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from shapes import edges, lights, polygons, rows_of, square, streets
+from shapes import edges, largest_method, lights, polygons, rows_of, square, streets
 from test_geodesy import vincenty
 
 from crosslume.operators import (
@@ -14,6 +14,7 @@ from crosslume.operators import (
     split_join,
 )
 from crosslume.plans import fixtures
+from crosslume.sources import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -163,3 +164,16 @@ def test_joins_never_compare_all_pairs(spark):
             assert "PythonUDF" not in plan and "ArrowEval" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_generated_methods_are_small_enough_to_compile(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = stage(decompose_edges(fixtures.crosswalks(spark, SF)), "parts")
+        found = segment_hits(parts, fixtures.street_segments(spark, SF))
+        spots = stage(fixtures.streetlights(spark, SF), "lights")
+        near = lights_within(spots, fixtures.streetlights(spark, SF), 20)
+        assert largest_method(spark, found) < 8000
+        assert largest_method(spark, near) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
