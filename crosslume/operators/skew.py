@@ -114,8 +114,9 @@ def prune_to(
 
     Meant for a large ``df`` before its shuffle. The keys of ``other`` are broadcast only when
     ``source``, the table it was made from, is counted and has at most ``rows`` rows; a larger one, or
-    ``rows`` None, leaves ``df`` as it is, and the join that follows drops the same rows.
+    ``rows`` None, leaves ``df`` as it is, and the join that follows drops the same rows. Counting a
+    staged table reads its footers only.
     """
-    if rows is None or source.limit(rows + 1).count() > rows:
+    if rows is None or source.count() > rows:
         return df
     return df.join(F.broadcast(other.select(*keys).distinct()), list(keys), "left_semi")

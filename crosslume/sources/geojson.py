@@ -10,6 +10,7 @@ from crosslume.functions.geometry import KINDS, point, snap
 from crosslume.operators.crosswalks import TEXT_DECIMALS
 
 LAYOUTS = ("auto", "lines", "document")
+HEAD_LINES = 20
 # Coordinates on longitude and latitude (EPSG:4326).
 GEOMETRY_METADATA = {"srid": 4326}
 
@@ -19,9 +20,10 @@ _TYPES = {"point": ("Point",), "line": ("LineString",), "polygon": ("Polygon", "
 
 def _layout_of(spark: SparkSession, path: str) -> str:
     """'lines' when features stand on lines of their own, from a few lines at the top."""
-    head = spark.read.text(path).limit(20)
-    kind = F.from_json("value", "type string")["type"]
-    return "lines" if head.where(kind == "Feature").limit(1).count() else "document"
+    # Collecting a limit reads one split after another, and seldom more than the first.
+    kind = F.from_json("value", "type string")["type"].alias("kind")
+    head = spark.read.text(path).limit(HEAD_LINES).select(kind).collect()
+    return "lines" if any(row["kind"] == "Feature" for row in head) else "document"
 
 
 def _features(spark: SparkSession, path: str, layout: str, properties: T.StructType | None):
