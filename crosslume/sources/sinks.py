@@ -25,7 +25,7 @@ def save_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header, geometry as WKT and other nested values as JSON."""
+    """CSV with a header, geometry as WKT and other nested values as JSON; quotes are doubled."""
     flat = geometry_as_wkt(df)
     nested = (T.ArrayType, T.StructType, T.MapType)
     flat.select(
@@ -33,7 +33,7 @@ def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
             F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else f.name
             for f in flat.schema.fields
         ]
-    ).write.mode(mode).option("header", True).csv(path)
+    ).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
 _GEOJSON_TYPES = {"point": "Point", "line": "LineString", "polygon": "Polygon"}
