@@ -18,6 +18,9 @@ POLYGON = T.ArrayType(LINE)
 KINDS = {"point": POINT, "line": LINE, "polygon": POLYGON}
 
 # Decimal places kept for computed coordinates (1e-9 degree is 0.1 mm): equal points compare equal.
+# Fixed value: decimals a coordinate keeps when geometry is loaded or simplified (the default of the
+# WKT writer that geometry passes through there).
+TEXT_DECIMALS = 6
 SNAP_DECIMALS = 9
 
 
@@ -73,6 +76,13 @@ def planar_distance(p: Column, q: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def join_lines(lines: Column) -> Column:
+    """Several lines as one, with a NULL vertex between them: no piece crosses it."""
+    gap = F.array(F.lit(None).cast(KINDS["point"]))
+    apart = F.transform(lines, lambda line, i: F.when(i == 0, line).otherwise(F.concat(gap, line)))
+    return F.flatten(apart)
+
+
 def line_pieces(line: Column) -> Column:
     """array<struct<p,q>> of consecutive vertex pairs, empty below two vertices."""
     n = F.size(line)
@@ -101,12 +111,23 @@ def _coords_text(points: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(texts, ", "), F.lit(")"))
 
 
+def _line_text(line: Column) -> Column:
+    """LINESTRING, or MULTILINESTRING where NULL vertices part it."""
+    texts = F.transform(
+        line, lambda p: F.when(p.isNull(), "|").otherwise(F.format_string(_NUMBERS, p["x"], p["y"]))
+    )
+    body = F.replace(F.array_join(texts, ", "), F.lit(", |, "), F.lit("), ("))
+    return F.when(
+        F.exists(line, lambda p: p.isNull()), F.concat(F.lit("MULTILINESTRING (("), body, F.lit("))"))
+    ).otherwise(F.concat(F.lit("LINESTRING ("), body, F.lit(")")))
+
+
 def to_wkt(geometry: Column, kind: str = "point") -> Column:
     """Canonical WKT with nine decimals, so that equal geometries have equal text."""
     if kind == "point":
         text = F.format_string(f"POINT ({_NUMBERS})", geometry["x"], geometry["y"])
     elif kind == "line":
-        text = F.concat(F.lit("LINESTRING "), _coords_text(geometry))
+        text = _line_text(geometry)
     elif kind == "polygon":
         rings = F.array_join(F.transform(geometry, _coords_text), ", ")
         # A polygon without area is reduced to the segment it covers.
@@ -121,11 +142,14 @@ def to_wkt(geometry: Column, kind: str = "point") -> Column:
 
 _WKT_HEAD = {
     "point": r"(?i)^\s*POINT\s*(Z|M|ZM)?\s*\(",
-    "line": r"(?i)^\s*LINESTRING\s*(Z|M|ZM)?\s*\(",
+    "line": r"(?i)^\s*(MULTI)?LINESTRING\s*(Z|M|ZM)?\s*\(",
     "polygon": r"(?i)^\s*(MULTI)?POLYGON\s*(Z|M|ZM)?\s*\(",
 }
 
 
+_APART = r"[\s)]*\)\s*,\s*\([\s(]*"
+
+
 def _text_point(text: Column) -> Column:
     parts = F.split(F.trim(text), r"\s+")
     return point(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
@@ -138,7 +162,7 @@ def _text_line(text: Column) -> Column:
 def from_wkt(text: Column, kind: str = "point") -> Column:
     """Parse WKT; Z and M values are left out, EMPTY gives NULL, other text raises an error.
 
-    A multipolygon gives the rings of all its parts.
+    A multipolygon gives the rings of all its parts, a multilinestring its lines with a NULL vertex between.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown geometry kind {kind!r}")
@@ -146,9 +170,9 @@ def from_wkt(text: Column, kind: str = "point") -> Column:
     if kind == "point":
         parsed = _text_point(body)
     elif kind == "line":
-        parsed = _text_line(body)
+        parsed = join_lines(F.transform(F.split(body, _APART), _text_line))
     else:
-        parsed = F.transform(F.split(body, r"[\s)]*\)\s*,\s*\([\s(]*"), _text_line)
+        parsed = F.transform(F.split(body, _APART), _text_line)
     return (
         F.when(text.isNull() | text.rlike(r"(?i)^\s*\w+(\s+(Z|M|ZM))?\s+EMPTY\s*$"), F.lit(None))
         .when(text.rlike(_WKT_HEAD[kind]), parsed)

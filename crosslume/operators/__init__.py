@@ -8,6 +8,7 @@ from crosslume.operators.crosswalks import (
 from crosslume.operators.direction import oneway_direction, twoway_direction, vehicle_direction
 from crosslume.operators.lighting import (
     brightness,
+    center_light_pairs,
     classify_sides,
     contrast_heuristics,
     crosswalk_axes,
@@ -17,11 +18,12 @@ from crosslume.operators.lighting import (
     with_axes,
     with_lat_long,
 )
-from crosslume.operators.skew import hot_keys, prune_to, split_join
+from crosslume.operators.skew import hot_keys, key_counts, split_join
 from crosslume.operators.spatial_join import lights_within, segment_hits
 
 __all__ = [
     "brightness",
+    "center_light_pairs",
     "check_unique",
     "classify_edges",
     "classify_sides",
@@ -31,12 +33,12 @@ __all__ = [
     "explode_lights",
     "find_crosswalk_centers",
     "hot_keys",
+    "key_counts",
     "light_lists",
     "lights_within",
     "lookup_distance",
     "oneway_centers",
     "oneway_direction",
-    "prune_to",
     "segment_hits",
     "simplify_to_rectangle",
     "split_join",

@@ -37,17 +37,28 @@ def _mean(sum_x: Column, sum_y: Column, n: Column) -> Column:
 def crossings(hits: DataFrame) -> DataFrame:
     """One row per (crosswalk, street): the number and sums of its distinct intersection points.
 
-    A street through a corner hits two edges in one point, hence the set. It is no larger than the
-    vertices of one street and one ring allow.
+    A street through a corner hits two edges in one point, hence the set. Where it runs along an edge, the
+    two ends of the whole stretch count: a vertex inside is the end of two adjoining pieces and goes.
+    The set is no larger than the vertices of one street and one crosswalk allow.
     """
 
     def total(axis: str) -> Column:
         return F.aggregate("points", F.lit(0).cast("long"), lambda s, p: s + p[axis])
 
     units = F.struct(_units(F.col("x")).alias("x"), _units(F.col("y")).alias("y"))
+    where = ["crosswalk_id", "street_segment_id", "ring_id", "edge_id", "x", "y"]
+    # Each piece counts once at a point; an end of a stretch is met by an odd number of its pieces.
+    pieces = hits.groupBy(*where, "piece_id").agg(
+        F.max("stretch").alias("stretch"), F.min("street_start").alias("street_start")
+    )
+    ends = pieces.groupBy(*where).agg(
+        F.sum(F.col("stretch").cast("int")).alias("n"),
+        F.min("street_start").alias("street_start"),
+    )
     return (
-        hits.groupBy("crosswalk_id", "street_segment_id")
-        .agg(F.collect_set(units).alias("points"), F.first("street_start").alias("street_start"))
+        ends.where("n % 2 = 1 OR n = 0")
+        .groupBy("crosswalk_id", "street_segment_id")
+        .agg(F.collect_set(units).alias("points"), F.min("street_start").alias("street_start"))
         .select(
             "crosswalk_id",
             "street_segment_id",
@@ -66,7 +77,7 @@ def oneway_centers(
 
     The pedestrian edge is the lowest-numbered edge no street hits, NULL when there is none.
     """
-    pedestrian = F.when(~F.col("is_vehicle_edge"), F.struct("edge_id", "geometry"))
+    pedestrian = F.when(~F.col("is_vehicle_edge"), F.struct("ring_id", "edge_id", "geometry"))
     crosswalks = (
         edges.where("is_oneway")
         .groupBy("crosswalk_id")
@@ -109,7 +120,7 @@ def twoway_centers(edges: DataFrame, hits: DataFrame) -> DataFrame:
         )
     )
     edge_middle = midpoint(point_n(F.col("geometry"), 1), point_n(F.col("geometry"), 2))
-    order = Window.partitionBy("crosswalk_id").orderBy("text", "edge_id")
+    order = Window.partitionBy("crosswalk_id").orderBy("text", "ring_id", "edge_id")
     return (
         edges.where(~F.col("is_vehicle_edge") & ~F.col("is_oneway"))
         .withColumn("edge_middle", edge_middle)

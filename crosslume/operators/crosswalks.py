@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosslume.functions.geometry import min_area_rectangle, ring_edges
+from crosslume.functions.geometry import TEXT_DECIMALS, min_area_rectangle, ring_edges
 
-# Decimals a coordinate keeps when geometry is loaded or simplified (the default of
-# the WKT writer that geometry passes through there), and the code of a one-way street.
-TEXT_DECIMALS = 6
+# Fixed value: the code of a one-way street.
 ONEWAY_CODES = ("FT",)
 
 
@@ -57,19 +55,19 @@ def classify_edges(
     An edge hit by any street is a vehicle edge. The street of a crosswalk is the highest of its
     edges' lowest street ids, and the crosswalk is one-way when that street's code says so; both are
     the same on all its edges. ``hits`` is reduced to one row per crosswalk before it meets the
-    edges, so the lists below are no longer than a ring.
+    edges, so the lists below are no longer than its rings.
     """
-    per_edge = hits.groupBy("crosswalk_id", "edge_id").agg(
+    per_edge = hits.groupBy("crosswalk_id", "ring_id", "edge_id").agg(
         F.min(F.struct("street_segment_id", "oneway")).alias("street")
     )
     per_crosswalk = per_edge.groupBy("crosswalk_id").agg(
-        F.max("street").alias("street"), F.collect_set("edge_id").alias("vehicle_edges")
+        F.max("street").alias("street"), F.collect_set(F.struct("ring_id", "edge_id")).alias("vehicle_edges")
     )
     return edges.join(per_crosswalk, "crosswalk_id", "left").select(
         *edges.columns,
-        F.coalesce(F.array_contains("vehicle_edges", F.col("edge_id")), F.lit(False)).alias(
-            "is_vehicle_edge"
-        ),
+        F.coalesce(
+            F.array_contains("vehicle_edges", F.struct("ring_id", "edge_id")), F.lit(False)
+        ).alias("is_vehicle_edge"),
         F.col("street.street_segment_id").alias("street_segment_id"),
         F.coalesce(F.col("street.oneway").isin(*oneway_codes), F.lit(False)).alias("is_oneway"),
     )

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import flip_lat_long
 from crosslume.functions.geometry import make_line, midpoint, point_n, to_wkt
-from crosslume.operators.skew import HOT_ROWS, hot_keys, piece_of, split_join
+from crosslume.operators.skew import HOT_ROWS, key_counts, split_join
 from crosslume.operators.spatial_join import CENTER_KEY
 
 # All of a center that classifying its lights takes; pairs carry no more than this.
 SIDE_COLUMNS = (*CENTER_KEY, "geometry", "from_coord", "to_coord", "a_to_b")
 
-# Lists longer than LIST_ROWS are cut into parts, those of the LIST_KEYS centers with most lights;
-# any other center has less than 1 / LIST_KEYS of all pairs.
+# A list has at most this many lights; a center with more has several.
 LIST_ROWS = 100_000
-LIST_KEYS = 100_000
+
+# The names of the five classes of contrast.
+NO_CONTRAST = "no contrast"
+WEAK_POSITIVE = "weak positive contrast"
+WEAK_NEGATIVE = "weak negative contrast"
+STRONG_POSITIVE = "strong positive contrast"
+STRONG_NEGATIVE = "strong negative contrast"
 
 
 def with_lat_long(df: DataFrame) -> DataFrame:
@@ -27,21 +32,40 @@ def with_lat_long(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- lists
 
 
+def center_light_pairs(centers: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Centers with the id and distance of a light near them, one row for each light.
+
+    A center without lights has one row, with NULL for both.
+    """
+    key = list(CENTER_KEY)
+    lights = pairs.select(*key, "streetlight_id", F.col("dist").alias("streetlight_dist"))
+    lit = split_join(lights, centers, key, split_left=["streetlight_id"])
+    unlit = centers.join(lights.select(*key).distinct(), key, "left_anti")
+    return lit.select(*centers.columns, "streetlight_id", "streetlight_dist").unionByName(
+        unlit, allowMissingColumns=True
+    )
+
+
 def light_lists(
     centers: DataFrame, pairs: DataFrame, *, list_rows: int = LIST_ROWS
 ) -> DataFrame:
     """Centers with aligned lists of light ids and distances, in the order of the ids.
 
-    Centers without lights keep NULL lists. A row cannot hold any number of lights: a center with
-    more than ``list_rows`` gets several rows, told apart by list_part, that hold all of them.
+    Centers without lights keep NULL lists. No list is longer than ``list_rows``: a center with more lights
+    has several rows, told apart by list_part, that hold all of them. ``center_light_pairs`` is the form
+    whose rows do not depend on that.
     """
     key = list(CENTER_KEY)
     lights = pairs.select(*key, "streetlight_id", "dist")
-    # Bounded: at most LIST_KEYS rows.
-    hot = F.broadcast(hot_keys(lights, key, list_rows, LIST_KEYS))
+    ways = key_counts(lights, key).withColumn("ways", F.ceil(F.col("n") / list_rows)).drop("n")
+    # Lights are dealt to as many shares as lists are needed; a share that comes out too long is cut again.
+    dealt = lights.join(ways, key).withColumn(
+        "share", F.pmod(F.xxhash64("streetlight_id"), F.col("ways")).cast("long")
+    )
+    order = Window.partitionBy(*key, "share").orderBy("streetlight_id")
     parts = (
-        lights.join(hot, key, "left")
-        .withColumn("list_part", piece_of(["streetlight_id"], F.col("ways")))
+        dealt.withColumn("again", F.floor((F.row_number().over(order) - 1) / list_rows))
+        .withColumn("list_part", F.col("share") + F.col("ways") * F.col("again"))
         .groupBy(*key, "list_part")
         .agg(F.array_sort(F.collect_list(F.struct("streetlight_id", "dist"))).alias("lights"))
     )
@@ -49,7 +73,7 @@ def light_lists(
         centers.join(parts, key, "left")
         .withColumn("streetlight_id", F.col("lights.streetlight_id"))
         .withColumn("streetlight_dist", F.col("lights.dist"))
-        .withColumn("list_part", F.coalesce("list_part", F.lit(0)))
+        .withColumn("list_part", F.coalesce("list_part", F.lit(0)).cast("int"))
         .drop("lights")
     )
 
@@ -164,10 +188,13 @@ def contrast_label(to_side: Column, from_side: Column, threshold: float) -> Colu
     dark_side = (to_side == 0) | (from_side == 0)
     none = F.when(dark_side, F.lit(threshold / 2)).otherwise(F.lit(threshold * 3 / 4))
     weak = F.when(dark_side, F.lit(threshold * 3 / 4)).otherwise(F.lit(float(threshold)))
-    strength = F.when(diff <= weak, "weak").otherwise("strong")
-    sign = F.when(from_side > to_side, "positive").otherwise("negative")
-    return F.when(diff <= none, "no contrast").otherwise(
-        F.concat_ws(" ", strength, sign, F.lit("contrast"))
+    brighter = from_side > to_side
+    return (
+        F.when(diff <= none, NO_CONTRAST)
+        .when((diff <= weak) & brighter, WEAK_POSITIVE)
+        .when(diff <= weak, WEAK_NEGATIVE)
+        .when(brighter, STRONG_POSITIVE)
+        .otherwise(STRONG_NEGATIVE)
     )
 
 

@@ -9,34 +9,23 @@ from pyspark.sql import functions as F
 
 # A key with more rows than this is hot and is cut into pieces of about this size.
 HOT_ROWS = 200_000
-# Only this many of the largest keys are cut; any other holds less than 1 / HOT_KEYS of all rows.
-HOT_KEYS = 1024
-# A key is cut into at most this many pieces.
-MAX_WAYS = 512
 
 
-def hot_keys(
-    df: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS, top: int = HOT_KEYS
-) -> DataFrame:
-    """The ``top`` largest keys with more than ``rows`` rows, and in ``ways`` n / rows, rounded up.
+def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows ``n`` of every key, summed up before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
-    Rows are counted with a partial aggregate before the shuffle, so a hot key costs one row per
-    map task here. The result never has more than ``top`` rows.
-    """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(top)
-        .select(*keys, F.ceil(F.col("_n") / F.lit(float(rows))).alias("ways"))
-    )
+
+def hot_keys(counts: DataFrame, keys: Sequence[str], rows: int = HOT_ROWS) -> DataFrame:
+    """Every key of ``counts`` with more than ``rows`` rows, and in ``ways`` n / rows, rounded up."""
+    ways = F.ceil(F.col("n") / F.lit(float(rows))).cast("long")
+    return counts.where(F.col("n") > rows).select(*keys, ways.alias("ways"))
 
 
 def piece_of(spread: Sequence[str], ways: Column) -> Column:
     """Piece of a hot key a row belongs to, from a hash of ``spread``; 0 for other keys."""
     piece = F.when(ways.isNotNull(), F.pmod(F.xxhash64(*spread), ways)).otherwise(F.lit(0))
-    return F.coalesce(piece.cast("int"), F.lit(0))
+    return F.coalesce(piece, F.lit(0)).cast("long")
 
 
 def split_join(
@@ -47,6 +36,8 @@ def split_join(
     *,
     split_left: Sequence[str] = (),
     split_right: Sequence[str] = (),
+    left_counts: DataFrame | None = None,
+    right_counts: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
     hint: str | None = None,
 ) -> DataFrame:
@@ -56,6 +47,10 @@ def split_join(
     without them is not split. Every left piece meets every right piece exactly once, so the result
     is that of the plain join. Only an inner join may split the right side.
 
+    Keys are counted unless ``left_counts`` and ``right_counts`` (the keys and ``n``) are given. There may be
+    any number of hot keys and pieces; how their list is joined is left to adaptive execution. Copies
+    are made after the join with the list.
+
     ``hint`` is a join strategy; a side that grows by exploding should give "merge", as Spark may
     judge it by the size of its files and broadcast it.
 
@@ -67,16 +62,13 @@ def split_join(
     if how == "left" and split_right:
         raise ValueError("a left join keeps its right side whole")
     one = F.lit(1).cast("long")
-    ways = F.least(F.col("ways"), F.lit(MAX_WAYS)).cast("long")
     hot = []
     if split_left:
-        hot.append(
-            hot_keys(left, keys, hot_rows).select(*keys, ways.alias("_kl"), one.alias("_kr"))
-        )
+        counts = key_counts(left, keys) if left_counts is None else left_counts
+        hot.append(hot_keys(counts, keys, hot_rows).select(*keys, F.col("ways").alias("_kl"), one.alias("_kr")))
     if split_right:
-        hot.append(
-            hot_keys(right, keys, hot_rows).select(*keys, one.alias("_kl"), ways.alias("_kr"))
-        )
+        counts = key_counts(right, keys) if right_counts is None else right_counts
+        hot.append(hot_keys(counts, keys, hot_rows).select(*keys, one.alias("_kl"), F.col("ways").alias("_kr")))
     if not hot:
         return left.join(right, list(keys), how)
     splits = hot[0]
@@ -90,14 +82,14 @@ def split_join(
 
     def cut(df: DataFrame, spread: Sequence[str], own: str, other: str, i: str, j: str) -> DataFrame:
         """Tag rows with their piece ``i``, one copy for each piece ``j`` of the other side."""
-        copies = F.explode(F.sequence(F.lit(0), F.col(other).cast("int") - 1)).alias("_copy")
-        # Bounded: at most 2 * HOT_KEYS keys, each with at most MAX_WAYS copies.
-        pieces = F.broadcast(splits.select(*keys, F.col(own).alias("_ways"), copies))
-        piece = piece_of(spread, F.col("_ways")) if spread else F.lit(0)
+        ways = splits.select(*keys, F.col(own).alias("_ways"), F.col(other).alias("_copies"))
+        copies = F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", one) - 1)
+        piece = piece_of(spread, F.col("_ways")) if spread else F.lit(0).cast("long")
         return (
-            df.join(pieces, list(keys), "left")
-            .withColumns({i: piece, j: F.coalesce("_copy", F.lit(0))})
-            .drop("_ways", "_copy")
+            df.join(ways, list(keys), "left")
+            .withColumn(i, piece)
+            .withColumn(j, F.explode_outer(copies))
+            .drop("_ways", "_copies")
         )
 
     cut_left = cut(left, split_left, "_kl", "_kr", "_i", "_j")
@@ -105,18 +97,3 @@ def split_join(
     if hint:
         cut_right = cut_right.hint(hint)
     return cut_left.join(cut_right, [*keys, "_i", "_j"], how).drop("_i", "_j")
-
-
-def prune_to(
-    df: DataFrame, other: DataFrame, keys: Sequence[str], source: DataFrame, rows: int | None
-) -> DataFrame:
-    """``df`` without the rows whose keys ``other`` does not have, if that is cheap to find out.
-
-    Meant for a large ``df`` before its shuffle. The keys of ``other`` are broadcast only when
-    ``source``, the table it was made from, is counted and has at most ``rows`` rows; a larger one, or
-    ``rows`` None, leaves ``df`` as it is, and the join that follows drops the same rows. Counting a
-    staged table reads its footers only.
-    """
-    if rows is None or source.count() > rows:
-        return df
-    return df.join(F.broadcast(other.select(*keys).distinct()), list(keys), "left_semi")

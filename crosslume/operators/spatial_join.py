@@ -23,7 +23,8 @@ from crosslume.functions.geometry import (
     segments_apart,
     snap,
 )
-from crosslume.operators.skew import HOT_ROWS, prune_to, split_join
+from crosslume.operators.skew import HOT_ROWS, key_counts, split_join
+from crosslume.sources.staging import stage
 
 CELL_DEGREES = 0.001
 MAX_RADIUS_M = 20_000.0
@@ -77,10 +78,15 @@ def _with_cells(df: DataFrame, ends: Sequence[str], cell: float) -> DataFrame:
 
 
 def _real(value: Column) -> Column:
-    """A coordinate as a column that is never NULL, which spares the generated code its checks."""
+    """A coordinate that is not NULL as a column of that kind, which spares the generated code its checks."""
     return F.coalesce(value, F.lit(0.0))
 
 
+def _known(p: Column, q: Column) -> Column:
+    """Whether both ends have coordinates; pieces that lack one meet nothing."""
+    return p["x"].isNotNull() & p["y"].isNotNull() & q["x"].isNotNull() & q["y"].isNotNull()
+
+
 def _vertex(line: str, index: int) -> Column:
     return F.get(line, F.lit(index))
 
@@ -110,22 +116,21 @@ def segment_hits(
     cell: float = CELL_DEGREES,
     *,
     hot_rows: int = HOT_ROWS,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """Intersections of crosswalk edges with street lines.
 
     Both sides are cut into grid cells and joined on the cell. Of a pair that shares several cells, a
     common point is kept only in its own cell, which both segments pass through, so none is missed
-    and none comes twice. With ``small_rows``, edges are counted, and when they are no more
-    than that, street pieces in cells without edges are dropped before the shuffle. The street's ``ONEWAY`` code and first vertex travel along: no
-    later step has to join the streets again.
+    and none comes twice. The street's ``ONEWAY`` code and first vertex travel along: no
+    later step has to join the streets again. Pieces and edges with a NULL vertex meet nothing, so the parts of
+    a line that NULL vertices separate stay apart.
 
-    Returns crosswalk_id, edge_id, street_segment_id, piece_id, oneway, street_start, x, y; two
-    rows where an edge and a street piece overlap along a line.
+    Returns crosswalk_id, ring_id, edge_id, street_segment_id, piece_id, oneway, street_start, stretch, x, y;
+    two rows, with ``stretch`` TRUE, where an edge and a street piece share more than a point.
     """
     left = _with_cells(
-        edges.where(F.size("geometry") == 2).select(
-            "crosswalk_id", "edge_id", *_end_columns(_vertex("geometry", 0), _vertex("geometry", 1), "ab")
+        edges.where((F.size("geometry") == 2) & _known(_vertex("geometry", 0), _vertex("geometry", 1))).select(
+            "crosswalk_id", "ring_id", "edge_id", *_end_columns(_vertex("geometry", 0), _vertex("geometry", 1), "ab")
         ),
         ("ax", "ay", "bx", "by"),
         cell,
@@ -137,7 +142,7 @@ def segment_hits(
             _vertex("geometry", 0).alias("street_start"),
             F.posexplode_outer(line_pieces(F.col("geometry"))).alias("piece_id", "piece"),
         )
-        .where(F.col("piece_id").isNotNull())
+        .where(F.col("piece_id").isNotNull() & _known(F.col("piece.p"), F.col("piece.q")))
         .select(
             "street_segment_id",
             "oneway",
@@ -147,12 +152,11 @@ def segment_hits(
         )
     )
     right = _with_cells(pieces, ("cx", "cy", "dx", "dy"), cell)
-    right = prune_to(right, left, ["gx", "gy"], edges, small_rows)
     candidates = split_join(
         left,
         right,
         ["gx", "gy"],
-        split_left=["crosswalk_id", "edge_id"],
+        split_left=["crosswalk_id", "ring_id", "edge_id"],
         split_right=["street_segment_id", "piece_id"],
         hot_rows=hot_rows,
         hint="merge",
@@ -166,16 +170,20 @@ def segment_hits(
     # expression into the join, and methods of that size are never compiled by the JIT.
     spot = F.col("spot")
     return (
-        joined.df.withColumn("spot", F.explode_outer(points))
+        joined.df.withColumn("_points", points)
+        .withColumn("_many", F.size("_points") > 1)
+        .withColumn("spot", F.explode_outer("_points"))
         .where(F.floor(spot["x"] / F.lit(cell)) == F.col("gx"))
         .where(F.floor(spot["y"] / F.lit(cell)) == F.col("gy"))
         .select(
             "crosswalk_id",
+            "ring_id",
             "edge_id",
             "street_segment_id",
             "piece_id",
             "oneway",
             "street_start",
+            F.col("_many").alias("stretch"),
             snap(spot["x"]).alias("x"),
             snap(spot["y"]).alias("y"),
         )
@@ -189,15 +197,13 @@ def lights_within(
     sphere_radius_m: float = SPHERE_RADIUS_M,
     *,
     hot_rows: int = HOT_ROWS,
-    small_rows: int | None = None,
 ) -> DataFrame:
     """All (center, light) pairs at most ``radius_m`` apart on the WGS84 spheroid.
 
     Points become earth-centred x, y, z and fall into cubes of edge 2 * radius: a light into one, a
     center into the eight that its search box touches. A chord is never longer than the
     geodesic, so no pair is lost, each comes once, and poles and the antimeridian need no care.
-    With ``small_rows``, centers are counted, and when they are no more than that, lights in bins
-    without centers are dropped before the shuffle.
+    Points with their bins are staged once; bins are counted before centers go to their eight.
 
     Returns the columns of ``centers`` plus streetlight_id, light (point) and dist, the great-circle
     distance on a sphere as a 32-bit float.
@@ -234,28 +240,28 @@ def lights_within(
             for corner in product((0, 1), repeat=3)
         ]
     )
-    left = (
-        located(centers, "_c")
-        .withColumns({"_k24": _real(curvature_24(lon_lat("_c"))), **bins("_c", -reach)})
-        .withColumn("_step", F.explode(steps))
-        .withColumns({f"_b{a}": F.col(f"_b{a}") + F.col("_step")[a] for a in axes})
-        .drop("_step")
-    )
-    right = (
-        located(
-            lights.select(F.col("OBJECTID").cast("long").alias("streetlight_id"), "geometry"), "_l"
-        )
-        .drop("geometry")
-        .withColumns(bins("_l", 0.0))
-    )
     keys = ["_bx", "_by", "_bz"]
-    right = prune_to(right, left, keys, centers, small_rows)
+
+    def spread(df: DataFrame) -> DataFrame:
+        """Rows of a bin go to the eight bins from it on."""
+        moved = df.withColumn("_step", F.explode(steps))
+        return moved.withColumns({f"_b{a}": F.col(f"_b{a}") + F.col("_step")[a] for a in axes}).drop("_step")
+
+    near = stage(
+        located(centers, "_c").withColumns({"_k24": _real(curvature_24(lon_lat("_c"))), **bins("_c", -reach)}),
+        "center-bins",
+    )
+    placed = located(lights.select(F.col("OBJECTID").cast("long").alias("streetlight_id"), "geometry"), "_l")
+    placed = stage(placed.drop("geometry").withColumns(bins("_l", 0.0)), "light-bins")
+    near_counts = spread(key_counts(near, keys)).groupBy(*keys).agg(F.sum("n").alias("n"))
     joined = split_join(
-        left,
-        right,
+        spread(near),
+        placed,
         keys,
         split_left=[c for c in CENTER_KEY if c in centers.columns] or centers.columns,
         split_right=["streetlight_id"],
+        left_counts=near_counts,
+        right_counts=key_counts(placed, keys),
         hot_rows=hot_rows,
         hint="merge",
     )

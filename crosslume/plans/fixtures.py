@@ -9,6 +9,8 @@ from crosslume.functions.geometry import point
 
 # Origin and spacing of the layout, in degrees.
 LON0, LAT0, STEP = -71.06, 42.36, 0.0004
+# Rows of 100 crosswalks; beyond so many rows (16 degrees) the layout goes on further east.
+ROWS, BLOCK = 40_000, 0.05
 RING = [(-6e-5, -2e-5), (6e-5, -2e-5), (6e-5, 2e-5), (0.0, 1e-5), (-6e-5, 2e-5), (-6e-5, -2e-5)]
 
 
@@ -20,13 +22,23 @@ def _div(value: Column, by: int) -> Column:
     return F.floor(value / by)
 
 
+def _east(row: Column) -> Column:
+    """Longitude of the west end of a row."""
+    return LON0 + _div(row, ROWS) * F.lit(BLOCK)
+
+
+def _north(row: Column) -> Column:
+    return LAT0 + row % ROWS * F.lit(STEP)
+
+
 def _frame(u: Column, v: Column) -> Column:
     """Local (u, v) of a part's crosswalk as a point."""
     turn = F.col("p_size") % 4
     cs = F.when(turn == 0, 1.0).when(turn == 1, 0.8).when(turn == 2, 0.6).otherwise(0.0)
     sn = F.when(turn == 0, 0.0).when(turn == 1, 0.6).when(turn == 2, 0.8).otherwise(1.0)
-    ox = LON0 + (F.col("p_partkey") % 100) * F.lit(STEP)
-    oy = LAT0 + _div(F.col("p_partkey"), 100) * F.lit(STEP)
+    row = _div(F.col("p_partkey"), 100)
+    ox = _east(row) + (F.col("p_partkey") % 100) * F.lit(STEP)
+    oy = _north(row)
     return point(ox + u * cs - v * sn, oy + u * sn + v * cs)
 
 
@@ -38,45 +50,38 @@ def crosswalks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def street_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = (F.col("p_partkey") % 7 - 3) * F.lit(5e-6)
+    # One in eleven passes its crosswalk by.
+    aside = F.when(F.col("p_partkey") % 11 == 0, 1.8e-4).otherwise(0.0)
+    a = (F.col("p_partkey") % 7 - 3) * F.lit(5e-6) + aside
     line = F.array(
         _frame(a, F.lit(-1.6e-4)), _frame(a, F.lit(-1e-4)), _frame(a + F.lit(2e-5), F.lit(1.6e-4))
     )
     code = F.col("p_size") % 5
     local = (
         _table(spark, sf_dir, "part")
-        .where(F.col("p_partkey") % 11 != 0)
         .select(
             F.col("p_partkey").alias("OBJECTID"),
             F.when(code <= 1, "FT").when(code == 2, "TF").when(code == 3, "B").alias("ONEWAY"),
             line.alias("geometry"),
         )
     )
-    y = LAT0 + F.col("s_suppkey") * F.lit(STEP) + F.lit(0.0000037)
-    arterials = (
-        _table(spark, sf_dir, "supplier")
-        .where(F.col("s_suppkey") % 4 == 1)
-        .select(
-            (F.col("s_suppkey") + 1000000).alias("OBJECTID"),
-            F.lit(None).cast("string").alias("ONEWAY"),
-            F.array(point(F.lit(-71.0603), y), point(F.lit(-71.0201), y)).alias("geometry"),
-        )
+    # One in four crosses the crosswalks of its row, the others run between two rows.
+    key = F.col("s_suppkey")
+    y = _north(key) + F.when(key % 4 == 1, 0.0000037).otherwise(0.0002037)
+    west = _east(key)
+    arterials = _table(spark, sf_dir, "supplier").select(
+        (key + 1_000_000_000).alias("OBJECTID"),
+        F.lit(None).cast("string").alias("ONEWAY"),
+        F.array(point(west - F.lit(0.0003), y), point(west + F.lit(0.0399), y)).alias("geometry"),
     )
     return local.unionByName(arterials)
 
 
 def streetlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    x = (
-        LON0
-        + (F.col("o_custkey") % 100) * F.lit(STEP)
-        + ((key * 37) % 41 - 20) * F.lit(1e-5)
-    )
-    y = (
-        LAT0
-        + _div(F.col("o_custkey"), 100) * F.lit(STEP)
-        + ((key * 53) % 37 - 18) * F.lit(1e-5)
-    )
+    row = _div(F.col("o_custkey"), 100)
+    x = _east(row) + (F.col("o_custkey") % 100) * F.lit(STEP) + ((key * 37) % 41 - 20) * F.lit(1e-5)
+    y = _north(row) + ((key * 53) % 37 - 18) * F.lit(1e-5)
     return _table(spark, sf_dir, "orders").select(
         key.alias("OBJECTID"), point(x, y).alias("geometry")
     )

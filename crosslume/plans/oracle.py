@@ -3,6 +3,9 @@ instead of a hull, a parametric intersection test and a mid-latitude geodesic.""
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 # Rounds a coordinate half up to 9 and to 6 decimals.
 _SNAP9 = "floor(({}) * 1e9 + 0.5) / 1e9"
 _SNAP6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -25,8 +28,8 @@ def _mean9(column: str) -> str:
 _CTES = {
     "frame": """
         SELECT p_partkey AS id, p_size,
-               -7.106e1 + (p_partkey % 100) * 4e-4 AS ox,
-               4.236e1 + (p_partkey // 100) * 4e-4 AS oy,
+               -7.106e1 + (p_partkey // 4000000) * 5e-2 + (p_partkey % 100) * 4e-4 AS ox,
+               4.236e1 + ((p_partkey // 100) % 40000) * 4e-4 AS oy,
                CASE p_size % 4 WHEN 0 THEN 1e0 WHEN 1 THEN 8e-1 WHEN 2 THEN 6e-1 ELSE 0e0 END AS cs,
                CASE p_size % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 6e-1 WHEN 2 THEN 8e-1 ELSE 1e0 END AS sn
         FROM part""",
@@ -68,17 +71,18 @@ _CTES = {
         FROM rect p JOIN rect q ON q.id = p.id AND q.pos = (p.pos + 1) % 4""",
     "offset_point": """
         SELECT id, oneway, k, ox + u * cs - v * sn AS x, oy + u * sn + v * cs AS y
-        FROM (SELECT *, (id % 7 - 3) * 5e-6 AS a,
+        FROM (SELECT *, (id % 7 - 3) * 5e-6 + CASE WHEN id % 11 = 0 THEN 1.8e-4 ELSE 0e0 END AS a,
                      CASE WHEN p_size % 5 <= 1 THEN 'FT' WHEN p_size % 5 = 2 THEN 'TF'
                           WHEN p_size % 5 = 3 THEN 'B' END AS oneway
-              FROM frame WHERE id % 11 <> 0) f,
+              FROM frame) f,
              LATERAL (SELECT * FROM (VALUES (0, f.a, -1.6e-4), (1, f.a, -1e-4),
                                             (2, f.a + 2e-5, 1.6e-4)) t(k, u, v)) l""",
     "arterial_point": """
-        SELECT 1000000 + s_suppkey AS id, NULL AS oneway, k, x,
-               4.236e1 + s_suppkey * 4e-4 + 3.7e-6 AS y
-        FROM supplier, (VALUES (0, -7.10603e1), (1, -7.10201e1)) t(k, x)
-        WHERE s_suppkey % 4 = 1""",
+        SELECT 1000000000 + s_suppkey AS id, NULL AS oneway, k,
+               -7.106e1 + (s_suppkey // 40000) * 5e-2 + dx AS x,
+               4.236e1 + (s_suppkey % 40000) * 4e-4
+                   + CASE WHEN s_suppkey % 4 = 1 THEN 3.7e-6 ELSE 2.037e-4 END AS y
+        FROM supplier, (VALUES (0, -3e-4), (1, 3.99e-2)) t(k, dx)""",
     "street_point": """
         SELECT id, oneway, k, x, y FROM offset_point
         UNION ALL SELECT id, oneway, k, x, y FROM arterial_point""",
@@ -87,8 +91,9 @@ _CTES = {
         FROM street_point p JOIN street_point q ON q.id = p.id AND q.k = p.k + 1""",
     "light": """
         SELECT o_orderkey AS id,
-               -7.106e1 + (o_custkey % 100) * 4e-4 + ((o_orderkey * 37) % 41 - 20) * 1e-5 AS x,
-               4.236e1 + (o_custkey // 100) * 4e-4 + ((o_orderkey * 53) % 37 - 18) * 1e-5 AS y
+               -7.106e1 + (o_custkey // 4000000) * 5e-2 + (o_custkey % 100) * 4e-4
+                   + ((o_orderkey * 37) % 41 - 20) * 1e-5 AS x,
+               4.236e1 + ((o_custkey // 100) % 40000) * 4e-4 + ((o_orderkey * 53) % 37 - 18) * 1e-5 AS y
         FROM orders""",
     "meeting": """
         SELECT cid, eid, oid, piece, oneway, cx, cy, dx, dy,
@@ -204,14 +209,25 @@ _CTES = {
         LEFT JOIN side_sum s ON s.cid = c.cid AND s.center_id = c.center_id""",
 }
 
-# Tables built once however often they are read.
-_MATERIALIZED = {"edge", "piece", "hit", "segment", "center", "pair", "sided"}
+def _reads(body: str) -> list[str]:
+    """The tables above that a query reads, as often as it names them."""
+    return [w for w in re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", body) if w in _CTES]
 
 
 def _with(query: str) -> str:
+    """``query`` with the tables it needs; one that is read more than once is built once."""
+    needed, todo = Counter(_reads(query)), _reads(query)
+    seen: set[str] = set()
+    while todo:
+        name = todo.pop()
+        if name not in seen:
+            seen.add(name)
+            needed.update(_reads(_CTES[name]))
+            todo += _reads(_CTES[name])
     parts = [
-        f"{name} AS {'MATERIALIZED ' if name in _MATERIALIZED else ''}({body})"
+        f"{name} AS {'MATERIALIZED ' if needed[name] > 1 else ''}({body})"
         for name, body in _CTES.items()
+        if name in needed
     ]
     return "WITH " + ",\n".join(parts) + "\n" + query
 
@@ -248,9 +264,45 @@ _LAYERS = """
     UNION ALL SELECT 'street_segments', id, CAST(k AS BIGINT), {x}, {y} FROM street_point
     UNION ALL SELECT 'streetlights', id, CAST(0 AS BIGINT), {x}, {y} FROM light"""
 
+_ALL_PAIRS = """
+    SELECT c.cid AS crosswalk_id, c.oid AS street_segment_id, c.center_id,
+           coalesce(p.light_id, -1) AS streetlight_id,
+           round(coalesce(CAST(p.dist AS DOUBLE), -1), 4) AS streetlight_dist
+    FROM center c LEFT JOIN pair p ON p.cid = c.cid AND p.oid = c.oid AND p.center_id = c.center_id"""
+
+_CONTENTS = """
+    SELECT f.format, id AS object_id, oneway, geometry
+    FROM (SELECT p.id, oneway, 'LINESTRING (' || string_agg(printf('%.9f %.9f', x, y), ', ' ORDER BY k) || ')' AS geometry
+          FROM street_point p GROUP BY p.id, oneway) s,
+         (VALUES ('csv'), ('parquet')) f(format)"""
+
+_LAYOUTS = """
+    SELECT l.layout, s.id AS object_id, CAST(s.k AS BIGINT) AS pos,
+           round(floor(s.x * 1e6 + 0.5) / 1e6, 6) AS x, round(floor(s.y * 1e6 + 0.5) / 1e6, 6) AS y,
+           s.oneway, s.id % 3 = 0 AS lit, CAST(s.id % 5 AS DOUBLE) / 2 AS width
+    FROM street_point s,
+         (VALUES ('lines'), ('header'), ('several'), ('pretty'), ('document'), ('folder')) l(layout)
+    UNION ALL
+    SELECT 'multi', id, CAST(k AS BIGINT), round(floor(x * 1e6 + 0.5) / 1e6, 6), round(floor(y * 1e6 + 0.5) / 1e6, 6),
+           oneway, id % 3 = 0, CAST(id % 5 AS DOUBLE) / 2
+    FROM street_point"""
+
+# The answer follows from how the layer is built, see ``queries.overlap_and_holes``.
+_OVERLAPS = """
+    SELECT p_partkey AS crosswalk_id, ring_id, edge_id,
+           CASE p_partkey % 4
+                WHEN 0 THEN ring_id = 1 AND edge_id IN (1, 2, 4)
+                WHEN 1 THEN ring_id = 2 AND edge_id = 1
+                WHEN 2 THEN ring_id = 1 AND edge_id IN (1, 2)
+                ELSE FALSE END AS is_vehicle_edge,
+           CAST(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS n_points,
+           CASE p_partkey % 4 WHEN 0 THEN 4e0 WHEN 1 THEN 4e0 WHEN 2 THEN 8e0 ELSE -1e0 END AS mean_x,
+           CASE p_partkey % 4 WHEN 0 THEN 0e0 WHEN 1 THEN 2e0 WHEN 2 THEN 0e0 ELSE -1e0 END AS mean_y
+    FROM part, (VALUES (CAST(1 AS BIGINT)), (2)) r(ring_id),
+         (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) e(edge_id)"""
+
 _N_STREETS = """
-    (SELECT count(*) FROM part WHERE p_partkey % 11 <> 0)
-    + (SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 1)"""
+    (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier)"""
 
 ORACLE = {
     "geojson_roundtrip": _with(
@@ -299,6 +351,21 @@ ORACLE = {
     "lights_arrays": _with(
         f"SELECT {_PAIR}, round(CAST(dist AS DOUBLE), 4) AS looked_up, CAST(0 AS BIGINT) AS list_part FROM pair"
     ),
+    "center_light_pairs": _with(_ALL_PAIRS),
+    "explode_lights": _with(f"SELECT {_PAIR}, round(lx, 9) AS x, round(ly, 9) AS y FROM pair"),
+    "saved_centers_lights": _with(_ALL_PAIRS),
+    "saved_classified_lights": _with(
+        f"""SELECT {_PAIR}, side, round(coalesce(angle, -9), 6) AS angle_rad,
+                   printf('LINESTRING (%.9f %.9f, %.9f %.9f)', x, y, lx, ly) AS line_geom,
+                   printf('POINT (%.9f %.9f)', lx, ly) AS geometry FROM sided"""
+    ),
+    "saved_streetlights": _with(
+        """SELECT id AS object_id, printf('POINT (%.9f %.9f)', x, y) AS geometry,
+                  printf('POINT (%.9f %.9f)', y, x) AS geometry_lat_long FROM light"""
+    ),
+    "csv_parquet_contents": _with(_CONTENTS),
+    "geojson_layouts": _with(_LAYOUTS),
+    "overlap_and_holes": _OVERLAPS,
     "centers_without_lights": _with(
         """SELECT cid AS crosswalk_id, oid AS street_segment_id, center_id FROM center c
            WHERE NOT EXISTS (SELECT 1 FROM pair p WHERE p.cid = c.cid AND p.oid = c.oid

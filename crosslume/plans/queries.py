@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import meters_to_degrees
-from crosslume.functions.geometry import from_wkt, kind_of, point_n, to_wkt
-from crosslume.operators.centers import find_crosswalk_centers, oneway_centers, twoway_centers
-from crosslume.operators.crosswalks import decompose_edges, simplify_to_rectangle
+from crosslume.functions.geometry import from_wkt, kind_of, point, point_n, to_wkt
+from crosslume.operators.centers import crossings, find_crosswalk_centers, oneway_centers, twoway_centers
+from crosslume.operators.crosswalks import classify_edges, decompose_edges, simplify_to_rectangle
 from crosslume.operators.direction import oneway_direction, twoway_direction, vehicle_direction
 from crosslume.operators.lighting import (
     SIDE_COLUMNS,
     brightness,
+    center_light_pairs,
     classify_sides,
     contrast_heuristics,
+    explode_lights,
     light_lists,
     lookup_distance,
     with_axes,
@@ -36,7 +38,7 @@ from crosslume.plans.run import (
     segments_and_hits,
 )
 from crosslume.sources.geojson import read_geojson
-from crosslume.sources.sinks import geometry_as_wkt, save_csv, save_geojson, save_parquet
+from crosslume.sources.sinks import feature_json, geometry_as_wkt, save_csv, save_geojson, save_parquet
 from crosslume.sources.staging import stage, stage_path
 from crosslume.sources.tables import load_many, query_geometry, query_table
 
@@ -83,6 +85,142 @@ def geojson_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(frames)
 
 
+def geojson_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streets with properties, written as text in every layout a reader may meet."""
+    streets = fixtures.street_segments(spark, sf_dir)
+    key = F.col("OBJECTID")
+    streets = streets.select(
+        "*", (key % 3 == 0).alias("lit"), ((key % 5).cast("double") / 2).alias("width")
+    )
+    group = F.floor(key / 500)
+    features = feature_json(streets.withColumn("group", group)).select(
+        "value", F.get_json_object("value", "$.properties.group").cast("long").alias("group")
+    )
+    drop_group = F.regexp_replace("value", r'"group":\d+,?', "")
+    features = features.select("group", F.regexp_replace(drop_group, r",\}", "}").alias("value"))
+    pretty = F.regexp_replace("value", r'([{,])"', '$1\n  "')
+    head = F.lit('{"type":"FeatureCollection","features":[')
+
+    def joined(value: Column, between: str) -> DataFrame:
+        return features.groupBy("group").agg(F.array_join(F.collect_list(value), between).alias("value"))
+
+    alternating = F.when(F.crc32("value") % 2 == 0, pretty).otherwise(F.col("value"))
+    documents = joined(pretty, ",").select("group", F.concat(head, "value", F.lit("\n ]\n}")).alias("value"))
+    multi = F.regexp_replace(
+        F.regexp_replace("value", '"LineString"', '"MultiLineString"'), r'"coordinates":(\[.*\])\}', '"coordinates":[$1]}'
+    )
+    texts = {
+        "lines": [features],
+        "header": [joined(F.col("value"), ",\n").select(F.concat(head, "value", F.lit("]}")).alias("value"))],
+        "several": [joined(F.col("value"), ", ")],
+        "pretty": [features.select(alternating.alias("value"))],
+        "document": [documents],
+        "folder": [features.where("group % 2 = 0"), documents.where("group % 2 <> 0")],
+        "multi": [features.select(multi.alias("value"))],
+    }
+    frames = []
+    for layout, parts in texts.items():
+        folder = stage_path(spark, f"layout-{layout}")
+        for i, part in enumerate(parts):
+            part.select("value").write.text(f"{folder}/{i}")
+        read = read_geojson(spark, f"{folder}/*", "line")
+        frames.append(
+            read.select("*", F.posexplode("geometry").alias("pos", "p")).select(
+                F.lit(layout).alias("layout"),
+                F.col("OBJECTID").alias("object_id"),
+                F.col("pos").cast("long").alias("pos"),
+                F.round("p.x", 6).alias("x"),
+                F.round("p.y", 6).alias("y"),
+                F.col("ONEWAY").alias("oneway"),
+                "lit",
+                "width",
+            )
+        )
+    return _union(frames)
+
+
+def overlap_and_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of 8 x 4 units with a hole, by turns met by a street that
+
+    runs along the lower edge and beyond it with vertices inside, ends on the lower edge of the hole, turns at
+    the lower right corner and goes on elsewhere after a NULL vertex, or touches nothing.
+    """
+    unit = F.lit(0.001)
+    key = F.col("p_partkey")
+    base = (key % 1000 * F.lit(0.02), F.floor(key / 1000) % 2000 * F.lit(0.02))
+
+    def at(x: float, y: float) -> Column:
+        return point(base[0] + F.lit(float(x)) * unit, base[1] + F.lit(float(y)) * unit)
+
+    def ring(*corners: tuple[float, float]) -> Column:
+        return F.array(*[at(*c) for c in (*corners, corners[0])])
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    boxes = part.select(
+        key.alias("OBJECTID"),
+        F.array(ring((0, 0), (8, 0), (8, 4), (0, 4)), ring((3, 2), (5, 2), (5, 3), (3, 3))).alias("geometry"),
+    )
+    gap = F.lit(None).cast("struct<x:double,y:double>")
+    streets = part.select(
+        key.alias("OBJECTID"),
+        F.lit(None).cast("string").alias("ONEWAY"),
+        F.when(key % 4 == 0, F.array(at(-2, 0), at(3, 0), at(6, 0), at(10, 0)))
+        .when(key % 4 == 1, F.array(at(4, 1), at(4, 2)))
+        .when(key % 4 == 2, F.array(at(7, -1), at(8, 0), at(9, 1), gap, at(-3, -3), at(-2, -3)))
+        .otherwise(F.array(at(1, 1), at(2, 1)))
+        .alias("geometry"),
+    )
+    edges = decompose_edges(boxes)
+    hits = stage(segment_hits(edges, streets), "hits")
+    found = crossings(hits)
+    place = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        key.alias("crosswalk_id"), base[0].alias("bx"), base[1].alias("by")
+    )
+
+    def mean(axis: str) -> Column:
+        units = (F.col(f"sum_{axis}") / F.col("n") / F.lit(1e9) - F.col(f"b{axis}")) / unit
+        return F.coalesce(F.round(units, 3) + 0.0, F.lit(-1.0)).alias(f"mean_{axis}")
+
+    return (
+        classify_edges(edges, hits)
+        .select("crosswalk_id", "ring_id", "edge_id", "is_vehicle_edge")
+        .join(found, "crosswalk_id", "left")
+        .join(place, "crosswalk_id")
+        .select(
+            "crosswalk_id",
+            "ring_id",
+            "edge_id",
+            "is_vehicle_edge",
+            F.coalesce("n", F.lit(0)).cast("long").alias("n_points"),
+            mean("x"),
+            mean("y"),
+        )
+    )
+
+
+def csv_parquet_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streets with their properties, saved and read back."""
+    streets = fixtures.street_segments(spark, sf_dir)
+    folder = stage_path(spark, "contents")
+    save_csv(streets, f"{folder}/csv")
+    save_parquet(streets, f"{folder}/parquet")
+    read = {
+        "csv": spark.read.option("header", True).option("escape", '"').csv(f"{folder}/csv"),
+        "parquet": spark.read.parquet(f"{folder}/parquet"),
+    }
+    return _union(
+        [
+            df.select(
+                F.lit(name).alias("format"),
+                F.col("OBJECTID").cast("long").alias("object_id"),
+                F.col("ONEWAY").alias("oneway"),
+                "geometry",
+            )
+            for name, df in read.items()
+        ]
+    )
+
+
 def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = []
     for name, df in _layers(spark, sf_dir).items():
@@ -107,7 +245,8 @@ def load_many_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, kind in kinds.items():
         table = f"{name}_{tag}"
         # Loading again changes nothing: the table exists.
-        again = load_many(spark, [(geometry_as_wkt(layers[name].limit(1)), table, kind)])[table]
+        other = layers[name].withColumn("OBJECTID", -F.col("OBJECTID"))
+        again = load_many(spark, [(geometry_as_wkt(other), table, kind)])[table]
         everything = query_geometry(spark, table, kind, f"SELECT * FROM {table}")
         save_parquet(everything, f"{folder}/out/{name}.parquet")
         save_csv(everything, f"{folder}/out/{name}.csv")
@@ -349,19 +488,69 @@ def perceived_brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def full_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layers = _layers(spark, sf_dir)
-    results = run_pipeline(
-        layers["crosswalks"], layers["streetlights"], layers["street_segments"]
+def _all_pairs(df: DataFrame) -> DataFrame:
+    """Pairs with -1 for a center without lights."""
+    dist = F.coalesce(F.col("streetlight_dist").cast("double"), F.lit(-1.0))
+    return df.select(
+        *_KEY,
+        F.coalesce("streetlight_id", F.lit(-1)).alias("streetlight_id"),
+        F.round(dist, 4).alias("streetlight_dist"),
     )
+
+
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    centers, pairs = _pairs(spark, sf_dir)
+    return _all_pairs(center_light_pairs(centers, stage(pairs, "pairs")))
+
+
+def exploded_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = explode_lights(_lists(spark, sf_dir), fixtures.streetlights(spark, sf_dir))
+    return listed.select(*_pair_columns(), F.round("light.x", 9).alias("x"), F.round("light.y", 9).alias("y"))
+
+
+def _saved(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a run from GeoJSON files to the four saved tables."""
     folder = stage_path(spark, "results")
+    layers = _layers(spark, sf_dir)
+    # Full precision here: the other queries work on unrounded layers too.
+    results = run_pipeline(layers["crosswalks"], layers["streetlights"], layers["street_segments"])
     save_results(results, folder)
-    saved = spark.read.parquet(f"{folder}/crosswalk_centers_contrast.parquet")
+    return folder
+
+
+def saved_centers_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_pairs(spark.read.parquet(f"{_saved(spark, sf_dir)}/crosswalk_centers_lights.parquet"))
+
+
+def saved_streetlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = spark.read.parquet(f"{_saved(spark, sf_dir)}/streetlights.parquet")
+    return saved.select(F.col("OBJECTID").alias("object_id"), "geometry", "geometry_lat_long")
+
+
+def saved_classified_lights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_saved(spark, sf_dir)}/classified_streetlights.csv"
+    saved = spark.read.option("header", True).option("escape", '"').csv(path)
+    return saved.select(
+        *[F.col(c).cast("long").alias(c) for c in ("crosswalk_id", "street_segment_id", "streetlight_id")],
+        "center_id",
+        F.round(F.col("dist").cast("float").cast("double"), 4).alias("dist"),
+        "side",
+        F.round(F.coalesce(F.col("angle_rad").cast("double"), F.lit(-9.0)), 6).alias("angle_rad"),
+        "line_geom",
+        "geometry",
+    )
+
+
+def full_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saved = spark.read.parquet(f"{_saved(spark, sf_dir)}/crosswalk_centers_contrast.parquet")
     return saved.select(*_score_columns(), _light_heuristic())
 
 
 QUERIES = {
     "geojson_roundtrip": geojson_roundtrip,
+    "geojson_layouts": geojson_layouts,
+    "csv_parquet_contents": csv_parquet_contents,
+    "overlap_and_holes": overlap_and_holes,
     "wkt_roundtrip": wkt_roundtrip,
     "load_many_preview": load_many_preview,
     "min_area_rectangle": min_area_rectangle,
@@ -377,9 +566,14 @@ QUERIES = {
     "meters_to_degrees": degrees,
     "lights_within": within,
     "lights_arrays": lights_arrays,
+    "center_light_pairs": all_pairs,
+    "explode_lights": exploded_lights,
     "centers_without_lights": centers_without_lights,
     "classify_side": classify_side,
     "contrast_heuristic": contrast_heuristic,
     "brightness": perceived_brightness,
+    "saved_classified_lights": saved_classified_lights,
+    "saved_centers_lights": saved_centers_lights,
+    "saved_streetlights": saved_streetlights,
     "full_contrast": full_contrast,
 }

@@ -21,9 +21,9 @@ from crosslume.operators.direction import vehicle_direction
 from crosslume.operators.lighting import (
     SIDE_COLUMNS,
     brightness,
+    center_light_pairs,
     classify_sides,
     contrast_heuristics,
-    light_lists,
     with_axes,
     with_lat_long,
 )
@@ -35,8 +35,6 @@ from crosslume.sources.tables import read_source
 # Search radius in metres and contrast threshold.
 RADIUS_M = 20.0
 THRESHOLD = 0.01
-# Up to this many edges or centers, streets and lights far from all of them are not shuffled.
-SMALL_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -62,7 +60,7 @@ def segments_and_hits(
 ) -> tuple[DataFrame, DataFrame]:
     """Classified edges and street hits, both written once and read many times."""
     edges = stage(decompose_edges(simplify_to_rectangle(crosswalks, decimals)), "edges")
-    hits = stage(segment_hits(edges, streets, cell, small_rows=SMALL_ROWS), "hits")
+    hits = stage(segment_hits(edges, streets, cell), "hits")
     return classify_edges(edges, hits, oneway_codes), hits
 
 
@@ -82,7 +80,7 @@ def run_pipeline(
 ) -> Results:
     """Score the lighting of crosswalks.
 
-    Edges, hits, classified segments, centers, axes and pairs are each staged once; the four result tables
+    The inputs are read several times, so they should be tables, as ``run_files`` makes them. Edges, hits, classified segments, centers, axes and pairs are each staged once; the four result tables
     are lazy and start from those. The pairs carry all that classification needs, so that the
     largest table is neither joined nor shuffled again before it is summed up.
     """
@@ -98,16 +96,14 @@ def run_pipeline(
     # The axes are read for the counts and the join. Every center goes to eight bins and every pair
     # repeats its center, so both take along only what is needed.
     axes = stage(with_axes(centers).select(*SIDE_COLUMNS), "axes")
-    pairs = stage(
-        lights_within(axes, lights, radius_m, sphere_radius_m, small_rows=SMALL_ROWS), "pairs"
-    )
+    pairs = stage(lights_within(axes, lights, radius_m, sphere_radius_m), "pairs")
     classified = classify_sides(pairs)
     contrast = contrast_heuristics(classified, centers, threshold, keep_geometry=keep_geometry)
     return Results(
         crosswalk_segments=segments,
         crosswalk_centers=centers,
         center_light_pairs=pairs,
-        crosswalk_centers_lights=with_lat_long(light_lists(centers, pairs)),
+        crosswalk_centers_lights=with_lat_long(center_light_pairs(centers, pairs)),
         classified_streetlights=classified,
         crosswalk_centers_contrast=brightness(contrast),
         streetlights=with_lat_long(lights),
@@ -130,13 +126,14 @@ def run_files(
     folder: str,
     **options,
 ) -> Results:
-    """Read three GeoJSON sources, score them and write the result sets to ``folder``."""
+    """Read three GeoJSON sources, each once, score them and write the result sets to ``folder``."""
     decimals = options.get("decimals", TEXT_DECIMALS)
+
+    def parsed(source: str | DataFrame, kind: str) -> DataFrame:
+        return stage(read_source(spark, source, kind, decimals), f"input-{kind}")
+
     results = run_pipeline(
-        read_source(spark, crosswalks, "polygon", decimals),
-        read_source(spark, lights, "point", decimals),
-        read_source(spark, streets, "line", decimals),
-        **options,
+        parsed(crosswalks, "polygon"), parsed(lights, "point"), parsed(streets, "line"), **options
     )
     save_results(results, folder)
     return results

@@ -6,64 +6,114 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslume.functions.geometry import KINDS, point, snap
-from crosslume.operators.crosswalks import TEXT_DECIMALS
+from crosslume.functions.geometry import KINDS, TEXT_DECIMALS, join_lines, point, snap
+from crosslume.sources.staging import stage
 
-LAYOUTS = ("auto", "lines", "document")
-HEAD_LINES = 20
 # Coordinates on longitude and latitude (EPSG:4326).
 GEOMETRY_METADATA = {"srid": 4326}
 
-_NESTING = {"Point": 1, "LineString": 2, "Polygon": 3, "MultiPolygon": 4}
-_TYPES = {"point": ("Point",), "line": ("LineString",), "polygon": ("Polygon", "MultiPolygon")}
-
-
-def _layout_of(spark: SparkSession, path: str) -> str:
-    """'lines' when features stand on lines of their own, from a few lines at the top."""
-    # Collecting a limit reads one split after another, and seldom more than the first.
-    kind = F.from_json("value", "type string")["type"].alias("kind")
-    head = spark.read.text(path).limit(HEAD_LINES).select(kind).collect()
-    return "lines" if any(row["kind"] == "Feature" for row in head) else "document"
-
-
-def _features(spark: SparkSession, path: str, layout: str, properties: T.StructType | None):
-    multi_line = layout == "document"
-    reader = spark.read.option("multiLine", multi_line)
-    if properties is None:
-        found = reader.json(path).schema
-        if multi_line:
-            found = _field(_field(found, "features"), None)
-        properties = _field(found, "properties") or T.StructType()
-    feature = T.StructType(
-        [
-            T.StructField("type", T.StringType()),
-            T.StructField("properties", properties),
-            T.StructField(
-                "geometry",
-                T.StructType(
-                    [
-                        T.StructField("type", T.StringType()),
-                        # Kept as text: its nesting depends on the geometry type.
-                        T.StructField("coordinates", T.StringType()),
-                    ]
-                ),
-            ),
-        ]
+_NESTING = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
+_TYPES = {"point": ("Point",), "line": ("LineString", "MultiLineString"), "polygon": ("Polygon", "MultiPolygon")}
+
+
+# A feature as text: properties and coordinates are read once their types are known.
+_FEATURE = "struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>>"
+_DOCUMENT = f"struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>,features:array<{_FEATURE}>>"
+# What may stand on a line besides features: the head and the foot of a collection.
+_HEAD = r'^\s*\{(?:(?!"features").)*"features"\s*:\s*\[\s*,?'
+_FOOT = r"\s*,?\s*\]\s*(?:,\s*\"(?:(?!\"features\").)*)?\}\s*$"
+_NOTHING = r"^\s*(?:[\[\]{},]\s*)*$"
+
+
+def _line_features(line: Column) -> Column:
+    """All features of a line, none for the head or foot of a collection, NULL for anything else.
+
+    Features may follow the head, stand several on a line, or be followed by the foot.
+    """
+
+    def whole(text: Column) -> Column:
+        body = F.regexp_replace(text, r"^\s*,|,\s*$", "")
+        found = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{_FEATURE}>")
+        return F.when((F.size(found) > 0) & F.forall(found, lambda f: F.coalesce(f["type"] == "Feature", F.lit(False))), found)
+
+    def without(pattern: str) -> Column:
+        return F.when(line.rlike(pattern), whole(F.regexp_replace(line, pattern, "")))
+
+    both = F.when(line.rlike(_HEAD) & line.rlike(_FOOT), whole(F.regexp_replace(F.regexp_replace(line, _HEAD, ""), _FOOT, "")))
+    bare = F.regexp_replace(F.regexp_replace(line, _HEAD, ""), _FOOT, "")
+    none = F.array().cast(f"array<{_FEATURE}>")
+    return F.coalesce(
+        whole(line), without(_HEAD), without(_FOOT), both, F.when(bare.rlike(_NOTHING), none)
     )
-    if not multi_line:
-        return spark.read.schema(feature).json(path).where(F.col("type") == "Feature"), properties
-    document = T.StructType([T.StructField("features", T.ArrayType(feature))])
-    rows = reader.schema(document).json(path).select(F.explode("features").alias("f"))
-    return rows.select("f.*").where(F.col("type") == "Feature"), properties
 
 
-def _field(schema, name):
-    if name is None:
-        return schema.elementType if isinstance(schema, T.ArrayType) else None
-    if not isinstance(schema, T.StructType) or name not in schema.names:
-        return None
-    found = schema[name].dataType
-    return found if isinstance(found, (T.StructType, T.ArrayType)) else None
+def _features(spark: SparkSession, path: str) -> DataFrame:
+    """Every feature of the files at ``path``, one row each, as text (see ``_FEATURE``).
+
+    A file whose lines all hold whole features is read in splits. Any other is one JSON document (or
+    several, one after the other), which one task reads, and text that is not JSON is an error.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    lines = lines.select("file", _line_features(F.col("value")).alias("found"))
+    lines = stage(
+        lines.select("file", F.col("found").isNull().alias("other"), F.explode_outer("found").alias("f")),
+        "geojson-lines",
+    )
+    others = lines.groupBy("file").agg(F.max("other").alias("other")).where("other").select("file")
+    by_line = lines.where("f IS NOT NULL").join(others, "file", "left_anti").select("f.*")
+    names = [row["file"] for row in others.collect()]  # documents, each read by one task
+    if not names:
+        return by_line
+    texts = spark.read.text(names, wholetext=True).select(
+        # No string of JSON holds a line break, so this only finds documents that follow each other.
+        F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\}\s*\n\s*\{", "},{").alias("text")
+    )
+    documents = F.from_json(
+        F.concat(F.lit("["), "text", F.lit("]")), f"array<{_DOCUMENT}>", {"mode": "FAILFAST"}
+    )
+    each = texts.select(F.explode(documents).alias("d"))
+    own = F.struct("d.type", "d.properties", "d.geometry").cast(_FEATURE)
+    unknown = F.raise_error(F.concat(F.lit("not a feature or collection: "), F.coalesce("d.type", F.lit("?"))))
+    found = (
+        F.when(F.col("d.features").isNotNull(), F.col("d.features"))
+        .when(F.col("d.type") == "Feature", F.array(own))
+        .otherwise(unknown.cast(f"array<{_FEATURE}>"))
+    )
+    features = each.select(F.explode(found).alias("f")).select("f.*")
+    kind = F.when(F.col("type") == "Feature", F.col("type")).otherwise(
+        F.raise_error(F.concat(F.lit("not a feature: "), F.coalesce("type", F.lit("?"))))
+    )
+    return by_line.unionByName(features.withColumn("type", kind))
+
+
+def _property_types(features: DataFrame) -> list[tuple[str, str]]:
+    """Names of all properties and what they are read as, from all features."""
+    each = features.lateralJoin(
+        features.sparkSession.tvf.variant_explode(F.parse_json(F.col("properties").outer()))
+    )
+    types = each.groupBy("key").agg(F.collect_set(F.schema_of_variant("value")).alias("types"))
+    found = []
+    for row in types.orderBy("key").collect():  # a row for each property
+        kinds = {t.split("(")[0].split("<")[0] for t in row["types"]} - {"VOID"}
+        if kinds and kinds <= {"BIGINT"}:
+            kind = "bigint"
+        elif kinds and kinds <= {"BIGINT", "DECIMAL", "DOUBLE", "FLOAT"}:
+            kind = "double"
+        else:
+            kind = "boolean" if kinds == {"BOOLEAN"} else "string"
+        found.append((row["key"], kind))
+    return found
+
+
+def _properties(features: DataFrame, schema: T.StructType | None) -> list[Column]:
+    if schema is not None:
+        parsed = F.from_json("properties", schema, {"mode": "FAILFAST"})
+        return [normalise(parsed.getField(f.name), f.dataType).alias(f.name) for f in schema.fields]
+    values = F.parse_json("properties")
+    return [
+        F.variant_get(values, "$['" + name.replace("'", "\\'") + "']", kind).alias(name)
+        for name, kind in _property_types(features)
+    ]
 
 
 def _coordinates(text: Column, type_name: str, decimals: int | None) -> Column:
@@ -83,6 +133,8 @@ def _coordinates(text: Column, type_name: str, decimals: int | None) -> Column:
         return to_point(numbers)
     if type_name == "LineString":
         return to_line(numbers)
+    if type_name == "MultiLineString":
+        return join_lines(F.transform(numbers, to_line))
     rings = F.flatten(numbers) if type_name == "MultiPolygon" else numbers
     return F.transform(rings, to_line)
 
@@ -111,28 +163,18 @@ def read_geojson(
     kind: str,
     *,
     properties: T.StructType | None = None,
-    layout: str = "auto",
     decimals: int | None = TEXT_DECIMALS,
 ) -> DataFrame:
     """Properties as columns, then ``geometry`` as point, line or polygon structs.
 
-    Files with one feature per line, inside a collection or without one, are read in splits by many
-    tasks. A collection written otherwise is one JSON document and one task reads it: fit for small
-    files only. ``properties`` gives the schema and saves the pass that infers it. Coordinates are
-    rounded to ``decimals``; None keeps them as they are.
+    A path may name files of different layouts. Files whose lines hold whole features (one or several,
+    inside a collection or without one) are read in splits by many tasks; another file is one JSON
+    document, read by one task and so fit for small files only. A bad record is an error. The text is
+    parsed once and staged; types of properties come from all features unless ``properties`` gives
+    them. Coordinates are rounded to ``decimals``; None keeps them as they are.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown geometry kind {kind!r}")
-    if layout not in LAYOUTS:
-        raise ValueError(f"unknown layout {layout!r}")
-    if layout == "auto":
-        layout = _layout_of(spark, path)
-    rows, fields = _features(spark, path, layout, properties)
-    columns = [
-        normalise(F.col("properties").getField(f.name), f.dataType).alias(f.name)
-        for f in fields.fields
-    ]
+    features = _features(spark, path)
     geometry = _geometry(kind, decimals).alias("geometry", metadata=GEOMETRY_METADATA)
-    return rows.select(*columns, geometry)
-
-
+    return features.select(*_properties(features, properties), geometry)

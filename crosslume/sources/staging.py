@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def stage_dir(spark: SparkSession) -> str:
@@ -28,14 +29,26 @@ def stage_dir(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{stage_dir(spark)}/crosslume-{name}-{uuid.uuid4().hex}"
+    path = f"{stage_dir(spark)}/crosslume-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged so far; tables that still read it can no longer be used."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The result is computed once, has no lineage, survives the loss of executors and is read with
-    column pruning. Like checkpoints, the files stay until the folder is cleaned.
+    column pruning. Like checkpoints, the files stay until ``clear_staged`` or the folder's owner removes them.
     """
     path = stage_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslume.functions.geometry import from_wkt, kind_of, point, snap
-from crosslume.operators.crosswalks import TEXT_DECIMALS
+from crosslume.functions.geometry import TEXT_DECIMALS, from_wkt, kind_of, point, snap
 from crosslume.sources.geojson import GEOMETRY_METADATA, normalise, read_geojson
 
 PREVIEW_ROWS = 10
