@@ -1,5 +1,100 @@
-"""The queries that SQL can express, for DuckDB."""
+"""The queries that SQL can express, for DuckDB.
+
+Tokenizers, trained models and hash sketches have no SQL; those queries are tested against brute force.
+"""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_NOT_SPACE = r"'[^\x20\x09-\x0D]+'"
+
+_DECONTAMINATE = f"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+item AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS name, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark),
+pattern AS (
+    SELECT DISTINCT name, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS k
+    FROM (SELECT name, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM item WHERE len(w) > 0)),
+place AS (
+    SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+          FROM doc, (SELECT DISTINCT n FROM pattern) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, place.n, name FROM place JOIN pattern USING (n, k)),
+word AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+name AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT doc_id, name FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN name USING (doc_id)"""
+
+_SUBSTRINGS = f"""
+WITH doc AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_NOT_SPACE}) AS w FROM documents),
+place AS MATERIALIZED (
+    SELECT doc_id, i, hash(array_to_string(w[i:i + 34], ' ')) AS k
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)),
+twice AS (SELECT k FROM place GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM place WHERE k IN (SELECT k FROM twice)),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS j FROM doc),
+kept AS (
+    SELECT doc_id, string_agg(t, ' ' ORDER BY j) AS text, count(*) AS n
+    FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)"""
+
+# The control strings and marks of the template in ``chat``.
+_CONTROL = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|", "|>"]
+
+
+def _escaped(column: str) -> str:
+    """Length after escaping: a backslash more for each backslash and each begin of a control string."""
+    more = [f"(length({column}) - length(replace({column}, '{c}', ''))) / {len(c)}" for c in ["\\", *_CONTROL]]
+    return f"length({column}) + " + " + ".join(more)
+
+
+_CHAT = f"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+long AS (
+    SELECT *, sum(8 + {_escaped("role")} + {_escaped("text")}) OVER (
+                  PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS last
+    FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(stop) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
+FROM long GROUP BY conv_id"""
+
+_NEAR = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_NOT_SPACE}) AS w FROM documents),
+shingle AS MATERIALIZED (
+    SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 1], ' ')) AS k
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM doc WHERE len(w) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+common AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM shingle a JOIN shingle b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (
+    SELECT x, y FROM common JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y
+    WHERE 100 * c >= 80 * (p.n + q.n - c)),
+both_ways AS MATERIALIZED (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, m.least AS component_id, d.doc_id = m.least AS kept
+FROM documents d
+JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) m ON m.x = d.doc_id
+LEFT JOIN size s ON s.doc_id = d.doc_id"""
+
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": _DECONTAMINATE,
+    "op2_substring_dedup": _SUBSTRINGS,
+    "op5_chat_format": _CHAT,
+    "op9_near_dedup": _NEAR,
+}
