@@ -12,6 +12,7 @@ from crosslume.functions.geometry import LINE, POINT, POLYGON
 EDGE = T.StructType(
     [
         T.StructField("crosswalk_id", T.LongType()),
+        T.StructField("ring_id", T.LongType()),
         T.StructField("edge_id", T.LongType()),
         T.StructField("geometry", LINE),
     ]
@@ -44,7 +45,7 @@ def lights(spark, rows):
 
 
 def edges(spark, rows):
-    return spark.createDataFrame(rows, EDGE)
+    return spark.createDataFrame([(i, 1, j, line) for i, j, line in rows], EDGE)
 
 
 def square(x, y, w, h):

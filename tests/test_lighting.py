@@ -12,6 +12,7 @@ from crosslume.operators import (
     decompose_edges,
     explode_lights,
     find_crosswalk_centers,
+    center_light_pairs,
     light_lists,
     lights_within,
     lookup_distance,
@@ -297,12 +298,22 @@ def test_lists_are_cut_but_whole(spark):
     assert {r["list_part"] for r in whole.collect()} == {0}
     cut = light_lists(centers, pairs, list_rows=100)
     rows = cut.collect()
-    assert len(rows) > 10 and max(len(r["streetlight_id"]) for r in rows) < 200
+    assert len(rows) > 10 and max(len(r["streetlight_id"]) for r in rows) <= 100
     assert all(r["streetlight_id"] == sorted(r["streetlight_id"]) for r in rows)
     key = ["crosswalk_id", "center_id", "streetlight_id", "dist"]
     assert rows_of(explode_lights(cut), *key) == rows_of(pairs, *key) == rows_of(explode_lights(whole), *key)
 
 
+def test_pairs_keep_centers_without_lights(spark):
+    centers, pairs, _, _ = scored(spark, [(1, (3e-5, 0.0)), (2, (1.0, 1.0))])
+    long = center_light_pairs(centers, pairs)
+    assert long.columns == [*centers.columns, "streetlight_id", "streetlight_dist"]
+    want = rows_of(explode_lights(light_lists(centers, pairs)), "center_id", "streetlight_id")
+    assert rows_of(long.where("streetlight_id IS NOT NULL"), "center_id", "streetlight_id") == want
+    centers, pairs, _, _ = scored(spark, [(1, (1.0, 1.0))])
+    assert center_light_pairs(centers, pairs).where("streetlight_id IS NULL").count() == centers.count() > 0
+
+
 def test_explode_with_points_and_lookup(spark):
     centers, pairs, _, _ = scored(spark)
     listed = light_lists(with_axes(centers), pairs)

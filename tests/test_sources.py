@@ -2,12 +2,13 @@ import json
 import os
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from shapes import lights, rows_of
 
-from crosslume.functions.geometry import to_wkt
+from crosslume.functions.geometry import from_wkt, to_wkt
 from crosslume.plans import run_files
 from crosslume.plans.fixtures import crosswalks, street_segments, streetlights
 from crosslume.sources import (
@@ -23,6 +24,7 @@ from crosslume.sources import (
     stage,
     with_geometry,
 )
+from crosslume.sources.staging import clear_staged
 from crosslume.sources.tables import read_source
 
 SF = "/root/testdata/sf0.001"
@@ -91,9 +93,57 @@ def test_given_schema_and_wrong_geometry(spark, tmp_path):
     assert read_geojson(spark, path, "point", properties=schema).columns == ["OBJECTID", "geometry"]
     with pytest.raises(PySparkException):
         read_geojson(spark, path, "line").collect()
-    for bad in ({"kind": "solid"}, {"kind": "point", "layout": "x"}):
-        with pytest.raises(ValueError):
-            read_geojson(spark, path, **bad)
+    with pytest.raises(ValueError):
+        read_geojson(spark, path, "solid")
+
+
+def spot(i, **more):
+    properties = {"OBJECTID": i, "tags": ["]}", i], **more}
+    return {"type": "Feature", "properties": properties, "geometry": {"type": "Point", "coordinates": [i, 0.5]}}
+
+
+def test_no_feature_is_lost(spark, tmp_path):
+    one, two, three, four = (json.dumps(spot(i)) for i in (1, 2, 3, 4))
+    head, pretty = '{"type": "FeatureCollection", "features": [', json.dumps(spot(2), indent=1)
+    texts = {
+        "on_the_head": f"{head}{one},\n{two},\n{three},\n{four}\n]}}",
+        "several": f"{one},{two}\n{three}\n\n{four}\n",
+        "foot": f'{head}\n{one},{two},\n{three},{four}], "crs": {{"a": [1]}}}}',
+        "one_pretty": f"{one}\n{pretty}\n{three}\n{four}",
+        "pretty_inside": f"{head}\n{one},\n{pretty},\n{three},\n{four}\n]}}",
+    }
+    for name, text in texts.items():
+        path = write(tmp_path / f"{name}.json", text)
+        assert rows_of(read_geojson(spark, path, "point"), "OBJECTID") == [(1,), (2,), (3,), (4,)], name
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder / "a.json", f"{one}\n{four}")
+    write(folder / "b.json", json.dumps({"type": "FeatureCollection", "features": [spot(3)]}, indent=1))
+    write(folder / "c.json", pretty)
+    assert rows_of(read_geojson(spark, str(folder), "point"), "OBJECTID") == [(1,), (2,), (3,), (4,)]
+
+
+def test_bad_records_are_errors(spark, tmp_path):
+    one, two = json.dumps(spot(1)), json.dumps(spot(2))
+    for i, text in enumerate([f"{one}\n{two[:-9]}\n{one}", f"{one} x", '{"type": "Point"}', f"{one}\n[1]"]):
+        path = write(tmp_path / f"bad{i}.json", text)
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            read_geojson(spark, path, "point").collect()
+
+
+def test_multilinestring_has_a_gap(spark, tmp_path):
+    lines = [[[0, 0], [1, 0]], [[2, 0], [3, 0], [4, 0]]]
+    feature = {"type": "Feature", "properties": {"OBJECTID": 1}, "geometry": {"type": "MultiLineString", "coordinates": lines}}
+    df = read_geojson(spark, write(tmp_path / "m.json", json.dumps(feature)), "line")
+    text = "MULTILINESTRING ((0.000000000 0.000000000, 1.000000000 0.000000000), (2.000000000 0.000000000, 3.000000000 0.000000000, 4.000000000 0.000000000))"
+    assert df.select(to_wkt(F.col("geometry"), "line")).first()[0] == text
+    again = df.select(from_wkt(to_wkt(F.col("geometry"), "line"), "line").alias("g")).first()["g"]
+    assert [p and tuple(p) for p in again] == [(0, 0), (1, 0), None, (2, 0), (3, 0), (4, 0)]
+
+
+def test_staged_tables_are_removed_on_request(spark):
+    kept = stage(spark.range(3), "gone")
+    assert kept.count() == 3 and clear_staged(spark) > 0 and clear_staged(spark) == 0
 
 
 def test_multipolygon_gives_all_rings(spark, tmp_path):
@@ -184,8 +234,9 @@ def test_files_to_result_sets(spark, tmp_path):
         "to_brightness_heuristic", "from_brightness_heuristic", "contrast_heuristic", "light_heuristic",
     ]
     assert saved["crosswalk_centers_contrast"].count() == 297
-    assert dict(saved["crosswalk_centers_lights"].dtypes)["streetlight_id"] == "array<bigint>"
-    assert dict(saved["crosswalk_centers_lights"].dtypes)["streetlight_dist"] == "array<float>"
+    assert dict(saved["crosswalk_centers_lights"].dtypes)["streetlight_id"] == "bigint"
+    assert dict(saved["crosswalk_centers_lights"].dtypes)["streetlight_dist"] == "float"
+    assert saved["crosswalk_centers_lights"].where("streetlight_id IS NOT NULL").count() == 2016
     assert saved["streetlights"].first()["geometry_lat_long"].startswith("POINT (42.3")
     classified = spark.read.option("header", True).csv(str(tmp_path / "out" / "classified_streetlights.csv"))
     assert classified.count() == results.center_light_pairs.count() == 2016

@@ -7,12 +7,16 @@ from shapes import edges, largest_method, lights, polygons, rows_of, square, str
 from test_geodesy import vincenty
 
 from crosslume.operators import (
+    classify_edges,
     decompose_edges,
     hot_keys,
+    key_counts,
     lights_within,
     segment_hits,
     split_join,
 )
+from crosslume.operators.centers import crossings
+from crosslume.operators.skew import piece_of
 from crosslume.plans import fixtures
 from crosslume.sources import stage
 
@@ -49,11 +53,17 @@ def test_split_join_spreads_a_hot_key(spark):
     assert len(per_task) == 4 and max(r["count"] for r in per_task) < 15000
 
 
-def test_hot_keys_are_bounded(spark):
-    df = spark.range(10000).select((F.col("id") % 100).alias("k"))
-    assert hot_keys(df, ["k"], rows=10, top=7).count() == 7
-    assert hot_keys(df, ["k"], rows=100).count() == 0
-    assert {r["ways"] for r in hot_keys(df, ["k"], rows=30).collect()} == {4}
+def test_any_number_of_hot_keys_and_pieces(spark):
+    many = spark.range(60_000).select((F.col("id") % 3000).alias("k"), F.col("id").alias("l"))
+    found = hot_keys(key_counts(many, ["k"]), ["k"], rows=10)
+    assert found.count() == 3000 and {r["ways"] for r in found.collect()} == {2}
+    assert hot_keys(key_counts(many, ["k"]), ["k"], rows=20).count() == 0
+    one = spark.range(12_000).select(F.lit(7).alias("k"), F.col("id").alias("l"))
+    ways = hot_keys(key_counts(one, ["k"]), ["k"], rows=10).first()["ways"]
+    assert ways == 1200
+    pieces = one.groupBy(piece_of(["l"], F.lit(ways)).alias("piece")).count()
+    assert pieces.agg(F.sum("count")).first()[0] == 12_000
+    assert pieces.agg(F.max("count")).first()[0] < 40
 
 
 def random_segments(rng, n, length):
@@ -129,18 +139,41 @@ def test_lights_within_equal_brute_force(spark, radius, hot_rows):
     assert len(want) > 50
 
 
-def test_pruning_changes_nothing(spark):
-    rng = random.Random(3)
-    ours = [(i, (rng.uniform(0, 0.002), rng.uniform(0, 0.002))) for i in range(40)]
-    theirs = [(i, (rng.uniform(0, 0.01), rng.uniform(0, 0.01))) for i in range(400)]
-    want = None
-    for small in (None, 40, 39):
-        near = lights_within(lights(spark, ours), lights(spark, theirs), 50, small_rows=small)
-        plan = near._jdf.queryExecution().optimizedPlan().toString()
-        assert ("LeftSemi" in plan) == (small == 40)
-        got = rows_of(near, "OBJECTID", "streetlight_id")
-        assert got == (want or got) and got
-        want = got
+def test_null_vertices_meet_nothing(spark):
+    box = decompose_edges(polygons(spark, [(1, [square(0.0, 0.0, 1e-3, 1e-3)])]))
+    broken = streets(spark, [(1, None, [(None, None), (0.002, 0.002)]), (2, None, [(-0.002, 0.0), None, (0.002, 0.0)])])
+    assert segment_hits(box, broken).count() == 0
+
+
+def test_rings_keep_apart(spark):
+    outer, hole = square(0.0, 0.0, 4e-4, 4e-4), square(0.0, 0.0, 1e-4, 1e-4)
+    parts = decompose_edges(polygons(spark, [(1, [outer, hole])]))
+    hits = segment_hits(parts, streets(spark, [(5, "FT", [(0.0, -2e-4), (0.0, -1e-4)])]))
+    met = classify_edges(parts, hits).where("is_vehicle_edge")
+    assert rows_of(met, "ring_id", "edge_id") == [(2, 1)]
+
+
+def test_vertices_inside_an_overlap_do_not_count(spark):
+    box = decompose_edges(polygons(spark, [(1, [square(0.0, 0.0, 1e-4, 1e-4)])]))
+    ends = [(-3e-4, -1e-4), (3e-4, -1e-4)]
+    for inner in ([], [(5e-5, -1e-4)], [(-5e-5, -1e-4), (2e-5, -1e-4), (6e-5, -1e-4)]):
+        line = [ends[0], *inner, ends[1]]
+        got = crossings(segment_hits(box, streets(spark, [(5, None, line)]))).first()
+        assert (got["n"], got["sum_x"], got["sum_y"]) == (2, 0, -200_000)
+
+
+def scans(df):
+    """Files that the static plan reads, by the name they were staged under."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("Relation [")
+
+
+def test_inputs_of_the_distance_join_are_staged_once(spark):
+    spots = fixtures.streetlights(spark, SF)
+    near = lights_within(spots, spots, 20)
+    # Bins of either side: one scan to count keys, for either cut, and one to join.
+    assert scans(near) <= 6
+    assert "orders.parquet" not in near._jdf.queryExecution().executedPlan().toString()
 
 
 def test_radius_is_checked(spark):
