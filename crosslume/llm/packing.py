@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,32 +36,49 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Cut(NamedTuple):
+    """Pieces of the texts of a slice: their ids (end ids included), document, number, start and length."""
+
+    ids: np.ndarray
+    owner: np.ndarray
+    piece: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    first: np.ndarray
+
+    def raw(self) -> list[bytes]:
+        data = self.ids.view(np.uint8).data
+        at = 4 * (self.first[self.owner] + self.start)
+        return [bytes(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * self.length).tolist())]
+
+
+def cut(path: str, column: pa.Array, capacity: int, end: int) -> Cut:
+    ids, first = encoder(path).encode(column)
+    ids = np.insert(ids, first[1:], end).astype("<u4")
+    first = first + np.arange(len(first))
+    size = np.diff(first)
+    count = -(-size // capacity)
+    owner = np.repeat(np.arange(len(size)), count)
+    piece = np.arange(len(owner)) - np.repeat(count.cumsum() - count, count)
+    short = (size - (count - 1) * capacity)[owner]
+    start = np.where(piece == 0, 0, short + (piece - 1) * capacity)
+    return Cut(ids, owner, piece, start, np.where(piece == 0, short, capacity), first)
+
+
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
         for batch in slices(batches, "text"):
-            ids, first = encode(batch.column("text"))
-            ids = np.insert(ids, first[1:], end).astype("<u4")
-            first = first + np.arange(len(first))
-            size = np.diff(first)
-            count = -(-size // capacity)
-            owner = np.repeat(np.arange(len(size)), count)
-            piece = np.arange(len(owner)) - np.repeat(count.cumsum() - count, count)
-            short = (size - (count - 1) * capacity)[owner]
-            start = np.where(piece == 0, 0, short + (piece - 1) * capacity)
-            length = np.where(piece == 0, short, capacity)
-            at = first[owner] + start
-            raw = ids.view(np.uint8).data
-            spans = list(zip((4 * at).tolist(), (4 * (at + length)).tolist()))
+            found = cut(path, batch.column("text"), capacity, end)
+            raw = found.raw()
             columns = {
-                "doc_id": batch.column("doc_id").take(pa.array(owner)),
-                "piece": pa.array(piece.astype(np.int32)),
-                "start": pa.array(start),
-                "length": pa.array(length),
-                "ids_crc32": pa.array([zlib.crc32(raw[a:b]) for a, b in spans], pa.int64()),
+                "doc_id": batch.column("doc_id").take(pa.array(found.owner)),
+                "piece": pa.array(found.piece.astype(np.int32)),
+                "start": pa.array(found.start),
+                "length": pa.array(found.length),
+                "ids_crc32": pa.array([zlib.crc32(x) for x in raw], pa.int64()),
             }
             if with_ids:
-                columns["ids"] = pa.array([bytes(raw[a:b]) for a, b in spans], pa.binary())
+                columns["ids"] = pa.array(raw, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
     return run

@@ -21,7 +21,7 @@ _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-_KEEP = 1 << 20  # pieces a worker remembers
+_KEEP = 1 << 19  # pieces a worker remembers
 _tables: dict[str, np.ndarray] = {}
 _encoders: dict[str, Encoder] = {}
 

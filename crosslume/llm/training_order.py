@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosslume.llm.packing import token_pieces
-from crosslume.llm.words import buffers, mix
+from crosslume.llm.packing import cut, tokenizer_path
+from crosslume.llm.words import mix, slices
 from crosslume.sources.staging import stage
 
 LENGTH = 512
 RECORDS = 4096  # of a shard
 ROUNDS = 6
+SMALL = 100_000  # tasks whose counts may be broadcast, 16 bytes each
 
 
 def feistel(numbers: np.ndarray, total: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -48,37 +49,42 @@ def feistel(numbers: np.ndarray, total: int, key: int, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def _numbered(path: str, length: int):
+    """Sequences of the texts, compressed, with the task's number and their place in it."""
 
-    part, n = TaskContext.get().partitionId(), 0
-    for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
+        from pyspark import TaskContext
 
+        part, n = TaskContext.get().partitionId(), 0
         press = zstandard.ZstdCompressor(level=3)
-        data, offsets = buffers(batch.column("ids"))
-        ids = data.view("<u4")
-        dtype = "<u2" if not len(ids) or int(ids.max()) < 1 << 16 else "<u4"
-        at = (offsets // 4).tolist()
-        packed = [press.compress(ids[a:b].astype(dtype).tobytes()) for a, b in zip(at[:-1], at[1:])]
-        rows = batch.num_rows
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([part] * rows, pa.int32()),
-                pa.array(np.arange(n, n + rows)),
-                pa.array([dtype == "<u4"] * rows),
-                pa.array(packed, pa.binary()),
-            ],
-            ["part", "row", "wide", "record"],
-        )
-        n += rows
+        for batch in slices(batches, "text"):
+            found = cut(path, batch.column("text"), length, 0)
+            wide = bool(len(found.ids)) and int(found.ids.max()) >= 1 << 16
+            raw = [np.frombuffer(x, "<u4") for x in found.raw()]
+            rows = len(raw)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part] * rows, pa.int32()),
+                    pa.array(np.arange(n, n + rows)),
+                    pa.array([wide] * rows),
+                    pa.array([press.compress((x if wide else x.astype("<u2")).tobytes()) for x in raw], pa.binary()),
+                    pa.array(found.length.astype(np.int32)),
+                ],
+                ["part", "row", "wide", "record", "length"],
+            )
+            n += rows
+
+    return run
 
 
 def _slots(total: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = feistel(np.asarray(batch.column("number")), total, key)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), batch.column("record")], ["slot", "record"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), batch.column("length"), batch.column("record")], ["slot", "length", "record"]
+            )
 
     return run
 
@@ -106,15 +112,15 @@ def _shards(length: int, dtype: str, records: int):
 
         first, parts = 0, []
         for batch in batches:
-            for slot, record in zip(batch.column("slot").to_pylist(), batch.column("record").to_pylist()):
+            for slot, size, record in zip(*(batch.column(c).to_pylist() for c in ("slot", "length", "record"))):
                 if slot % records == 0 and parts:
                     yield row(first, parts)
                     parts = []
                 if not parts:
                     first = slot
-                ids = np.frombuffer(expand.decompress(record), dtype)
-                head = np.array([len(ids)], "<u2").tobytes()
-                parts.append((head + ids.tobytes()).ljust(stride, b"\0"))
+                data = expand.decompress(record)
+                ids = np.frombuffer(data, f"<u{len(data) // size}").astype(dtype)
+                parts.append((np.array([size], "<u2").tobytes() + ids.tobytes()).ljust(stride, b"\0"))
         if parts:
             yield row(first, parts)
 
@@ -131,8 +137,9 @@ def training_order(
     """
     if not 0 < length < 1 << 16:
         raise ValueError("length must fit 16 bits")
-    pieces = token_pieces(docs, length, with_ids=True, path=path).select("ids")
-    rows = stage(pieces.mapInArrow(_numbered, "part int, row long, wide boolean, record binary"), "order-records")
+    texts = docs.select("text")
+    schema = "part int, row long, wide boolean, record binary, length int"
+    rows = stage(texts.mapInArrow(_numbered(path or tokenizer_path(), length), schema), "order-records")
     parts = rows.groupBy("part").agg(F.count("*").alias("n"), F.max("wide").alias("wide"))
     parts = parts.orderBy("part").collect()  # a row for each task that cut documents
     total = sum(p["n"] for p in parts)
@@ -142,8 +149,10 @@ def training_order(
     starts = spark.createDataFrame(
         [(p["part"], b) for p, b in zip(parts, before)], "part int, before long"
     )
-    rows = rows.join(starts, "part").select((F.col("before") + F.col("row")).alias("number"), "record")
-    rows = rows.mapInArrow(_slots(total, key), "slot long, record binary")
+    if len(parts) <= SMALL:
+        starts = F.broadcast(starts)
+    rows = rows.join(starts, "part").select((F.col("before") + F.col("row")).alias("number"), "length", "record")
+    rows = rows.mapInArrow(_slots(total, key), "slot long, length int, record binary")
     shards = -(-total // records) or 1
     # Range bounds are known: equally many shards for each partition.
     n = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // 16)))
