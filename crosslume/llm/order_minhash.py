@@ -37,10 +37,10 @@ def with_signature(rows: DataFrame, text: str, out: str) -> DataFrame:
         ),
     )
     rows = rows.withColumn(mers, mer)
-    # Hashes are uniform: of many, few times SAMPLE lie below this bound, and sorting them is enough.
-    bound = (F.lit(-(2.0**63)) + F.lit(2.0**64 * 4 * SAMPLE) / F.size(mers)).cast("long")
+    # Hashes are uniform: of many, about 1.5 times SAMPLE lie below this bound, and sorting them is enough.
+    bound = (F.lit(-(2.0**63)) + F.lit(2.0**64 * 1.5 * SAMPLE) / F.size(mers)).cast("long")
     rows = rows.withColumn(
-        near, F.when(F.size(mers) > 8 * SAMPLE, _let(bound, lambda b: F.filter(mers, lambda m: m["h"] < b)))
+        near, F.when(F.size(mers) > 2 * SAMPLE, _let(bound, lambda b: F.filter(mers, lambda m: m["h"] < b)))
     )
     some = F.when(F.coalesce(F.size(near), F.lit(0)) >= SAMPLE, F.col(near)).otherwise(F.col(mers))
     sample = F.slice(F.array_sort(some), 1, SAMPLE)
@@ -111,11 +111,11 @@ def _range(bounds: list[int]) -> Column:
     return F.greatest(coarse - 1, F.lit(0)) * step + inner
 
 
-def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (id, text and others) with ``next_<c>`` of the row that follows in descending order of id.
+def with_next(rows: DataFrame, columns: list[str], prepare) -> DataFrame:
+    """``prepare`` of ``rows`` (id, text and others) with ``next_<c>`` of the row that follows by descending id.
 
     After the last row comes the first. Rows are dealt by ranges of ids; the first row of each range is
-    copied to the end of the range before it.
+    copied to the end of the range before it, and rows and copies are prepared together.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -123,7 +123,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     firsts = rows.groupBy("range").agg(F.max("id").alias("id")).orderBy(F.desc("range")).collect()
     firsts = [(r["range"], r["id"]) for r in firsts]
     if not firsts:
-        return rows.drop("range").select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+        return prepare(rows.drop("range")).select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     moved = spark.createDataFrame(
         [(own, at, before) for (own, at), (before, _) in zip(firsts, [firsts[-1], *firsts[:-1]])],
         "range int, id long, before int",
@@ -131,7 +131,7 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     copies = rows.join(F.broadcast(moved), ["range", "id"]).withColumn("range", F.col("before")).drop("before")
     both = rows.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)))
     order = Window.partitionBy("range").orderBy("copy", F.desc("id"), "text")
-    both = both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
+    both = prepare(both).select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns))
     return both.filter("NOT copy").drop("copy", "range")
 
 
@@ -147,8 +147,7 @@ def edited(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    rows = with_signature(rows, "text", "signature")
-    rows = with_next(rows, ["text", "signature"])
+    rows = with_next(rows, ["text", "signature"], lambda df: with_signature(df, "text", "signature"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn(
