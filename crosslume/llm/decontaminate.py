@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from crosslume.llm.columns import set_aside
 from crosslume.llm.words import ALNUM, LOWER, Words, buffers, find_words, mix, slices, word_hashes
 from crosslume.sources.staging import stage
 
@@ -213,4 +214,5 @@ def decontaminate(
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    return decontaminate(docs, benchmark, **options).filter(~F.col("contaminated")).select(docs.columns)
+    rows, restore = set_aside(docs, "n_words", "hits", "items", "contaminated")
+    return restore(decontaminate(rows, benchmark, **options).filter(~F.col("contaminated")))

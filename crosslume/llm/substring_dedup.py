@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosslume.llm.columns import set_aside
 from crosslume.llm.fm_index import FMIndex
 from crosslume.llm.words import NOT_SPACE, buffers, find_words, gram_hashes, mix, slices, span_hashes, word_hashes
 from crosslume.sources.staging import stage
@@ -195,7 +196,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) ->
         places.join(hits, ["key", "content"])
         .select("id", "text_key", F.struct(start.alias("start"), (F.col("windows") + window - 1).cast("long").alias("length")).alias("span"))
         .groupBy("id", "text_key")
-        .agg(F.collect_list("span").alias("spans"))
+        .agg(F.collect_list("span").alias("_repeat_spans"))
     )
 
 
@@ -203,7 +204,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         words = find_words(*buffers(batch.column("text")), NOT_SPACE)
         marks = np.zeros(len(words.starts) + 1, np.int64)
-        for first, spans in zip(words.first.tolist(), batch.column("spans").to_pylist()):
+        for first, spans in zip(words.first.tolist(), batch.column("_repeat_spans").to_pylist()):
             for s in spans or ():
                 marks[first + s["start"]] += 1
                 marks[first + s["start"] + s["length"]] -= 1
@@ -231,20 +232,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     """
     docs = docs.drop("n_words", "n_removed", "kept", "kept_sha256")
     none = F.lit(None)
-    keyed = {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_text_key": F.hash("text")}
+    keyed = {"_repeat_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_repeat_key": F.hash("text")}
     rows = docs.withColumns(keyed)
     spans = repeated_intervals(
-        rows.select(F.col("_id").alias("id"), F.col("_text_key").alias("text_key"), "text"), window, hot
-    ).select(F.col("id").alias("_id"), F.col("text_key").alias("_text_key"), "spans")
-    rows = rows.join(spans, ["_id", "_text_key"], "left").select(
+        rows.select(F.col("_repeat_id").alias("id"), F.col("_repeat_key").alias("text_key"), "text"), window, hot
+    ).select(F.col("id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"), "_repeat_spans")
+    rows = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").select(
         *docs.columns,
-        "spans",
+        "_repeat_spans",
         none.cast("long").alias("n_words"),
         none.cast("long").alias("n_removed"),
         none.cast("string").alias("kept"),
         none.cast("string").alias("kept_sha256"),
     )
-    return rows.mapInArrow(_remove, rows.schema).drop("spans")
+    return rows.mapInArrow(_remove, rows.schema).drop("_repeat_spans")
 
 
 def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -252,9 +253,9 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A row all of whose words are repeated keeps an empty text. ``n_chars`` follows the text.
     """
-    out = remove_repeats(docs.withColumn("_chars", F.col("n_chars")), window)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = out.withColumns(
-        {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("_chars"))}
-    )
-    return out.select(docs.columns)
+    rows, restore = set_aside(docs, "n_words", "n_removed", "kept", "kept_sha256")
+    shorter = F.col("n_removed") > 0
+    changed = {"text": F.when(shorter, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(shorter, F.char_length("kept")).otherwise(F.col("n_chars"))
+    return restore(remove_repeats(rows, window).withColumns(changed))
