@@ -3,6 +3,7 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from helpers import decontaminated, groups, without_repeats
 
 import __spark_entry__
@@ -67,3 +68,24 @@ def test_run(spark):
     assert (rows.groupby("sequence_id").length.sum() <= 2048).all()
     kept = rows.doc_id.nunique()
     assert 0.4 * 200 < kept < 200
+
+
+def test_clashing_columns_are_kept(spark):
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    names = ["n_words", "hits", "items", "contaminated", "n_removed", "kept", "kept_sha256", "spans", "score"]
+    names += ["predicted", "component_id", "n_shingles", "id", "Label", "bucket", "lang_pred", "_repeat"]
+    more = some.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, more, SF)
+        assert left.columns == more.columns and left.schema == more.schema, name
+        rows = left.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names), name
+    assert corpus_pipeline.pack(spark, more, SF).count() >= 60
+
+
+def test_stages_take_tables_without_rows_and_null_rows(spark):
+    some = spark.read.parquet(f"{SF}/documents.parquet")
+    nulls = some.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in some.schema])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, some.limit(0), SF).count() == 0, name
+        assert stage(spark, some.limit(20).unionByName(nulls), SF).count() > 0, name
