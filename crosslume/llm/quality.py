@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from crosslume.llm.columns import set_aside
 from crosslume.llm.labelled import fold, labelled_sample
 from crosslume.llm.words import LOWER, NOT_SPACE, buffers, find_words, slices, word_hashes
 
 CHUNK, HOP, WIDTH, STRIDE, FILTERS = 256, 192, 5, 2, 12
 SAMPLE = {0: 1500, 1: 3000}  # labelled documents to fit on, at most
-EPOCHS, BATCH, RATE, CHUNKS = 8, 64, 0.02, 6
+STEPS, BATCH, RATE, CHUNKS = 560, 64, 0.02, 6
 THRESHOLD = 0.3
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
@@ -99,7 +100,7 @@ def score(net: Network, column: pa.Array) -> np.ndarray:
 
 
 def train(sample: pa.Table, seed: int = 1) -> Network:
-    """Fit to (text, label); in an epoch a text shows up to ``CHUNKS`` random chunks."""
+    """Fit to (text, label); each time a text shows up to ``CHUNKS`` random chunks."""
     random = np.random.default_rng(seed)
     parts = [
         random.normal(0, 0.1, (WIDTH, 256, FILTERS)).astype(np.float32),
@@ -111,10 +112,12 @@ def train(sample: pa.Table, seed: int = 1) -> Network:
     label = np.asarray(sample.column("label")).astype(float)
     if not len(label):
         return net._replace(layer=np.append(np.zeros(2 * FILTERS), 1.0))
-    c = chunks(sample.column("text"))
+    parts = [chunks(batch.column("text")) for batch in slices(sample.to_batches(), "text")]
+    sizes = np.concatenate([np.diff(p.first) for p in parts])
+    c = Chunks(*(np.concatenate(x) for x in list(zip(*parts))[:3]), np.concatenate([[0], np.cumsum(sizes)]))
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net]
     step = 0
-    for epoch in range(EPOCHS):
+    while step < STEPS:
         order = random.permutation(len(label))
         for at in range(0, len(order), BATCH):
             docs = order[at : at + BATCH]
@@ -148,7 +151,7 @@ def train(sample: pa.Table, seed: int = 1) -> Network:
                 x.T @ error + 1e-4 * net.layer,
             ]
             step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
+            rate = RATE * max(0.05, 1 - step / STEPS)
             for p, g, (m, v) in zip(net, gradients, moments):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -185,4 +188,5 @@ def with_score(docs: DataFrame, net: Network) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that the classifier does not reject."""
-    return with_score(docs, fit(docs, labels, **options)).filter("predicted = 1").select(docs.columns)
+    rows, restore = set_aside(docs, "score", "predicted")
+    return restore(with_score(rows, fit(docs, labels, **options)).filter("predicted = 1"))

@@ -28,7 +28,7 @@ SAMPLE = {0: 6000, 1: 3000}  # labelled documents to fit on, at most
 TERMS, COMMON = 300, 600
 LEAST = 8  # toxic documents a term must occur in
 THRESHOLD = 0.3
-PRIOR = 0.2  # share of toxic texts the probabilities are calibrated for, whatever the sample's share
+PRIOR = 0.15  # share of toxic texts the probabilities are calibrated for, whatever the sample's share
 LOW, HIGH = -3, 9  # saved bytes beyond these count as these
 
 #: Letters (ASCII) and all other text beyond ASCII.
@@ -110,18 +110,33 @@ def _features(saved: np.ndarray, first: np.ndarray, odds: np.ndarray) -> np.ndar
 def train(sample: pa.Table) -> Model:
     """Dictionaries, window odds and calibration from (text, label)."""
     label = np.asarray(sample.column("label"))
-    data, begin, end, first = windows(sample.column("text").combine_chunks())
-    counts, total = (Counter(), Counter()), (int((label == 0).sum()), int((label == 1).sum()))
-    for i, toxic in enumerate(label.tolist()):
-        if first[i] < first[i + 1]:
-            counts[toxic].update(_terms(data[begin[first[i]] : end[first[i + 1] - 1]]))
+    total = (int((label == 0).sum()), int((label == 1).sum()))
+    parts, at = [], 0
+    for batch in slices(sample.to_batches(), "text"):
+        parts.append((label[at : at + batch.num_rows], *windows(batch.column("text"))))
+        at += batch.num_rows
+
+    def texts(value: int) -> Iterator[bytes]:
+        for own, data, begin, end, first in parts:
+            for i in np.flatnonzero((own == value) & (np.diff(first) > 0)):
+                yield data[begin[first[i]] : end[first[i + 1] - 1]]
+
+    counts = (Counter(), Counter())
+    for text in texts(1):
+        counts[1].update(_terms(text))
+    kept = {t: n for t, n in counts[1].items() if n >= LEAST}
+    counts = (Counter(), Counter(kept))
+    common: Counter = Counter()
+    for text in texts(0):
+        counts[0].update(t for t in _terms(text) if t in kept)
+        common.update(w for w in set(text.split()) if len(w) >= 4)
 
     def surplus(term: bytes) -> float:
         a, b = counts[1][term], counts[0][term]
         share = (a + 0.5) / (total[1] + 1) / ((b + 0.5) / (total[0] + 1))
         return a * np.log(share) - 2 * b if share > 4 else 0.0
 
-    ranked = sorted(((surplus(t), t) for t, n in counts[1].items() if n >= LEAST), key=lambda x: (-x[0], -len(x[1]), x[1]))
+    ranked = sorted(((surplus(t), t) for t in kept), key=lambda x: (-x[0], -len(x[1]), x[1]))
     terms: list[bytes] = []
     for value, term in ranked[: 20 * TERMS]:
         if value > 15 and len(terms) < TERMS and not any(t in term for t in terms):
@@ -130,14 +145,17 @@ def train(sample: pa.Table) -> Model:
         t for t in terms
         if not any(o != t and o.startswith(t.rstrip()) and counts[1][o] >= 0.8 * counts[1][t] for o in terms)
     ]
-    common = sorted((t for t in counts[0] if t.endswith(b" ")), key=lambda t: (-counts[0][t], t))[:COMMON]
-    ordinary = b"".join(t[1:] for t in reversed(common)) or b" "
+    frequent = sorted(common, key=lambda t: (-common[t], t))[:COMMON]
+    ordinary = b"".join(w + b" " for w in reversed(frequent)) or b" "
     toxic = b"\0".join([*reversed(whole), ordinary])
-    saved = Distance(ordinary, toxic).saved(data, begin, end)
-    owner = np.repeat(label, np.diff(first))
-    seen = [np.bincount(saved[owner == v], minlength=HIGH - LOW + 1) + 2.0 for v in (0, 1)]
+    distance = Distance(ordinary, toxic)
+    saved = [distance.saved(data, begin, end) for _, data, begin, end, _ in parts]
+    seen = np.full((2, HIGH - LOW + 1), 2.0)
+    for (own, *_, first), x in zip(parts, saved):
+        owner = np.repeat(own, np.diff(first))
+        seen += [np.bincount(x[owner == v], minlength=HIGH - LOW + 1) for v in (0, 1)]
     odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    x = _features(saved, first, odds)
+    x = np.concatenate([np.zeros((0, 5))] + [_features(x, p[-1], odds) for p, x in zip(parts, saved)])
     weight = np.where(label == 1, PRIOR / max(total[1], 1), (1 - PRIOR) / max(total[0], 1)) * len(label)
     layer = np.zeros(x.shape[1])
     for _ in range(30):
