@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,3 +71,35 @@ def meters_to_degrees(meters: Column, latitude: Column | float = 42.3601) -> Col
     return F.greatest(
         meters / METERS_PER_DEGREE, meters / (METERS_PER_DEGREE * F.cos(F.radians(lat)))
     )
+
+
+def web_mercator(p: Column) -> Column:
+    """Metres east and north in EPSG:3857 (a sphere of the equatorial radius) of a point in longitude and latitude."""
+    x = F.radians(p["x"]) * F.lit(WGS84_A)
+    y = F.ln(F.tan(F.lit(math.pi / 4) + F.radians(p["y"]) / 2)) * F.lit(WGS84_A)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def mercator_area(polygon: Column) -> Column:
+    """Square metres of a polygon in EPSG:3857; rings that run the other way (holes) are taken off.
+
+    NULL for a polygon without rings.
+    """
+
+    def ring_area(ring: Column) -> Column:
+        flat = F.transform(ring, web_mercator)
+
+        def around(points: Column) -> Column:
+            # From the first vertex on, as the products of whole coordinates would lose digits.
+            o = F.get(points, F.lit(0))
+            ends = F.zip_with(
+                F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))),
+                F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))),
+                lambda p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"]),
+            )
+            return F.aggregate(ends, F.lit(0.0), lambda total, x: total + x) / 2
+
+        return F.get(F.transform(F.array(flat), around), F.lit(0))
+
+    total = F.aggregate(F.transform(polygon, ring_area), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(polygon) > 0, F.abs(total))

@@ -18,6 +18,7 @@ from crosslume.operators.lighting import (
     with_axes,
     with_lat_long,
 )
+from crosslume.operators.places import place_categories, population_density
 from crosslume.operators.skew import hot_keys, key_counts, split_join
 from crosslume.operators.spatial_join import lights_within, segment_hits
 
@@ -39,6 +40,8 @@ __all__ = [
     "lookup_distance",
     "oneway_centers",
     "oneway_direction",
+    "place_categories",
+    "population_density",
     "segment_hits",
     "simplify_to_rectangle",
     "split_join",

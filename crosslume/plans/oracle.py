@@ -39,6 +39,9 @@ _CTES = {
     "vertex": """
         SELECT id, k, ox + u * cs - v * sn AS x, oy + u * sn + v * cs AS y
         FROM frame, ring""",
+    "metre": """
+        SELECT id, k, 6378137e0 * radians(x) AS mx, 6378137e0 * ln(tan(pi() / 4 + radians(y) / 2)) AS my
+        FROM vertex""",
     "direction": """
         SELECT a.id, a.k AS i, b.k AS j, a.x AS x0, a.y AS y0,
                (b.x - a.x) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) AS ux,
@@ -301,6 +304,15 @@ _OVERLAPS = """
     FROM part, (VALUES (CAST(1 AS BIGINT)), (2)) r(ring_id),
          (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) e(edge_id)"""
 
+_DENSITY = """
+    SELECT tract_id, round(area, 1) AS area_m2, round(p_size * 100 / (area / 1e6) / 1e5, 1) AS total_per_10m2,
+           round(p_size % 10 * 10 / (area / 1e6) / 1e5, 1) AS seniors_per_10m2
+    FROM (SELECT a.id AS tract_id,
+                 abs(sum((a.mx - o.mx) * (b.my - o.my) - (b.mx - o.mx) * (a.my - o.my))) / 2 AS area
+          FROM metre a JOIN metre b ON b.id = a.id AND b.k = a.k + 1 JOIN metre o ON o.id = a.id AND o.k = 0
+          GROUP BY a.id) t
+    JOIN part ON p_partkey = tract_id"""
+
 _N_STREETS = """
     (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier)"""
 
@@ -366,6 +378,11 @@ ORACLE = {
     "csv_parquet_contents": _with(_CONTENTS),
     "geojson_layouts": _with(_LAYOUTS),
     "overlap_and_holes": _OVERLAPS,
+    "tract_density": _with(_DENSITY),
+    "place_categories": """
+        SELECT s_suppkey AS place_id, r_name AS category
+        FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+        UNION ALL SELECT s_suppkey, 'OPEN' FROM supplier WHERE s_suppkey % 3 = 0""",
     "centers_without_lights": _with(
         """SELECT cid AS crosswalk_id, oid AS street_segment_id, center_id FROM center c
            WHERE NOT EXISTS (SELECT 1 FROM pair p WHERE p.cid = c.cid AND p.oid = c.oid

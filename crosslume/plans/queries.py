@@ -28,6 +28,7 @@ from crosslume.operators.lighting import (
     with_axes,
     with_lat_long,
 )
+from crosslume.operators.places import place_categories, population_density
 from crosslume.operators.spatial_join import lights_within, segment_hits
 from crosslume.plans import fixtures
 from crosslume.plans.run import (
@@ -546,6 +547,44 @@ def full_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.select(*_score_columns(), _light_heuristic())
 
 
+def tract_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every crosswalk as a tract with made-up counts of its part."""
+    counts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_partkey").alias("OBJECTID"),
+        (F.col("p_size") * 100).alias("total"),
+        (F.col("p_size") % 10 * 10).alias("seniors"),
+    )
+    tracts = fixtures.crosswalks(spark, sf_dir).join(counts, "OBJECTID")
+    dense = population_density(tracts, ["total", "seniors"])
+    return dense.select(
+        F.col("OBJECTID").alias("tract_id"),
+        F.round(F.col("area_km2") * 1e6, 1).alias("area_m2"),
+        *[F.round(F.col(f"{s}_per_km2") / 1e5, 1).alias(f"{s}_per_10m2") for s in ("total", "seniors")],
+    )
+
+
+def categories_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as places tagged with their nation and with ``open``; regions are the categories."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    regions = spark.read.parquet(f"{sf_dir}/region.parquet")
+    table = nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.lit("nation").alias("tag"), F.col("n_nationkey").cast("string").alias("value"), F.col("r_name").alias("category")
+    )
+    table = table.unionByName(
+        spark.range(1).select(
+            F.lit("open").alias("tag"), F.lit(None).cast("string").alias("value"), F.lit("OPEN").alias("category")
+        )
+    )
+    nation = F.col("s_nationkey").cast("string")
+    places = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("OBJECTID"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.create_map(F.lit("nation"), nation, F.lit("open"), F.lit("yes")))
+        .otherwise(F.create_map(F.lit("nation"), nation))
+        .alias("tags"),
+    )
+    return place_categories(places, table).withColumnRenamed("OBJECTID", "place_id")
+
+
 QUERIES = {
     "geojson_roundtrip": geojson_roundtrip,
     "geojson_layouts": geojson_layouts,
@@ -575,5 +614,7 @@ QUERIES = {
     "saved_classified_lights": saved_classified_lights,
     "saved_centers_lights": saved_centers_lights,
     "saved_streetlights": saved_streetlights,
+    "tract_density": tract_density,
+    "place_categories": categories_of_places,
     "full_contrast": full_contrast,
 }

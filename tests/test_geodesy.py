@@ -81,3 +81,17 @@ def test_meters_to_degrees(spark):
     d, e = out.first()
     assert d == pytest.approx(20 / (111320 * math.cos(math.radians(42.3601))))
     assert e == pytest.approx(20 / 111320)
+
+
+def test_mercator_area_takes_holes_off(spark):
+    def ring(w, turn):
+        corners = [(-w, -w), (w, -w), (w, w), (-w, w), (-w, -w)]
+        return corners[::turn]
+
+    rows = [(1, [ring(0.01, 1)]), (2, [ring(0.01, 1), ring(0.005, -1)]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "id long, g array<array<struct<x:double,y:double>>>")
+    area = {r["id"]: r["a"] for r in df.select("id", D.mercator_area(F.col("g")).alias("a")).collect()}
+    side = math.radians(0.02) * 6378137
+    assert area[1] == pytest.approx(side * side, rel=1e-6)
+    assert area[2] == pytest.approx(0.75 * side * side, rel=1e-6)
+    assert area[3] is None and area[4] is None
