@@ -11,9 +11,10 @@ probability of 1 - 1e-5 or more. The registers of a pair give the likeliest simi
 threshold go, all others are confirmed on their full sets. Sets that are equal are one class from
 the start.
 
-Nothing lists the pairs of a bucket: each round, members meet one pivot of their bucket, links merge
-components, and only buckets that still hold several components go on, with another pivot. After
-``ROUNDS`` rounds the pairs between different components of a bucket are all checked.
+Nothing lists the pairs of a bucket. First every member meets the pivot of its bucket, and links give labels.
+Then only members of different labels that share a pivot can still be linked: the main label of a pivot
+meets all others in blocks, whose tasks count common shingles exactly and return the links. Components of all
+links are found at the end.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crosslume.llm.bitmaps import maybe_in
 from crosslume.llm.components import connect
 from crosslume.llm.words import LOWER, NOT_SPACE, buffers, find_words, gram_hashes, mix, slices, word_hashes
 from crosslume.sources.staging import stage
@@ -32,8 +34,8 @@ from crosslume.sources.staging import stage
 BANDS, ROWS = 40, 6
 M = BANDS * ROWS
 BASE, RATE = 1.09, 20.0
-ROUNDS = 4
-MARGIN = 0.2
+MARGIN = 0.15
+BLOCK = 200_000  # shingles of one side of a block
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,52 +193,104 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives that are linked."""
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each left set shares with each right set."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = [[np.searchsorted(shared, x[np.isin(x, shared, assume_unique=True)]) for x in side] for side in (left, right)]
+    for at in range(0, len(shared), 4096):
+        tables = []
+        for side in places:
+            table = np.zeros((len(side), 4096), np.float32)
+            for row, x in zip(table, side):
+                row[x[np.searchsorted(x, at) : np.searchsorted(x, at + 4096)] - at] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _compare(size: int, percent: int):
+    """Links between the two sides of a block, where labels differ."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        values, first = shingle_sets(table.column("text"), size)
+        ids, label = (np.asarray(table.column(c)) for c in ("id", "label"))
+        rows, columns = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        pairs = np.zeros((0, 2), np.int64)
+        if len(rows) and len(columns):
+            n = np.diff(first)
+            common = common_counts(*([values[first[i] : first[i + 1]] for i in x] for x in (rows, columns)))
+            union = n[rows][:, None] + n[columns][None, :] - common
+            linked = (100 * common >= percent * union) & (label[rows][:, None] != label[columns][None, :])
+            x, y = np.nonzero(linked)
+            pairs = np.sort(np.stack([ids[rows[x]], ids[columns[y]]], axis=1), axis=1)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    return run
+
+
+def _pivot_links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets that are linked."""
 
     def side(name: str) -> DataFrame:
         return sketches.select(*(F.col(c).alias(name if c == "id" else f"{name}_{c}") for c in sketches.columns))
 
     near = pairs.join(side("b"), "b").join(side("a"), "a")
     near = near.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-    near = stage(near.mapInArrow(_likely(percent / 100), "a long, b long"), "setsketch-near")
-    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    texts = stage(texts.join(ends, "id", "left_semi"), "setsketch-texts")
+    near = near.mapInArrow(_likely(percent / 100), "a long, b long")
     both = near.join(texts.select(F.col("id").alias("b"), F.col("text").alias("b_text")), "b").join(
         texts.select(F.col("id").alias("a"), F.col("text").alias("a_text")), "a"
     )
     return stage(both.mapInArrow(_confirm(size, percent), "a long, b long"), "setsketch-links")
 
 
-def _pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member with the pivot of its bucket, where their components differ."""
-    order = F.col("id") if turn == 0 else F.xxhash64("id", F.lit(turn))
-    pivots = members.groupBy("bucket").agg(F.min_by(F.struct("id", "component"), order).alias("pivot"))
-    pairs = members.join(pivots, "bucket").filter(F.col("component") != F.col("pivot.component"))
-    return pairs.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct()
-
+def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label): ids with one label are linked, by some steps; others may be or not."""
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("label")).union(links.select("b", "a"))
+    step = both.groupBy("id").agg(F.least(F.min("label"), F.col("id")).alias("label"))
+    step = stage(step, "setsketch-labels")
+    for _ in range(2):
+        further = step.select(F.col("id").alias("label"), F.col("label").alias("least"))
+        step = step.join(further, "label").select("id", F.col("least").alias("label"))
+    return ids.join(step, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
-def _open_pairs(members: DataFrame) -> int:
-    """How many pairs of a bucket lie in different components, over all buckets."""
-    parts = members.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("k"))
-    pairs = parts.groupBy("bucket").agg(((F.sum("k") ** 2 - F.sum(F.col("k") ** 2)) / 2).alias("pairs"))
-    return int(pairs.agg(F.sum("pairs")).first()[0] or 0)
 
-
-def _all_pairs(members: DataFrame) -> DataFrame:
-    other = members.select("bucket", F.col("id").alias("b"), F.col("component").alias("b_component"))
-    pairs = members.withColumnRenamed("id", "a").join(other, "bucket")
-    return pairs.filter("a < b AND component <> b_component").select("a", "b").distinct()
-
-
-def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after components that ``links`` join are one."""
-    ends = [labels.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component")) for c in "ab"]
-    joined = links.join(ends[0], "a").join(ends[1], "b")
-    roots = connect(joined.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
-    roots = roots.select(F.col("id").alias("component"), F.col("component").alias("root"))
-    labels = labels.join(roots, "component", "left").select("id", F.coalesce("root", "component").alias("component"))
-    return stage(labels, "setsketch-labels")
+def _block_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members (pivot, id, label) of a pivot that differ in label."""
+    rows = groups.join(sketches.select("id", "n"), "id")
+    parts = rows.groupBy("pivot", "label").agg(F.sum("n").alias("n"))
+    main = parts.groupBy("pivot").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")
+    )
+    main = main.filter(F.col("most") < F.col("all"))
+
+    def blocks(n: Column) -> Column:
+        return F.ceil(n / F.lit(float(BLOCK))).cast("int")
+
+    main = main.select("pivot", "main", blocks(F.col("most")).alias("m"), blocks(F.col("all") - F.col("most")).alias("o"))
+    rows = rows.join(main, "pivot").withColumn("other", F.col("label") != F.col("main"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("other"), F.col("o")).otherwise(F.col("m"))).cast("int")
+    rows = rows.withColumn("own", own)
+    left = rows.select(
+        "pivot",
+        "id",
+        "label",
+        F.when(F.col("other"), F.col("m") + F.col("own")).otherwise(F.col("own")).alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("o") - 1)).alias("j"),
+        F.lit(0).alias("side"),
+    )
+    right = rows.filter("other").select(
+        "pivot",
+        "id",
+        "label",
+        F.explode(F.sequence(F.lit(0), F.col("m") + F.col("o") - 1)).alias("i"),
+        F.col("own").alias("j"),
+        F.lit(1).alias("side"),
+    )
+    both = left.unionByName(right).join(texts, "id")
+    links = both.groupBy("pivot", "i", "j").applyInArrow(_compare(size, percent), "a long, b long")
+    return stage(links.distinct(), "setsketch-block-links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -260,19 +314,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     first = classes.groupBy("rep").agg(F.min_by(F.struct("n", "registers"), F.struct("set_a", "set_b")).alias("x"))
     sets = stage(first.select(F.col("rep").alias("id"), "x.n", "x.registers"), "setsketch-sets")
     members = sets.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1").select("bucket")
-    members = stage(members.join(crowded, "bucket"), "setsketch-buckets")
-    labels = stage(members.select("id").distinct().withColumn("component", F.col("id")), "setsketch-labels")
-    texts = texts.filter("id IS NOT NULL")
-    for turn in range(ROUNDS + 1):
-        now = members.join(labels, "id")
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"))
-        now = stage(now.join(mixed.filter("x <> y").select("bucket"), "bucket"), "setsketch-open")
-        last = turn == ROUNDS or (turn > 0 and _open_pairs(now) <= 4 * now.count())
-        found = _links(_all_pairs(now) if last else _pivot_pairs(now, turn), sets, texts, size, percent)
-        labels = _merge(labels, found)
-        if last:
-            break
+    pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
+    pivots = pivots.filter("pivot <> last").select("bucket", "pivot")
+    groups = stage(members.join(pivots, "bucket").select("pivot", "id").distinct(), "setsketch-groups")
+    ids = groups.select("id").distinct()
+    texts = maybe_in(texts, ids, "id", "maybe").filter("maybe").drop("maybe")
+    texts = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
+    texts = stage(texts, "setsketch-texts")
+    pairs = groups.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
+    links = _pivot_links(pairs, sets, texts, size, percent)
+    groups = groups.join(_labels(ids, links), "id")
+    links = links.unionByName(_block_links(groups, sets, texts, size, percent))
+    labels = connect(links)
     rows = sketches.select("id", *key).join(classes.select("rep", *key), key, "left")
     rows = rows.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
@@ -282,5 +335,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def clean(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies, the one with the least doc_id, and all others."""
-    gone = near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stage(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id"), "setsketch-gone")
+    rows = maybe_in(docs, gone, "doc_id", "_maybe_gone")
+    some = rows.filter("_maybe_gone").join(gone, "doc_id", "left_anti").select(docs.columns)
+    return rows.filter("NOT _maybe_gone").select(docs.columns).unionByName(some)
