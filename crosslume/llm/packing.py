@@ -211,9 +211,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     No sequence is longer than ``capacity``; its pieces stand one after the other from 0. All rows of
     the input are packed, equal ones as often as they occur.
     """
-    pieces = stage(pieces, "packing-pieces")
-    blocks = -(-pieces.filter(F.col("length") < capacity).count() // BLOCK) or 1
-    rows = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(blocks)).cast("int"))
+    # Rows are numbered as they are written, so that equal rows, however many, spread over all blocks.
+    numbered = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "packing-pieces")
+    blocks = -(-numbered.filter(F.col("length") < capacity).count() // BLOCK) or 1
+    rows = numbered.withColumn("block", F.pmod(F.xxhash64("_row"), F.lit(blocks)).cast("int")).drop("_row")
     some = rows.filter(F.col("length") < capacity).select("block", "length")
     sizes = stage(some.groupBy("block").applyInArrow(_lengths, "block int, sizes binary"), "packing-sizes")
     islands = F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))
