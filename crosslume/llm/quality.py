@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosslume.llm.columns import set_aside
-from crosslume.llm.labelled import fold, labelled_sample
+from crosslume.llm.labelled import fit_in_task, fold, labelled_sample
 from crosslume.llm.words import LOWER, NOT_SPACE, buffers, find_words, slices, word_hashes
 
 CHUNK, HOP, WIDTH, STRIDE, FILTERS = 256, 192, 5, 2, 12
@@ -161,7 +161,8 @@ def train(sample: pa.Table, seed: int = 1) -> Network:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> Network:
     """Train on at most ``SAMPLE`` documents of each label, none of the fold ``held_out`` of doc_id."""
-    return train(labelled_sample(docs, labels, "quality", fold("doc_id", folds) == held_out, SAMPLE))
+    sample = labelled_sample(docs, labels, "quality", fold("doc_id", folds) == held_out, SAMPLE)
+    return fit_in_task(sample, train)
 
 
 def _score(net):

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosslume.llm.labelled import fold, labelled_sample
+from crosslume.llm.labelled import fit_in_task, fold, labelled_sample
 from crosslume.llm.words import LOWER, buffers, find_words, slices
 
 WINDOW = 12
@@ -174,7 +174,8 @@ def score(model: Model, distance: Distance, column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """Train on at most ``SAMPLE`` documents of each label, none of the fold ``held_out`` of doc_id."""
-    return train(labelled_sample(docs, labels, "toxic", fold("doc_id", folds) == held_out, SAMPLE))
+    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", folds) == held_out, SAMPLE)
+    return fit_in_task(sample, train)
 
 
 def _score(model):
