@@ -5,8 +5,10 @@ picks its ``2`` least numbered k-mers; the two, in the order they have in the te
 entries agree the more k-mers two texts share *in the same order*: unlike a set sketch, the fingerprint notices
 when passages move, as edit distance does.
 
-The orders look at the ``SAMPLE`` least k-mers of a text by one hash (earlier occurrences first). Texts that are
-alike keep alike samples, and a long text costs one hash for each word.
+A numbered k-mer meets the orders one after the other, in ``SIGNATURES`` rounds from an order and in steps given
+by its hash, each at a random time of the round. The times are its keys, so it has one in every order. Keys
+are looked at up to the time by which every order has most likely met two k-mers, later ones where one has
+not: a long text costs about one key for each word, and no k-mer is left out.
 """
 
 from __future__ import annotations
@@ -16,61 +18,100 @@ from pyspark.sql import functions as F
 
 K = 2
 SIGNATURES = 64
-SAMPLE = 64  # a power of two: places in it are kept in the low bits of hashes
+REACH = 14  # keys of an order that are looked at, on average; in one text of 1,000 some order has met fewer than two
+_TIME, _ROUND, _SLOT = (1 << 51) - 1, 51, 57  # a key: order, round, time in the round and, in its last bits, the k-mer
 _WHITE = "[ \\t\\n\\x0B\\f\\r]+"
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
+def _heads(sorted_keys: Column, group) -> Column:
+    """Places in a sorted array at which ``group`` of a key changes."""
+    return F.array_compact(
+        F.transform(
+            sorted_keys, lambda k, j: F.when(~group(k).eqNullSafe(group(F.get(sorted_keys, j - 1))), j)
+        )
+    )
+
+
+def _slot(key: Column) -> Column:
+    return F.shiftright(key, _SLOT)
+
+
+def _points(ids: Column, cap: Column, reach: int) -> Column:
+    """Keys of numbered k-mers, ascending: all rounds up to the one by which an order meets ``reach`` of them.
+
+    Of a text with so many k-mers that a part of the first round is enough, the keys of that part.
+    """
+    n, enough = F.size(ids), reach * SIGNATURES
+    rounds = F.least(F.ceil(F.lit(enough) / F.greatest(n, F.lit(1))), F.lit(SIGNATURES)).cast("int")
+
+    def key(x: Column, j: Column, i: Column | None = None) -> Column:
+        slot, time = F.shiftrightunsigned(x, 58), x
+        if i is not None:
+            step = F.shiftright(x, _ROUND).bitwiseAND(F.lit(SIGNATURES - 1)).bitwiseOR(F.lit(1))  # odd: no order twice
+            slot = (slot + step * i).bitwiseAND(F.lit(SIGNATURES - 1))
+            time = F.when(i == 0, x).otherwise(F.xxhash64(x, i))
+        at = time.bitwiseAND(F.lit(_TIME)).bitwiseAND(-cap).bitwiseOR(j.cast("long"))
+        at = at if i is None else at.bitwiseOR(F.shiftleft(i.cast("long"), _ROUND))
+        return F.shiftleft(slot, _SLOT).bitwiseOR(at)
+
+    bound = (F.lit(float(enough) * 2.0**_ROUND) / F.greatest(n, F.lit(1))).cast("long")
+    part = F.filter(F.transform(ids, lambda x, j: key(x, j)), lambda k: k.bitwiseAND(F.lit(_TIME)) < bound)
+    every = F.flatten(
+        F.transform(F.sequence(F.lit(0), rounds - 1), lambda i: F.transform(ids, lambda x, j: key(x, j, i)))
+    )
+    return F.sort_array(F.when(n > enough, part).otherwise(every))
 
 
 def with_signature(rows: DataFrame, text: str, out: str) -> DataFrame:
     """``rows`` with the column ``out``: SIGNATURES entries of 16 bits, none for a text without words."""
-    words, mers, near = f"{out}_words", f"{out}_mers", f"{out}_near"
-    rows = rows.withColumn(words, F.array_remove(F.split(F.coalesce(text, F.lit("")), _WHITE), ""))
+    names = [f"{out}_{c}" for c in ("words", "mers", "cap", "places", "runs", "ids", "keys", "firsts", "more")]
+    words, mers, cap, places, runs, ids, keys, firsts, more = (F.col(c) for c in names)
+
+    def put(**columns: Column) -> None:
+        nonlocal rows
+        for name, value in columns.items():
+            rows = rows.withColumn(f"{out}_{name}", value)
+
+    put(words=F.array_remove(F.split(F.coalesce(text, F.lit("")), _WHITE), ""))
     many = F.greatest(F.size(words) - (K - 1), F.least(F.size(words), F.lit(1)))
-    mer = F.transform(
-        F.slice(words, F.lit(1), many),
-        lambda w, i: F.struct(
-            F.xxhash64(w, *(F.get(F.col(words), i + j) for j in range(1, K))).alias("h"), i.alias("i")
+    put(
+        mers=F.transform(
+            F.slice(words, F.lit(1), many),
+            lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, K))),
         ),
+        # A power of two above the number of k-mers: a place fits in the bits below.
+        cap=F.coalesce(F.pow(F.lit(2.0), F.floor(F.log2(F.size(mers) + 1)) + 1).cast("long"), F.lit(2).cast("long")),
+        # Places of the k-mers, equal ones side by side in text order.
+        places=F.sort_array(F.transform(mers, lambda h, i: h.bitwiseAND(-cap).bitwiseOR(i.cast("long")))),
+        runs=_heads(places, lambda k: k.bitwiseAND(-cap)),
     )
-    rows = rows.withColumn(mers, mer)
-    # Hashes are uniform: of many, about 1.5 times SAMPLE lie below this bound, and sorting them is enough.
-    bound = (F.lit(-(2.0**63)) + F.lit(2.0**64 * 1.5 * SAMPLE) / F.size(mers)).cast("long")
-    rows = rows.withColumn(
-        near, F.when(F.size(mers) > 2 * SAMPLE, _let(bound, lambda b: F.filter(mers, lambda m: m["h"] < b)))
-    )
-    some = F.when(F.coalesce(F.size(near), F.lit(0)) >= SAMPLE, F.col(near)).otherwise(F.col(mers))
-    sample = F.slice(F.array_sort(some), 1, SAMPLE)
-
-    def numbered(s: Column) -> Column:
-        """The sample in text order, each k-mer hashed with its number of occurrence."""
-        own = _let(
-            s["h"],
-            lambda hashes: F.transform(
-                s, lambda m, j: F.struct(m["i"], F.xxhash64(m["h"], j + 1 - F.array_position(hashes, m["h"])))
-            ),
-        )
-        return F.transform(F.array_sort(own), lambda m: m["col2"])
-
-    def entry(ids: Column, p: Column) -> Column:
-        low = F.lit(SAMPLE - 1).cast("long")
-        keys = F.transform(ids, lambda x, j: F.xxhash64(x, p).bitwiseAND(F.lit(-SAMPLE)).bitwiseOR(j.cast("long")))
 
-        def pair(two: Column) -> Column:
-            places = F.transform(F.array_sort(F.transform(two, lambda x: x.bitwiseAND(low))), lambda i: F.get(ids, i.cast("int")))
-            return F.hash(places).bitwiseAND(F.lit(0xFFFF))
+    def place(j: Column) -> Column:
+        return F.get(places, j.cast("int")).bitwiseAND(cap - 1).cast("int")
+
+    def numbered(begin: Column, run: Column) -> Column:
+        """Each occurrence of a k-mer, hashed with its number."""
+        times = F.coalesce(F.get(runs, run + 1), F.size(places)) - begin
+        mer = F.get(mers, place(begin))
+        several = F.transform(F.sequence(F.lit(1), times), lambda m: F.xxhash64(mer, m))
+        return F.when(times == 1, F.array(F.xxhash64(mer, F.lit(1)))).otherwise(several)
+
+    put(ids=F.flatten(F.transform(runs, numbered)), keys=_points(ids, cap, REACH), firsts=_heads(keys, _slot))
+    lone = F.exists(firsts, lambda f: ~_slot(F.get(keys, f)).eqNullSafe(_slot(F.get(keys, f + 1))))
+    put(
+        more=(F.size(ids) > 1) & ((F.size(firsts) < SIGNATURES) | lone),
+        keys=F.when(more, _points(ids, cap, 8 * REACH)).otherwise(keys),
+        firsts=F.when(more, _heads(keys, _slot)).otherwise(firsts),
+    )
 
-        return _let(keys, lambda a: _let(F.array_min(a), lambda first: pair(F.array_compact(F.array(first, F.array_min(F.array_remove(a, first)))))))
+    def entry(first: Column) -> Column:
+        one, two = (F.get(keys, f).bitwiseAND(cap - 1).cast("int") for f in (first, first + 1))
+        both = F.when(place(one) < place(two), F.hash(F.get(ids, one), F.get(ids, two)))
+        both = both.otherwise(F.hash(F.get(ids, two), F.get(ids, one)))
+        return F.when(F.size(ids) == 1, F.hash(F.get(ids, one))).otherwise(both).bitwiseAND(F.lit(0xFFFF))
 
-    ids = f"{out}_ids"
-    rows = rows.withColumn(ids, _let(sample, numbered))
-    signature = F.when(
-        F.size(ids) > 0, F.transform(F.sequence(F.lit(1), F.lit(SIGNATURES)), lambda p: entry(F.col(ids), p))
-    ).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn(out, signature).drop(words, mers, near, ids)
+    signature = F.when(F.size(ids) > 0, F.transform(firsts, entry)).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn(out, signature).drop(*names)
 
 
 def likeness(a: Column, b: Column) -> Column:

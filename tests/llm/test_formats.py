@@ -197,3 +197,50 @@ def test_fingerprints_of_odd_rows(spark):
     one = order_minhash.edited(docs(spark, ["ab cd"])).first()
     assert one["edited"] == "ab ab" and order_minhash.edited(docs(spark, [])).count() == 0
     assert sha("") == sha("")
+
+
+def every_key(spark, texts):
+    """Signatures from the keys of all numbered k-mers in all orders."""
+    rows = []
+    for doc, text in enumerate(texts):
+        w, seen = text.split(), {}
+        for i in range(max(1, len(w) - 1)):
+            pair = tuple(w[i : i + 2])
+            seen[pair] = seen.get(pair, 0) + 1
+            rows.append((doc, i, pair[0], pair[1] if len(pair) > 1 else None, seen[pair]))
+    keys = spark.createDataFrame(rows, "doc long, place int, a string, b string, number int")
+    keys = keys.withColumn("x", F.xxhash64(F.xxhash64("a", "b"), "number"))
+    keys = keys.crossJoin(spark.range(order_minhash.SIGNATURES).select(F.col("id").cast("int").alias("turn")))
+    keys = keys.withColumns({
+        "slot": F.expr("((shiftrightunsigned(x, 58) + turn * ((shiftright(x, 51) & 63) | 1)) & 63)"),
+        "time": F.expr("(if(turn = 0, x, xxhash64(x, turn)) & ((1L << 51) - 1))"),
+    })
+    least = F.slice(F.array_sort(F.collect_list(F.struct("turn", "time", "place", "x"))), 1, 2)
+    least = keys.groupBy("doc", "slot").agg(least.alias("two"), F.count("*").alias("n"))
+    two = F.array_sort(F.transform("two", lambda t: F.struct(t["place"], t["x"])))
+    entry = F.when(F.col("n") == 1, F.hash(two[0]["x"])).otherwise(F.hash(two[0]["x"], F.get(two, 1)["x"]))
+    out = {}
+    for r in least.select("doc", "slot", "n", entry.bitwiseAND(F.lit(0xFFFF)).alias("e")).orderBy("slot").collect():
+        out.setdefault(r["doc"], []).append(r["e"])
+    return out
+
+
+@pytest.mark.parametrize("reach", [order_minhash.REACH, 4])
+def test_every_order_looks_at_all_numbered_words(spark, monkeypatch, reach):
+    monkeypatch.setattr(order_minhash, "REACH", reach)
+    rng = random.Random(4)
+    sizes = (1, 2, 3, 4, 15, 16, 40, 200, 900, 2500)
+    texts = [" ".join(f"w{rng.randrange(4000)}" for _ in range(n)) for n in sizes]
+    texts += ["a b " * 300 + texts[7], "again " * 1200, " ".join(f"l{i % 7}" for i in range(150))]
+    rows = order_minhash.with_signature(docs(spark, texts), "text", "s").select("doc_id", "s").collect()
+    assert {r["doc_id"]: list(r["s"]) for r in rows} == every_key(spark, texts)
+
+
+def test_one_frequent_pair_does_not_stand_for_the_text(spark):
+    rng = random.Random(5)
+    for pair in range(12):  # whatever the hash of the pair
+        often = f"p{pair} q{pair} " * 80
+        one, two = (" ".join(f"{c}{rng.randrange(9000)}" for _ in range(1500)) for c in "vw")
+        some = docs(spark, [often + one, often + two])
+        a, b = (r["s"] for r in order_minhash.with_signature(some, "text", "s").orderBy("doc_id").collect())
+        assert sum(x == y for x, y in zip(a, b)) < 10
