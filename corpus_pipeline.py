@@ -18,8 +18,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles."""
-    return setsketch.clean(docs)
+    """One row of each group of texts that share 0.8 of their five-word shingles."""
+    return setsketch.clean(docs, nameless=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

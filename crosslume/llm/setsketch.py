@@ -293,49 +293,77 @@ def _block_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size:
     return stage(links.distinct(), "setsketch-block-links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
+def _survivors(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """row, id, n and ``best`` of staged ``rows`` (row, id, text, linked).
 
-    Texts are lower-cased (A-Z) and split at white space; a set is the distinct shingles of ``size`` words
-    (fewer words are one shingle). Texts are linked if the common shingles are ``percent`` of all or
-    more. ``component_id`` is the least doc_id that links reach, ``kept`` whether it is the own one. Null and
-    empty texts have no set and stay alone. A row without doc_id links nothing and is kept. Rows that
-    share a doc_id are one document; if their sets differ, one of them stands for it in other links.
+    ``best`` holds the ``id`` and the ``row`` that stand for all rows that links reach: those of least id (rows
+    without id come last), and of the least row number among them. It is null where ``linked`` is not
+    true or the text has no words.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = rows.select(F.col("row").alias("id"), "text")
     sketches = texts.mapInArrow(_sketch(size), "id long, n long, set_a long, set_b long, registers binary")
     sketches = stage(sketches, "setsketch")
     key = ["set_a", "set_b", "n"]
-    named = sketches.filter("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy(*key).agg(
-        F.min("id").alias("rep"), F.min_by("registers", "id").alias("registers"), F.count("*").alias("k")
+    names = rows.select("row", F.col("id").alias("name"), "linked")
+    known = sketches.select(F.col("id").alias("row"), *key).join(names, "row")
+    known = stage(known, "setsketch-names")
+    # The registers of equal sets are equal.
+    first = sketches.select("id", "registers")
+    classes = known.filter("n > 0 AND linked").groupBy(*key).agg(
+        F.min("row").alias("rep"), F.min(F.struct(F.col("name").isNull().alias("nameless"), "name", "row")).alias("best")
     )
     classes = stage(classes, "setsketch-classes")
-    first = classes.groupBy("rep").agg(F.min_by(F.struct("n", "registers"), F.struct("set_a", "set_b")).alias("x"))
-    sets = stage(first.select(F.col("rep").alias("id"), "x.n", "x.registers"), "setsketch-sets")
+    sets = stage(classes.select(F.col("rep").alias("id"), "n").join(first, "id"), "setsketch-sets")
     members = sets.select("id", "registers").mapInArrow(_bands, "id long, bucket long")
     pivots = members.groupBy("bucket").agg(F.min("id").alias("pivot"), F.max("id").alias("last"))
     pivots = pivots.filter("pivot <> last").select("bucket", "pivot")
     groups = stage(members.join(pivots, "bucket").select("pivot", "id").distinct(), "setsketch-groups")
     ids = groups.select("id").distinct()
     texts = maybe_in(texts, ids, "id", "maybe").filter("maybe").drop("maybe")
-    texts = texts.join(ids, "id", "left_semi").dropDuplicates(["id"])
-    texts = stage(texts, "setsketch-texts")
+    texts = stage(texts.join(ids, "id", "left_semi"), "setsketch-texts")
     pairs = groups.filter("pivot <> id").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     links = _pivot_links(pairs, sets, texts, size, percent)
     groups = groups.join(_labels(ids, links), "id")
     links = links.unionByName(_block_links(groups, sets, texts, size, percent))
-    labels = connect(links)
-    rows = sketches.select("id", *key).join(classes.select("rep", *key), key, "left")
-    rows = rows.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    rows = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def clean(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group of near copies, the one with the least doc_id, and all others."""
-    gone = stage(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id"), "setsketch-gone")
-    rows = maybe_in(docs, gone, "doc_id", "_maybe_gone")
-    some = rows.filter("_maybe_gone").join(gone, "doc_id", "left_anti").select(docs.columns)
+    labels = connect(links).select(F.col("id").alias("rep"), "component")
+    classes = classes.join(labels, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    best = classes.groupBy("component").agg(F.min("best").alias("best"))
+    classes = classes.select(*key, "component").join(best, "component").withColumn("linked", F.lit(True))
+    found = known.join(classes.select(*key, "linked", "best"), [*key, "linked"], "left")
+    return found.select("row", F.col("name").alias("id"), "n", F.struct(F.col("best.name").alias("id"), F.col("best.row").alias("row")).alias("best"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, ``n_shingles``, ``component_id`` and ``kept`` of every row of ``docs``.
+
+    Texts are lower-cased (A-Z) and split at white space; a set is the distinct shingles of ``size`` words
+    (fewer words are one shingle). Texts are linked if the common shingles are ``percent`` of all or
+    more. ``component_id`` is the least doc_id that links reach; of the rows of a component one is ``kept``, one
+    of that doc_id. Null and empty texts have no set and stay alone. A row without doc_id links nothing
+    and is kept. Rows that share a doc_id are told apart: each is linked by its own text.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "linked": F.col("id").isNotNull()})
+    found = _survivors(stage(rows, "setsketch-rows"), size, percent)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.coalesce("best.id", "id").alias("component_id"),
+        F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"),
+    )
+
+
+def clean(docs: DataFrame, size: int = 5, percent: int = 80, nameless: bool = False) -> DataFrame:
+    """One row of each group of near copies, of those with the least doc_id, and all others.
+
+    Rows without doc_id stay as they are, or with ``nameless`` take part like any other, after all doc_ids.
+    """
+    rows = stage(docs.withColumn("_near_row", F.monotonically_increasing_id()), "setsketch-rows")
+    name = F.col("doc_id").cast("long")
+    linked = F.lit(True) if nameless else name.isNotNull()
+    numbered = rows.select(F.col("_near_row").alias("row"), name.alias("id"), "text", linked.alias("linked"))
+    gone = _survivors(numbered, size, percent).filter("best.row <> row").select(F.col("row").alias("_near_row"))
+    gone = stage(gone, "setsketch-gone")
+    rows = maybe_in(rows, gone, "_near_row", "_maybe_gone")
+    some = rows.filter("_maybe_gone").join(gone, "_near_row", "left_anti").select(docs.columns)
     return rows.filter("NOT _maybe_gone").select(docs.columns).unionByName(some)

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from helpers import decontaminated, docs, groups, sha, without_repeats, words
 
+import corpus_pipeline
 from crosslume.llm import decontaminate, fm_index, setsketch, substring_dedup
 from crosslume.llm.components import connect
 
@@ -215,6 +216,23 @@ def test_near_duplicates_of_odd_rows(spark):
     assert setsketch.near_duplicates(some.limit(0), 2).count() == 0
 
 
+def test_rows_are_told_apart_not_ids(spark):
+    rng = random.Random(15)
+    one, two, three, four = (sentence(rng, 80) for _ in range(4))
+    some = docs(spark, [(1, one), (1, one), (2, two), (5, f"{two} end"), (5, three), (7, f"{three} end"), (8, four)])
+    rows = setsketch.near_duplicates(some, 2).collect()
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in rows)
+    assert got == [
+        (1, 1, False), (1, 1, True), (2, 2, True), (5, 2, False), (5, 5, True), (7, 5, False), (8, 8, True),
+    ]
+    more = some.unionByName(docs(spark, [(None, f"{four} end"), (None, "x y z"), (None, "x y z"), (None, None), (None, "")]))
+    left = corpus_pipeline.near_dedup(spark, more, "").collect()
+    want = [(1, one), (2, two), (5, three), (8, four), (None, "x y z"), (None, None), (None, "")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left))) == sorted(map(str, want))
+    left = corpus_pipeline.repeated_passages(spark, docs(spark, [(r["doc_id"], r["text"]) for r in left]), "")
+    assert one in {r["text"] for r in left.collect()}
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     for n in (40, 900):
