@@ -34,7 +34,9 @@ RUN = 32  # windows of a segment at most
 SHARD = 16_000  # segments of a shard, on average
 HOT = 50_000
 
-_ROW = [pa.field("id", pa.int64()), pa.field("text_key", pa.int32())]
+#: Tells rows apart: the id and two hashes of the text. Rows that agree in all hold the same words.
+_ROW = ["id", "text_key", "text_key2"]
+_ROW_TYPES = "id long, text_key long, text_key2 long"
 
 
 def _segments(words, window: int):
@@ -82,14 +84,13 @@ def _places(window: int):
             rows = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id").take(rows),
-                    batch.column("text_key").take(rows),
+                    *(batch.column(c).take(rows) for c in _ROW),
                     pa.array((first - words.first[owner]) * (RUN + 1) + count, pa.int64()),
                     pa.array(key),
                     pa.array(content),
                     pa.array(twice),
                 ],
-                ["id", "text_key", "place", "key", "content", "twice"],
+                [*_ROW, "place", "key", "content", "twice"],
             )
 
     return run
@@ -102,9 +103,11 @@ def _cut(window: int):
         for batch in slices(batches, "text"):
             words = find_words(*buffers(batch.column("text")), NOT_SPACE)
             rows = []
-            for first, asked in zip(words.first.tolist(), batch.column("asked").to_pylist()):
+            for first, last, asked in zip(words.first.tolist(), words.first[1:].tolist(), batch.column("asked").to_pylist()):
                 for a in asked:
                     at, count = divmod(a["place"], RUN + 1)
+                    if first + at + count + window - 1 > last:
+                        raise ValueError("a place lies outside of its text")
                     steps = range(count) if a["hot"] else [None]
                     for i in steps:
                         begin = first + at + (i or 0)
@@ -147,18 +150,18 @@ def _index(window: int):
 
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(id, text_key, spans): runs of words of the text that repeated windows cover, for rows with any.
+    """(id, text_key, text_key2, spans): runs of words of the text that repeated windows cover, for rows with any.
 
-    ``docs`` has id, text_key (which tell rows apart) and text. ``spans`` may overlap and come in any order.
+    ``docs`` has id, text_key, text_key2 (which tell rows apart) and text. ``spans`` may overlap and come in any order.
     """
     places = docs.mapInArrow(
-        _places(window), "id long, text_key int, place long, key long, content long, twice boolean"
+        _places(window), f"{_ROW_TYPES}, place long, key long, content long, twice boolean"
     )
     keys = places.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     keys = keys.filter("n > 1 OR twice").select("key")
     places = stage(places.drop("twice").join(keys, "key"), "substring-places")
     segments = places.groupBy("key", "content").agg(
-        F.count("*").alias("weight"), F.min(F.struct("id", "text_key", "place")).alias("at")
+        F.count("*").alias("weight"), F.min(F.struct(*_ROW, "place")).alias("at")
     )
     segments = stage(segments, "substring-segments")
     shards = -(-segments.count() // SHARD) or 1
@@ -166,11 +169,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) ->
     crowded = crowded.select("key", F.lit(True).alias("hot"))
     asked = (
         segments.join(crowded, "key", "left")
-        .select("at.id", "at.text_key", F.struct("key", "content", "weight", "at.place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("a"))
-        .groupBy("id", "text_key")
+        .select(*(f"at.{c}" for c in _ROW), F.struct("key", "content", "weight", "at.place", F.coalesce("hot", F.lit(False)).alias("hot")).alias("a"))
+        .groupBy(*_ROW)
         .agg(F.collect_list("a").alias("asked"))
     )
-    pieces = docs.join(asked, ["id", "text_key"]).mapInArrow(
+    pieces = docs.join(asked, _ROW).mapInArrow(
         _cut(window), "key long, content long, weight long, step int, text string"
     )
     pieces = stage(pieces, "substring-pieces")
@@ -194,8 +197,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) ->
     start = (F.col("place") / (RUN + 1)).cast("long") + F.col("begin")
     return (
         places.join(hits, ["key", "content"])
-        .select("id", "text_key", F.struct(start.alias("start"), (F.col("windows") + window - 1).cast("long").alias("length")).alias("span"))
-        .groupBy("id", "text_key")
+        .select(*_ROW, F.struct(start.alias("start"), (F.col("windows") + window - 1).cast("long").alias("length")).alias("span"))
+        .groupBy(*_ROW)
         .agg(F.collect_list("span").alias("_repeat_spans"))
     )
 
@@ -204,8 +207,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         words = find_words(*buffers(batch.column("text")), NOT_SPACE)
         marks = np.zeros(len(words.starts) + 1, np.int64)
-        for first, spans in zip(words.first.tolist(), batch.column("_repeat_spans").to_pylist()):
+        for first, last, spans in zip(words.first.tolist(), words.first[1:].tolist(), batch.column("_repeat_spans").to_pylist()):
             for s in spans or ():
+                if first + s["start"] + s["length"] > last:
+                    raise ValueError("a place lies outside of its text")
                 marks[first + s["start"]] += 1
                 marks[first + s["start"] + s["length"]] -= 1
         gone = marks.cumsum()[:-1] > 0
@@ -232,12 +237,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> Dat
     """
     docs = docs.drop("n_words", "n_removed", "kept", "kept_sha256")
     none = F.lit(None)
-    keyed = {"_repeat_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_repeat_key": F.hash("text")}
-    rows = docs.withColumns(keyed)
-    spans = repeated_intervals(
-        rows.select(F.col("_repeat_id").alias("id"), F.col("_repeat_key").alias("text_key"), "text"), window, hot
-    ).select(F.col("id").alias("_repeat_id"), F.col("text_key").alias("_repeat_key"), "_repeat_spans")
-    rows = rows.join(spans, ["_repeat_id", "_repeat_key"], "left").select(
+    own = [f"_repeat_{c}" for c in _ROW]
+    name = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    rows = docs.withColumns(dict(zip(own, (name, F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))))
+    spans = repeated_intervals(rows.select(*(F.col(o).alias(c) for o, c in zip(own, _ROW)), "text"), window, hot)
+    spans = spans.select(*(F.col(c).alias(o) for o, c in zip(own, _ROW)), "_repeat_spans")
+    rows = rows.join(spans, own, "left").select(
         *docs.columns,
         "_repeat_spans",
         none.cast("long").alias("n_words"),

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import decontaminated, docs, groups, sha, without_repeats, words
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from crosslume.llm import decontaminate, fm_index, setsketch, substring_dedup
@@ -161,6 +162,22 @@ def test_rows_that_share_an_id_and_text_that_stays(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in rows)
 
 
+def test_texts_of_equal_hash_are_told_apart(spark):
+    rng = random.Random(10)
+    passage, tail = sentence(rng, 60), sentence(rng, 40)
+    some = spark.range(400_000).select(
+        (F.col("id") % 2 == 0).alias("repeats"),
+        F.concat(F.when(F.col("id") % 2 == 0, F.lit(passage)).otherwise(F.lit(tail)), F.lit(" "), "id").alias("text"),
+    )
+    pairs = some.groupBy(F.hash("text").alias("h")).agg(
+        F.min(F.when(F.col("repeats"), F.col("text"))).alias("x"), F.min(F.when(~F.col("repeats"), F.col("text"))).alias("y")
+    )
+    pair = pairs.filter("x IS NOT NULL AND y IS NOT NULL").orderBy("h").first()
+    rows = docs(spark, [(None, pair["x"]), (None, pair["y"]), (1, f"{passage} other")])
+    got = sorted(r["text"] for r in substring_dedup.clean(rows).collect())
+    assert got == sorted([pair["x"].split()[-1], pair["y"], "other"])
+
+
 # ---------------------------------------------------------------- near-dedup
 
 
