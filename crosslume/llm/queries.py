@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crosslume.llm import (
+    ball_tree,
+    centroids,
     chat,
     decontaminate,
     language,
     order_minhash,
     packing,
+    prefix_trie,
     quality,
     setsketch,
     substring_dedup,
@@ -20,6 +23,7 @@ from crosslume.llm import (
     training_order,
 )
 from crosslume.llm.labelled import fold
+from crosslume.sources.staging import stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +107,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    members = stage(found.members, "centroids-members")
+    own = members.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia"))
+    texts = [(i, ",".join(map(str, c))) for i, c in enumerate(found.centroids.tolist())]
+    names = spark.createDataFrame(texts, "cluster int, centroid string")
+    total = own.agg(F.sum("cluster_inertia").alias("inertia"))
+    own = own.join(F.broadcast(names), "cluster").crossJoin(F.broadcast(total))  # a row for each centroid
+    return members.join(F.broadcast(own), "cluster").select(
+        F.col("id").alias("vec_id"),
+        "cluster",
+        "distance",
+        "cluster_inertia",
+        "inertia",
+        F.sha2("centroid", 256).alias("centroid_sha256"),
+    )
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,5 +146,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_training_order,
         op9_near_dedup,
         op10_toxicity,
+        op11_top_k,
+        op12_centroids,
+        op13_prefix_trie,
     )
 }
