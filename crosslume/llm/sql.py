@@ -92,9 +92,103 @@ FROM documents d
 JOIN (SELECT x, min(y) AS least FROM reach GROUP BY x) m ON m.x = d.doc_id
 LEFT JOIN size s ON s.doc_id = d.doc_id"""
 
+_VECTOR = """
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0"""
+
+_TOP_K = f"""
+WITH vector AS MATERIALIZED ({_VECTOR}),
+pair AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_dot_product(q.v, c.v), 0) AS BIGINT) AS score
+    FROM vector q JOIN vector c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS place FROM pair)
+WHERE place <= 5"""
+
+
+def _centroids(k: int = 40, rounds: int = 5) -> str:
+    parts = [
+        f"vector AS MATERIALIZED (SELECT *, list_dot_product(v, v) AS vv FROM ({_VECTOR}) WHERE len(v) = 64)",
+        f"""center0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m, vv AS mm
+            FROM (SELECT *, sha256('2:' || vec_id) AS h FROM vector WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))""",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""near{i} AS MATERIALIZED (
+            SELECT r, arg_min(c, (vv - 2 * list_dot_product(v, m) + mm, c)) AS c,
+                   min(vv - 2 * list_dot_product(v, m) + mm) AS far
+            FROM vector, center{i} GROUP BY r)"""
+        )
+        if i == rounds:
+            break
+        parts.append(
+            f"""center{i + 1} AS MATERIALIZED (
+            SELECT c, m, list_dot_product(m, m) AS mm FROM (
+                SELECT c.c, coalesce(s.m, c.m) AS m FROM center{i} c LEFT JOIN (
+                    SELECT c, list(floor(total / n) ORDER BY j) AS m FROM (
+                        SELECT c, j, sum(v[j]) AS total, count(*) AS n
+                        FROM near{i} JOIN vector USING (r), (SELECT unnest(range(1, 65)) AS j) GROUP BY c, j)
+                    GROUP BY c) s ON s.c = c.c))"""
+        )
+    return (
+        "WITH "
+        + ",\n".join(parts)
+        + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance,
+       CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM near{rounds} JOIN vector USING (r) JOIN center{rounds} USING (c)"""
+    )
+
+
+# CRC-32 of a decimal number, bit by bit: each byte is mixed in, then eight bits are shifted out.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)],
+    flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                           lambda s: [CAST(ascii(s) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+
+_TRIE = f"""
+WITH said AS MATERIALIZED (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+           coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+talk AS MATERIALIZED (
+    SELECT conv_id AS c, conv_id - conv_id % 20 AS base, {_CRC32} % 4 AS h FROM (SELECT DISTINCT conv_id FROM said)),
+built AS (
+    SELECT c, place, role, text FROM talk JOIN said ON conv_id = base AND place <= h
+    UNION ALL SELECT c, place, role, text FROM talk JOIN said ON conv_id = c AND place > h),
+prefix AS MATERIALIZED (
+    SELECT c, CAST(0 AS BIGINT) AS d, '' AS k, CAST(0 AS BIGINT) AS words FROM talk
+    UNION ALL
+    SELECT c, row_number() OVER w,
+           md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER w),
+           len(regexp_extract_all(text, {_NOT_SPACE}))
+    FROM built WINDOW w AS (PARTITION BY c ORDER BY place ROWS UNBOUNDED PRECEDING)),
+node AS MATERIALIZED (SELECT k, d, min(c) AS conv_id, count(*) AS n, any_value(words) AS words FROM prefix GROUP BY k, d),
+link AS MATERIALIZED (
+    SELECT DISTINCT p.k AS parent, q.k AS child FROM prefix p JOIN prefix q ON q.c = p.c AND q.d = p.d + 1),
+below AS MATERIALIZED (SELECT DISTINCT p.k AS top, q.k AS k FROM prefix p JOIN prefix q ON q.c = p.c AND q.d >= p.d),
+child AS (SELECT parent AS k, count(*) AS n_children FROM link GROUP BY parent),
+tree AS (
+    SELECT top AS k, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n - 1) * words) AS saved_tokens
+    FROM below JOIN node USING (k) LEFT JOIN child USING (k) GROUP BY top),
+ending AS (
+    SELECT k, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids
+    FROM (SELECT c, arg_max(k, d) AS k FROM prefix GROUP BY c) GROUP BY k)
+SELECT node.conv_id, node.d AS depth, p.conv_id AS parent_conv_id, node.n AS n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN tree USING (k) LEFT JOIN child USING (k) LEFT JOIN ending USING (k)
+LEFT JOIN link ON link.child = node.k LEFT JOIN node p ON p.k = link.parent"""
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": _DECONTAMINATE,
     "op2_substring_dedup": _SUBSTRINGS,
     "op5_chat_format": _CHAT,
     "op9_near_dedup": _NEAR,
+    "op11_top_k": _TOP_K,
+    "op12_centroids": _centroids(),
+    "op13_prefix_trie": _TRIE,
 }

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_all_are_registered():
     names = __spark_entry__.queries().keys()
     assert {*QUERIES, "pipeline"} <= names and ORACLE.keys() <= __spark_entry__.oracle_sql().keys()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def canonical(df):
@@ -27,7 +27,7 @@ def canonical(df):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations", "labels"):
+    for table in ("documents", "benchmark", "conversations", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     got = canonical(QUERIES[name](spark, SF).toPandas())
     pd.testing.assert_frame_equal(got, canonical(con.execute(ORACLE[name]).df()), check_dtype=False)
