@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crosslume.functions.geometry import point
+from crosslume.functions.geometry import parts_of, point
 
 # WGS84 ellipsoid, mean sphere radius, metres per degree of latitude.
 WGS84_A = 6378137.0
@@ -80,10 +80,10 @@ def web_mercator(p: Column) -> Column:
     return F.struct(x.alias("x"), y.alias("y"))
 
 
-def mercator_area(polygon: Column) -> Column:
-    """Square metres of a polygon in EPSG:3857; rings that run the other way (holes) are taken off.
+def mercator_area(geometry: Column, kind: str = "polygon") -> Column:
+    """Square metres of all polygons of a geometry in EPSG:3857: outer rings less holes, whichever way they run.
 
-    NULL for a polygon without rings.
+    NULL without rings.
     """
 
     def ring_area(ring: Column) -> Column:
@@ -97,9 +97,14 @@ def mercator_area(polygon: Column) -> Column:
                 F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))),
                 lambda p, q: (p["x"] - o["x"]) * (q["y"] - o["y"]) - (q["x"] - o["x"]) * (p["y"] - o["y"]),
             )
-            return F.aggregate(ends, F.lit(0.0), lambda total, x: total + x) / 2
+            return F.abs(F.aggregate(ends, F.lit(0.0), lambda total, x: total + x)) / 2
 
         return F.get(F.transform(F.array(flat), around), F.lit(0))
 
-    total = F.aggregate(F.transform(polygon, ring_area), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(polygon) > 0, F.abs(total))
+    def polygon_area(rings: Column) -> Column:
+        signed = F.transform(rings, lambda ring, i: F.when(i == 0, ring_area(ring)).otherwise(-ring_area(ring)))
+        return F.aggregate(signed, F.lit(0.0), lambda a, x: a + x)
+
+    polygons = parts_of(geometry, kind, "polygons")
+    total = F.aggregate(F.transform(polygons, polygon_area), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.exists(polygons, lambda rings: F.size(rings) > 0), total)

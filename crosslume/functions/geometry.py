@@ -1,6 +1,9 @@
 """Planar geometry as column expressions.
 
-A point is ``struct<x,y>``, a line ``array<point>`` and a polygon ``array<ring>`` with closed rings.
+A point is ``struct<x,y>``, a line ``array<point>`` and a polygon ``array<ring>`` with closed rings, the first one the
+outer ring and the others holes. What has parts keeps them: a multipoint is ``struct<points>``, a multiline
+``struct<lines>``, a multipolygon ``struct<polygons>``, each an array of parts, and ``geometry`` takes anything, as
+``struct<type,points,lines,polygons>``.
 Nothing here is a Python UDF: every function returns a ``Column`` built from Spark's own functions.
 """
 
@@ -15,7 +18,20 @@ from pyspark.sql import types as T
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 LINE = T.ArrayType(POINT)
 POLYGON = T.ArrayType(LINE)
-KINDS = {"point": POINT, "line": LINE, "polygon": POLYGON}
+#: Kinds with parts, and the field that holds them.
+PARTS = {"multipoint": "points", "multiline": "lines", "multipolygon": "polygons"}
+SINGLE = {"multipoint": "point", "multiline": "line", "multipolygon": "polygon"}
+_FAMILIES = {"points": T.ArrayType(POINT), "lines": T.ArrayType(LINE), "polygons": T.ArrayType(POLYGON)}
+GEOMETRY = T.StructType(
+    [T.StructField("type", T.StringType()), *(T.StructField(name, kind) for name, kind in _FAMILIES.items())]
+)
+KINDS = {
+    "point": POINT,
+    "line": LINE,
+    "polygon": POLYGON,
+    **{kind: T.StructType([T.StructField(name, _FAMILIES[name])]) for kind, name in PARTS.items()},
+    "geometry": GEOMETRY,
+}
 
 # Decimal places kept for computed coordinates (1e-9 degree is 0.1 mm): equal points compare equal.
 # Fixed value: decimals a coordinate keeps when geometry is loaded or simplified (the default of the
@@ -25,20 +41,66 @@ SNAP_DECIMALS = 9
 
 
 def kind_of(data_type: T.DataType) -> str | None:
-    """'point', 'line', 'polygon' or None, from a column's type."""
+    """The name of a geometry's kind (see ``KINDS``), or None, from a column's type."""
+
+    def shape(t: T.DataType):
+        if isinstance(t, T.ArrayType):
+            return [shape(t.elementType)]
+        return {f.name: shape(f.dataType) for f in t.fields} if isinstance(t, T.StructType) else ""
+
+    return next((kind for kind, own in KINDS.items() if shape(own) == shape(data_type)), None)
+
+
+def parts_of(geometry: Column, kind: str, family: str) -> Column:
+    """The points, lines or polygons of a geometry, as an array (NULL where the geometry is)."""
+    if kind == "geometry" or PARTS.get(kind) == family:
+        return geometry[family]
+    if family == f"{kind}s":
+        return F.when(geometry.isNotNull(), F.array(geometry))
+    return F.when(geometry.isNotNull(), F.array().cast(_FAMILIES[family]))
+
+
+def vertex_lists(geometry: Column, kind: str) -> Column:
+    """All rings, lines and single points of a geometry, as lists of vertices."""
+    rings, lines = F.flatten(parts_of(geometry, kind, "polygons")), parts_of(geometry, kind, "lines")
+    if kind in ("polygon", "multipolygon"):
+        return geometry if kind == "polygon" else rings
+    if kind in ("line", "multiline"):
+        return lines
+    return F.concat(rings, lines, F.transform(parts_of(geometry, kind, "points"), lambda p: F.array(p)))
+
+
+def of_parts(kind: str, type_name: Column, parts: dict[str, Column]) -> Column:
+    """A geometry of this kind out of arrays of parts by family; an error if the kind has no room for them.
+
+    ``type_name`` is the name a ``geometry`` keeps.
+    """
+    every = {name: parts.get(name, F.array().cast(own)) for name, own in _FAMILIES.items()}
+    if kind == "geometry":
+        return F.struct(type_name.alias("type"), *(part.alias(name) for name, part in every.items()))
+    family = PARTS.get(kind, f"{kind}s")
+    if kind in PARTS:
+        return F.struct(every[family].alias(family))
+    more = F.raise_error(F.lit(f"a geometry of several parts is no {kind}: read it as multi{kind}"))
+    return F.when(F.size(every[family]) == 1, F.get(every[family], F.lit(0))).otherwise(more.cast(KINDS[kind]))
+
+
+def map_points(geometry: Column, kind: str, change: Callable[[Column], Column]) -> Column:
+    """The geometry with every vertex changed."""
 
-    def is_point(t):
-        return isinstance(t, T.StructType) and [f.name for f in t.fields] == ["x", "y"]
+    def line(points: Column) -> Column:
+        return F.transform(points, change)
 
-    if is_point(data_type):
-        return "point"
-    if isinstance(data_type, T.ArrayType):
-        inner = data_type.elementType
-        if is_point(inner):
-            return "line"
-        if isinstance(inner, T.ArrayType) and is_point(inner.elementType):
-            return "polygon"
-    return None
+    def polygon(rings: Column) -> Column:
+        return F.transform(rings, line)
+
+    changes = {"points": change, "lines": line, "polygons": polygon}
+    if kind in ("point", "line", "polygon"):
+        return F.when(geometry.isNotNull(), changes[f"{kind}s"](geometry))
+    names = [PARTS[kind]] if kind in PARTS else list(changes)
+    fields = [F.transform(geometry[name], changes[name]).alias(name) for name in names]
+    kept = [geometry["type"].alias("type")] if kind == "geometry" else []
+    return F.when(geometry.isNotNull(), F.struct(*kept, *fields))
 
 
 def point(x: Column, y: Column) -> Column:
@@ -76,13 +138,6 @@ def planar_distance(p: Column, q: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def join_lines(lines: Column) -> Column:
-    """Several lines as one, with a NULL vertex between them: no piece crosses it."""
-    gap = F.array(F.lit(None).cast(KINDS["point"]))
-    apart = F.transform(lines, lambda line, i: F.when(i == 0, line).otherwise(F.concat(gap, line)))
-    return F.flatten(apart)
-
-
 def line_pieces(line: Column) -> Column:
     """array<struct<p,q>> of consecutive vertex pairs, empty below two vertices."""
     n = F.size(line)
@@ -96,6 +151,14 @@ def line_pieces(line: Column) -> Column:
     )
 
 
+def pieces_of(geometry: Column, kind: str) -> Column:
+    """The vertex pairs of all lines of a geometry, one line after the other; none joins two lines."""
+    if kind == "line":
+        return line_pieces(geometry)
+    each = F.transform(parts_of(geometry, kind, "lines"), line_pieces)
+    return F.flatten(F.filter(each, lambda pieces: pieces.isNotNull()))
+
+
 def ring_edges(ring: Column) -> Column:
     """Edges of a closed ring; a ring has at least four vertices, anything shorter has no edge."""
     return F.when(F.size(ring) >= 4, line_pieces(ring))
@@ -111,47 +174,81 @@ def _coords_text(points: Column) -> Column:
     return F.concat(F.lit("("), F.array_join(texts, ", "), F.lit(")"))
 
 
-def _line_text(line: Column) -> Column:
-    """LINESTRING, or MULTILINESTRING where NULL vertices part it."""
-    texts = F.transform(
-        line, lambda p: F.when(p.isNull(), "|").otherwise(F.format_string(_NUMBERS, p["x"], p["y"]))
-    )
-    body = F.replace(F.array_join(texts, ", "), F.lit(", |, "), F.lit("), ("))
-    return F.when(
-        F.exists(line, lambda p: p.isNull()), F.concat(F.lit("MULTILINESTRING (("), body, F.lit("))"))
-    ).otherwise(F.concat(F.lit("LINESTRING ("), body, F.lit(")")))
+def _polygon_body(rings: Column) -> Column:
+    return F.concat(F.lit("("), F.array_join(F.transform(rings, _coords_text), ", "), F.lit(")"))
+
+
+def _pair_text(p: Column) -> Column:
+    return F.format_string(f"({_NUMBERS})", p["x"], p["y"])
+
+
+# Names of the types in WKT, by family: of one part, of several.
+_WKT_NAMES = {
+    "points": ("POINT", "MULTIPOINT"),
+    "lines": ("LINESTRING", "MULTILINESTRING"),
+    "polygons": ("POLYGON", "MULTIPOLYGON"),
+}
+_COLLECTION = "GEOMETRYCOLLECTION"
+_BODIES = {"points": _pair_text, "lines": _coords_text, "polygons": _polygon_body}
+
+
+def _family_text(parts: Column, family: str, several: Column) -> Column:
+    """One part under its own name, unless ``several``; any number of parts under that of many."""
+    one, many = _WKT_NAMES[family]
+    body = _BODIES[family]
+    single = F.concat(F.lit(f"{one} "), body(F.get(parts, F.lit(0))))
+    multi = F.concat(F.lit(f"{many} ("), F.array_join(F.transform(parts, body), ", "), F.lit(")"))
+    multi = F.when(F.size(parts) == 0, F.lit(f"{many} EMPTY")).otherwise(multi)
+    return F.when((F.size(parts) == 1) & ~several, single).otherwise(multi)
+
+
+def _any_text(geometry: Column) -> Column:
+    """Text of a ``geometry``, under the type it keeps."""
+    text = None
+    for family, (one, many) in _WKT_NAMES.items():
+        own = _family_text(geometry[family], family, geometry["type"] == many)
+        text = (F if text is None else text).when(geometry["type"].isin(one, many), own)
+
+    def each(family: str) -> Column:
+        return F.transform(geometry[family], lambda p: F.concat(F.lit(f"{_WKT_NAMES[family][0]} "), _BODIES[family](p)))
+
+    every = F.concat(*(each(family) for family in _WKT_NAMES))
+    body = F.concat(F.lit(f"{_COLLECTION} ("), F.array_join(every, ", "), F.lit(")"))
+    return text.otherwise(F.when(F.size(every) == 0, F.lit(f"{_COLLECTION} EMPTY")).otherwise(body))
 
 
 def to_wkt(geometry: Column, kind: str = "point") -> Column:
-    """Canonical WKT with nine decimals, so that equal geometries have equal text."""
-    if kind == "point":
+    """Canonical WKT with nine decimals, so that equal geometries have equal text.
+
+    A geometry with parts is written as one of many parts unless it has just one.
+    """
+    if kind in PARTS:
+        text = _family_text(geometry[PARTS[kind]], PARTS[kind], F.lit(False))
+    elif kind == "geometry":
+        text = _any_text(geometry)
+    elif kind == "point":
         text = F.format_string(f"POINT ({_NUMBERS})", geometry["x"], geometry["y"])
     elif kind == "line":
-        text = _line_text(geometry)
+        text = F.concat(F.lit("LINESTRING "), _coords_text(geometry))
     elif kind == "polygon":
-        rings = F.array_join(F.transform(geometry, _coords_text), ", ")
         # A polygon without area is reduced to the segment it covers.
         flat = (F.size(geometry) == 1) & (F.size(F.get(geometry, F.lit(0))) == 2)
-        text = F.when(
-            flat, F.concat(F.lit("LINESTRING "), _coords_text(F.get(geometry, F.lit(0))))
-        ).otherwise(F.concat(F.lit("POLYGON ("), rings, F.lit(")")))
+        text = F.when(flat, F.concat(F.lit("LINESTRING "), _coords_text(F.get(geometry, F.lit(0))))).otherwise(
+            F.concat(F.lit("POLYGON "), _polygon_body(geometry))
+        )
     else:
         raise ValueError(f"unknown geometry kind {kind!r}")
     return F.when(geometry.isNotNull(), text)
 
 
-_WKT_HEAD = {
-    "point": r"(?i)^\s*POINT\s*(Z|M|ZM)?\s*\(",
-    "line": r"(?i)^\s*(MULTI)?LINESTRING\s*(Z|M|ZM)?\s*\(",
-    "polygon": r"(?i)^\s*(MULTI)?POLYGON\s*(Z|M|ZM)?\s*\(",
-}
-
-
-_APART = r"[\s)]*\)\s*,\s*\([\s(]*"
+_BETWEEN_LINES = r"\)\s*,\s*\("
+_BETWEEN_POLYGONS = r"\)\s*\)\s*,\s*\(\s*\("
+_NO_MEMBER = r"(?i)\w*\s*EMPTY\s*,\s*|,\s*\w*\s*EMPTY"
+_EMPTY = r"(?i)^\s*\w+(\s+(Z|M|ZM))?\s+EMPTY\s*$"
 
 
 def _text_point(text: Column) -> Column:
-    parts = F.split(F.trim(text), r"\s+")
+    parts = F.split(F.trim(F.translate(text, "()", "  ")), r"\s+")
     return point(F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
 
 
@@ -159,23 +256,60 @@ def _text_line(text: Column) -> Column:
     return F.transform(F.split(text, ","), _text_point)
 
 
+def _text_polygon(text: Column) -> Column:
+    return F.transform(F.split(text, _BETWEEN_LINES), _text_line)
+
+
+def _text_parts(text: Column, family: str) -> Column:
+    """The parts of a text of this family, single or many."""
+    body = F.regexp_replace(F.regexp_replace(text, _NO_MEMBER, ""), r"^[^(]*\(", "")
+    between, parse = {
+        "points": (",", _text_point),
+        "lines": (_BETWEEN_LINES, _text_line),
+        "polygons": (_BETWEEN_POLYGONS, _text_polygon),
+    }[family]
+    return F.transform(F.split(body, between), parse)
+
+
+def _wkt_type(text: Column) -> Column:
+    return F.upper(F.regexp_extract(text, r"^\s*([A-Za-z]+?)(?i:Z|M|ZM)?\s*(?:\(|\s)", 1))
+
+
+def _text_any(text: Column) -> Column:
+    """A ``geometry`` out of text of any type."""
+    inside = F.regexp_replace(F.regexp_replace(text, _NO_MEMBER, ""), rf"(?i)^\s*{_COLLECTION}\s*(Z|M|ZM)?\s*\((.*)\)\s*$", "$2")
+    next_member = r"(?i)\s*,\s*(?=(?:MULTI)?(?:POINT|LINESTRING|POLYGON|GEOMETRYCOLLECTION))"
+    collection = _wkt_type(text) == _COLLECTION
+    members = F.when(collection, F.split(inside, next_member)).otherwise(F.array(text))
+
+    def every(family: str) -> Column:
+        own = F.filter(members, lambda m: _wkt_type(m).isin(*_WKT_NAMES[family]))
+        return F.flatten(F.transform(own, lambda m: _text_parts(m, family)))
+
+    known = [name for names in _WKT_NAMES.values() for name in names]
+    wrong = F.exists(members, lambda m: ~_wkt_type(m).isin(*known))
+    return F.when(
+        wrong, F.raise_error(F.concat(F.lit("not a geometry in WKT: "), text)).cast(GEOMETRY)
+    ).otherwise(of_parts("geometry", _wkt_type(text), {family: every(family) for family in _WKT_NAMES}))
+
+
 def from_wkt(text: Column, kind: str = "point") -> Column:
-    """Parse WKT; Z and M values are left out, EMPTY gives NULL, other text raises an error.
+    """Parse WKT; Z and M values are left out, EMPTY gives NULL (in a collection, nothing), other text raises an error.
 
-    A multipolygon gives the rings of all its parts, a multilinestring its lines with a NULL vertex between.
+    Kinds with parts take texts of one part too; ``geometry`` takes any type and collections, though not
+    a collection inside another.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown geometry kind {kind!r}")
-    body = F.regexp_replace(F.regexp_replace(text, r"^[^(]*\([\s(]*", ""), r"[\s)]*$", "")
-    if kind == "point":
-        parsed = _text_point(body)
-    elif kind == "line":
-        parsed = join_lines(F.transform(F.split(body, _APART), _text_line))
-    else:
-        parsed = F.transform(F.split(body, _APART), _text_line)
+    empty = text.isNull() | text.rlike(_EMPTY)
+    if kind == "geometry":
+        return F.when(empty, F.lit(None)).otherwise(_text_any(text))
+    family = PARTS.get(kind, f"{kind}s")
+    one, many = _WKT_NAMES[family]
+    parsed = of_parts(kind, F.lit(None), {family: _text_parts(text, family)})
     return (
-        F.when(text.isNull() | text.rlike(r"(?i)^\s*\w+(\s+(Z|M|ZM))?\s+EMPTY\s*$"), F.lit(None))
-        .when(text.rlike(_WKT_HEAD[kind]), parsed)
+        F.when(empty, F.lit(None))
+        .when(text.rlike(rf"(?i)^\s*({one}|{many})\s*(Z|M|ZM)?\s*\("), parsed)
         .otherwise(F.raise_error(F.concat(F.lit(f"not a {kind} in WKT: "), text)))
     )
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crosslume.functions.geometry import TEXT_DECIMALS, min_area_rectangle, ring_edges
+from crosslume.functions.geometry import TEXT_DECIMALS, kind_of, min_area_rectangle, ring_edges, vertex_lists
 
 # Fixed value: the code of a one-way street.
 ONEWAY_CODES = ("FT",)
@@ -23,16 +23,23 @@ def check_unique(df: DataFrame, column: str = "OBJECTID", name: str = "table") -
 
 
 def simplify_to_rectangle(crosswalks: DataFrame, decimals: int = TEXT_DECIMALS) -> DataFrame:
-    """Replace every polygon by its oriented rectangle of least area."""
-    return crosswalks.withColumn("geometry", min_area_rectangle(F.col("geometry"), decimals))
+    """Replace every geometry, with all its parts, by its oriented rectangle of least area, a polygon."""
+    return crosswalks.withColumn("geometry", min_area_rectangle(_rings(crosswalks), decimals))
+
+
+def _rings(crosswalks: DataFrame) -> Column:
+    return vertex_lists(F.col("geometry"), kind_of(crosswalks.schema["geometry"].dataType) or "polygon")
 
 
 def decompose_edges(crosswalks: DataFrame) -> DataFrame:
-    """One row per polygon edge: crosswalk_id, ring_id, edge_id (from 1 in each ring), geometry."""
+    """One row per polygon edge: crosswalk_id, ring_id, edge_id (from 1 in each ring), geometry.
+
+    Rings are numbered on through the parts of a geometry.
+    """
     # Outer explodes, as Spark would compute an inner one's array again to filter out empty ones.
     rings = crosswalks.select(
         F.col("OBJECTID").cast("long").alias("crosswalk_id"),
-        F.posexplode_outer("geometry").alias("ring", "points"),
+        F.posexplode_outer(_rings(crosswalks)).alias("ring", "points"),
     )
     edges = rings.select(
         "crosswalk_id",

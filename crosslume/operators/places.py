@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import mercator_area
+from crosslume.functions.geometry import kind_of
 
 
 def population_density(tracts: DataFrame, segments: Sequence[str]) -> DataFrame:
     """Tracts with ``area_km2`` (planar, EPSG:3857) and ``<segment>_per_km2`` of each count column.
 
-    A tract without area or count has NULL there.
+    Tracts may have parts and holes. A tract without area or count has NULL there.
     """
-    with_area = tracts.withColumn("area_km2", mercator_area(F.col("geometry")) / 1e6)
+    kind = kind_of(tracts.schema["geometry"].dataType) or "polygon"
+    with_area = tracts.withColumn("area_km2", mercator_area(F.col("geometry"), kind) / 1e6)
     area = F.nullif(F.col("area_km2"), F.lit(0.0))
     return with_area.withColumns({f"{s}_per_km2": F.col(s) / area for s in segments})
 

@@ -17,7 +17,9 @@ from crosslume.functions.geodesy import (
 )
 from crosslume.functions.geometry import (
     common_points,
-    line_pieces,
+    kind_of,
+    parts_of,
+    pieces_of,
     point,
     segment_turns,
     segments_apart,
@@ -122,8 +124,8 @@ def segment_hits(
     Both sides are cut into grid cells and joined on the cell. Of a pair that shares several cells, a
     common point is kept only in its own cell, which both segments pass through, so none is missed
     and none comes twice. The street's ``ONEWAY`` code and first vertex travel along: no
-    later step has to join the streets again. Pieces and edges with a NULL vertex meet nothing, so the parts of
-    a line that NULL vertices separate stay apart.
+    later step has to join the streets again. Pieces are numbered on through the parts of a street; pieces and
+    edges with a NULL vertex meet nothing.
 
     Returns crosswalk_id, ring_id, edge_id, street_segment_id, piece_id, oneway, street_start, stretch, x, y;
     two rows, with ``stretch`` TRUE, where an edge and a street piece share more than a point.
@@ -135,12 +137,14 @@ def segment_hits(
         ("ax", "ay", "bx", "by"),
         cell,
     )
+    kind = kind_of(streets.schema["geometry"].dataType) or "line"
+    first_line = F.col("geometry") if kind == "line" else F.get(parts_of(F.col("geometry"), kind, "lines"), F.lit(0))
     pieces = (
         streets.select(
             F.col("OBJECTID").cast("long").alias("street_segment_id"),
             F.col("ONEWAY").alias("oneway"),
-            _vertex("geometry", 0).alias("street_start"),
-            F.posexplode_outer(line_pieces(F.col("geometry"))).alias("piece_id", "piece"),
+            F.get(first_line, F.lit(0)).alias("street_start"),
+            F.posexplode_outer(pieces_of(F.col("geometry"), kind)).alias("piece_id", "piece"),
         )
         .where(F.col("piece_id").isNotNull() & _known(F.col("piece.p"), F.col("piece.q")))
         .select(

@@ -14,6 +14,26 @@ ROWS, BLOCK = 40_000, 0.05
 RING = [(-6e-5, -2e-5), (6e-5, -2e-5), (6e-5, 2e-5), (0.0, 1e-5), (-6e-5, 2e-5), (-6e-5, -2e-5)]
 
 
+# Geometries with parts, by the remainder of a key by 4: parts of rings or lines, in thousandths of a degree. Holes run
+# with their outer ring or against it.
+_SQUARE = [(0, 0), (8, 0), (8, 4), (0, 4), (0, 0)]
+_OTHER = [(10, 0), (14, 0), (14, 4), (10, 4), (10, 0)]
+_HOLE = [(3, 2), (5, 2), (5, 3), (3, 3), (3, 2)]
+_HOLE2 = [(11, 1), (11, 2), (12, 2), (12, 1), (11, 1)]
+PARTED_POLYGONS = [
+    [[_SQUARE, _HOLE[::-1]], [_OTHER]],
+    [[_OTHER, _HOLE2, _HOLE2[::-1]], [_SQUARE[::-1], _HOLE]],
+    [[_SQUARE, _HOLE]],
+    [[_SQUARE], [_OTHER[::-1]], [[(0, 6), (2, 6), (1, 8), (0, 6)]]],
+]
+PARTED_LINES = [
+    [[(0, 0), (1, 0)], [(2, 0), (3, 0), (4, 1)]],
+    [[(0, 0), (1, 2), (3, 3)]],
+    [[(5, 5), (6, 6)], [(0, 0), (1, 0)], [(6, 6), (7, 5), (8, 6)]],
+    [[(0, 0), (0, 1)], [(0, 1), (0, 2)]],
+]
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -85,3 +105,30 @@ def streetlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select(
         key.alias("OBJECTID"), point(x, y).alias("geometry")
     )
+
+
+def _corner(u: float, v: float) -> Column:
+    """A point in thousandths of a degree from the place of a part."""
+    key = F.col("p_partkey")
+    east, north = key % 1000 * F.lit(0.02), F.floor(key / 1000) % 2000 * F.lit(0.02)
+    return point(east + F.lit(u / 1000), north + F.lit(v / 1000))
+
+
+def _by_key(spark: SparkSession, sf_dir: str, field: str, shapes: list, depth: int) -> DataFrame:
+    def shape(x, level: int) -> Column:
+        return _corner(*x) if not level else F.array(*[shape(y, level - 1) for y in x])
+
+    kind = F.col("p_partkey") % 4
+    chosen = F.coalesce(*[F.when(kind == i, shape(own, depth)) for i, own in enumerate(shapes)])
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("OBJECTID"), F.struct(chosen.alias(field)).alias("geometry")
+    )
+
+
+def parted_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons of one to three parts, some with holes."""
+    return _by_key(spark, sf_dir, "polygons", PARTED_POLYGONS, 3)
+
+
+def parted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(spark, sf_dir, "lines", PARTED_LINES, 2)

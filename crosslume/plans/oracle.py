@@ -6,6 +6,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from crosslume.plans.fixtures import PARTED_LINES, PARTED_POLYGONS
+
 # Rounds a coordinate half up to 9 and to 6 decimals.
 _SNAP9 = "floor(({}) * 1e9 + 0.5) / 1e9"
 _SNAP6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -56,8 +58,10 @@ _CTES = {
         FROM direction d JOIN vertex v ON v.id = d.id
         GROUP BY ALL""",
     "box": """
-        SELECT * FROM span
-        QUALIFY row_number() OVER (PARTITION BY id ORDER BY round((a1 - a0) * (b1 - b0), 14), i, j) = 1""",
+        SELECT id, b.* FROM (
+            SELECT id, unnest([arg_min({'x0': x0, 'y0': y0, 'ux': ux, 'uy': uy, 'a0': a0, 'a1': a1, 'b0': b0, 'b1': b1},
+                                       (round((a1 - a0) * (b1 - b0), 14), i, j))]) AS b
+            FROM span GROUP BY id)""",
     "corner": f"""
         SELECT id, c, {_s6("x0 + a * ux - b * uy")} AS x, {_s6("y0 + a * uy + b * ux")} AS y
         FROM (SELECT *, 0 AS c, a0 AS a, b0 AS b FROM box
@@ -65,10 +69,8 @@ _CTES = {
               UNION ALL SELECT *, 2, a1, b1 FROM box
               UNION ALL SELECT *, 3, a0, b1 FROM box)""",
     "rect": """
-        SELECT c.id, (c.c - s.c + 4) % 4 AS pos, c.x, c.y
-        FROM corner c
-        JOIN (SELECT * FROM corner
-              QUALIFY row_number() OVER (PARTITION BY id ORDER BY y, x) = 1) s ON s.id = c.id""",
+        SELECT c.id, (c.c - s.first + 4) % 4 AS pos, c.x, c.y
+        FROM corner c JOIN (SELECT id, arg_min(c, (y, x)) AS first FROM corner GROUP BY id) s ON s.id = c.id""",
     "edge": """
         SELECT p.id AS cid, p.pos + 1 AS eid, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2
         FROM rect p JOIN rect q ON q.id = p.id AND q.pos = (p.pos + 1) % 4""",
@@ -212,6 +214,10 @@ _CTES = {
         LEFT JOIN side_sum s ON s.cid = c.cid AND s.center_id = c.center_id""",
 }
 
+# Built once even where they are read once: folded into their reader they are computed again for each of its rows.
+_ONCE = {"frame", "vertex", "direction", "span", "box", "corner", "rect"}
+
+
 def _reads(body: str) -> list[str]:
     """The tables above that a query reads, as often as it names them."""
     return [w for w in re.findall(r"(?:FROM|JOIN|,)\s+(\w+)", body) if w in _CTES]
@@ -228,18 +234,19 @@ def _with(query: str) -> str:
             needed.update(_reads(_CTES[name]))
             todo += _reads(_CTES[name])
     parts = [
-        f"{name} AS {'MATERIALIZED ' if needed[name] > 1 else ''}({body})"
+        f"{name} AS {'MATERIALIZED ' if needed[name] > 1 or name in _ONCE else ''}({body})"
         for name, body in _CTES.items()
         if name in needed
     ]
     return "WITH " + ",\n".join(parts) + "\n" + query
 
 
+# The five labels.
 _LABEL = """
     CASE WHEN abs(fc - tc) <= CASE WHEN tc = 0 OR fc = 0 THEN 0.005e0 ELSE 0.0075e0 END THEN 'no contrast'
-         ELSE CASE WHEN abs(fc - tc) <= CASE WHEN tc = 0 OR fc = 0 THEN 0.0075e0 ELSE 0.01e0 END
-                   THEN 'weak ' ELSE 'strong ' END
-              || CASE WHEN fc > tc THEN 'positive' ELSE 'negative' END || ' contrast' END"""
+         WHEN abs(fc - tc) <= CASE WHEN tc = 0 OR fc = 0 THEN 0.0075e0 ELSE 0.01e0 END
+             THEN CASE WHEN fc > tc THEN 'weak positive contrast' ELSE 'weak negative contrast' END
+         WHEN fc > tc THEN 'strong positive contrast' ELSE 'strong negative contrast' END"""
 
 _SCORES = f"""
     cid AS crosswalk_id, center_id,
@@ -313,6 +320,46 @@ _DENSITY = """
           GROUP BY a.id) t
     JOIN part ON p_partkey = tract_id"""
 
+
+
+def _corners(shapes: list) -> str:
+    """(kind, part, ring, pos, u, v) of parts of rings."""
+    rows = [
+        f"({kind}, {part}, {ring}, {pos}, {u}, {v})"
+        for kind, parts in enumerate(shapes)
+        for part, rings in enumerate(parts)
+        for ring, points in enumerate(rings)
+        for pos, (u, v) in enumerate(points)
+    ]
+    return f"(VALUES {', '.join(rows)}) s(kind, part, ring, pos, u, v)"
+
+
+def _placed(shapes: list, layer: str) -> str:
+    return f"""
+    SELECT '{layer}' AS layer, p_partkey AS object_id, CAST(part AS BIGINT) AS part, CAST(ring AS BIGINT) AS ring,
+           CAST(pos AS BIGINT) AS pos, p_partkey % 1000 * 2e-2 + u / 1e3 AS x,
+           (p_partkey // 1000) % 2000 * 2e-2 + v / 1e3 AS y
+    FROM part JOIN {_corners(shapes)} ON kind = p_partkey % 4"""
+
+
+_PARTED = f"""
+    SELECT f.format, layer, object_id, part, ring, pos, round({_s6("x")}, 6) AS x, round({_s6("y")}, 6) AS y
+    FROM ({_placed(PARTED_POLYGONS, "polygons")} UNION ALL {_placed([[[line] for line in lines] for lines in PARTED_LINES], "lines")}),
+         (VALUES ('geojson'), ('csv'), ('parquet'), ('wkt'), ('any')) f(format)"""
+
+_PARTED_DENSITY = f"""
+    WITH corner AS (
+        SELECT *, 6378137e0 * radians(x) AS mx, 6378137e0 * ln(tan(pi() / 4 + radians(y) / 2)) AS my
+        FROM ({_placed(PARTED_POLYGONS, "polygons")})),
+    ring_area AS (
+        SELECT a.object_id, a.part, a.ring,
+               abs(sum((a.mx - o.mx) * (b.my - o.my) - (b.mx - o.mx) * (a.my - o.my))) / 2 AS area
+        FROM corner a JOIN corner b USING (object_id, part, ring) JOIN corner o USING (object_id, part, ring)
+        WHERE b.pos = a.pos + 1 AND o.pos = 0 GROUP BY ALL)
+    SELECT object_id AS tract_id, round(km2, 5) AS area_km2, round(p_size * 1000 / km2, 3) AS total_per_km2
+    FROM (SELECT object_id, sum(CASE ring WHEN 0 THEN area ELSE -area END) / 1e6 AS km2 FROM ring_area GROUP BY object_id)
+    JOIN part ON p_partkey = object_id"""
+
 _N_STREETS = """
     (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier)"""
 
@@ -379,6 +426,8 @@ ORACLE = {
     "geojson_layouts": _with(_LAYOUTS),
     "overlap_and_holes": _OVERLAPS,
     "tract_density": _with(_DENSITY),
+    "tract_density_parts": _PARTED_DENSITY,
+    "multipart_roundtrip": _PARTED,
     "place_categories": """
         SELECT s_suppkey AS place_id, r_name AS category
         FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey

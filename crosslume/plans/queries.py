@@ -41,7 +41,7 @@ from crosslume.plans.run import (
 from crosslume.sources.geojson import read_geojson
 from crosslume.sources.sinks import feature_json, geometry_as_wkt, save_csv, save_geojson, save_parquet
 from crosslume.sources.staging import stage, stage_path
-from crosslume.sources.tables import load_many, query_geometry, query_table
+from crosslume.sources.tables import load_many, query_geometry, query_table, with_geometry
 
 _KEY = ("crosswalk_id", "street_segment_id", "center_id")
 
@@ -232,6 +232,46 @@ def wkt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _union(frames)
 
 
+def multipart_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multipolygons with holes and multilines, through every format that holds geometry."""
+    frames = []
+    for layer, df in {
+        "polygons": fixtures.parted_polygons(spark, sf_dir),
+        "lines": fixtures.parted_lines(spark, sf_dir),
+    }.items():
+        kind = kind_of(df.schema["geometry"].dataType)
+        folder = stage_path(spark, f"multipart-{layer}")
+        save_geojson(df, f"{folder}/geojson")
+        save_csv(df, f"{folder}/csv")
+        save_parquet(df, f"{folder}/parquet")
+        text = df.withColumn("geometry", to_wkt(F.col("geometry"), kind))
+        read = {
+            "geojson": read_geojson(spark, f"{folder}/geojson", kind),
+            "csv": with_geometry(spark.read.option("header", True).option("escape", '"').csv(f"{folder}/csv"), kind),
+            "parquet": with_geometry(spark.read.parquet(f"{folder}/parquet"), kind),
+            "wkt": with_geometry(text, kind),
+            # A column of any geometry keeps parts as well.
+            "any": with_geometry(text, "geometry"),
+        }
+        for name, back in read.items():
+            each = back.select(F.col("OBJECTID").cast("long").alias("object_id"), F.posexplode(f"geometry.{layer}").alias("part", "g"))
+            if layer == "lines":
+                each = each.withColumn("g", F.array("g"))
+            rings = each.select("object_id", "part", F.posexplode("g").alias("ring", "points"))
+            points = rings.select("object_id", "part", "ring", F.posexplode("points").alias("pos", "p"))
+            frames.append(
+                points.select(
+                    F.lit(name).alias("format"),
+                    F.lit(layer).alias("layer"),
+                    "object_id",
+                    *[F.col(c).cast("long").alias(c) for c in ("part", "ring", "pos")],
+                    F.round("p.x", 6).alias("x"),
+                    F.round("p.y", 6).alias("y"),
+                )
+            )
+    return _union(frames)
+
+
 def load_many_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = uuid.uuid4().hex[:12]
     folder = stage_path(spark, "tables")
@@ -563,6 +603,19 @@ def tract_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def parted_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracts of several parts, with holes that run either way."""
+    counts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        F.col("p_partkey").alias("OBJECTID"), (F.col("p_size") * 1000).alias("total")
+    )
+    dense = population_density(fixtures.parted_polygons(spark, sf_dir).join(counts, "OBJECTID"), ["total"])
+    return dense.select(
+        F.col("OBJECTID").alias("tract_id"),
+        F.round("area_km2", 5).alias("area_km2"),
+        F.round("total_per_km2", 3).alias("total_per_km2"),
+    )
+
+
 def categories_of_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as places tagged with their nation and with ``open``; regions are the categories."""
     nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
@@ -591,6 +644,7 @@ QUERIES = {
     "csv_parquet_contents": csv_parquet_contents,
     "overlap_and_holes": overlap_and_holes,
     "wkt_roundtrip": wkt_roundtrip,
+    "multipart_roundtrip": multipart_roundtrip,
     "load_many_preview": load_many_preview,
     "min_area_rectangle": min_area_rectangle,
     "decompose_edges": decomposed,
@@ -615,6 +669,7 @@ QUERIES = {
     "saved_centers_lights": saved_centers_lights,
     "saved_streetlights": saved_streetlights,
     "tract_density": tract_density,
+    "tract_density_parts": parted_density,
     "place_categories": categories_of_places,
     "full_contrast": full_contrast,
 }

@@ -126,14 +126,17 @@ def run_files(
     folder: str,
     **options,
 ) -> Results:
-    """Read three GeoJSON sources, each once, score them and write the result sets to ``folder``."""
+    """Read three GeoJSON sources, each once, score them and write the result sets to ``folder``.
+
+    Crosswalks and streets may have parts.
+    """
     decimals = options.get("decimals", TEXT_DECIMALS)
 
     def parsed(source: str | DataFrame, kind: str) -> DataFrame:
         return stage(read_source(spark, source, kind, decimals), f"input-{kind}")
 
     results = run_pipeline(
-        parsed(crosswalks, "polygon"), parsed(lights, "point"), parsed(streets, "line"), **options
+        parsed(crosswalks, "multipolygon"), parsed(lights, "point"), parsed(streets, "multiline"), **options
     )
     save_results(results, folder)
     return results

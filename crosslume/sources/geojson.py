@@ -6,19 +6,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslume.functions.geometry import KINDS, TEXT_DECIMALS, join_lines, point, snap
+from crosslume.functions.geometry import KINDS, PARTS, TEXT_DECIMALS, of_parts, point, snap
+from crosslume.sources.json_documents import objects
 from crosslume.sources.staging import stage
 
 # Coordinates on longitude and latitude (EPSG:4326).
 GEOMETRY_METADATA = {"srid": 4326}
 
-_NESTING = {"Point": 1, "LineString": 2, "MultiLineString": 3, "Polygon": 3, "MultiPolygon": 4}
-_TYPES = {"point": ("Point",), "line": ("LineString", "MultiLineString"), "polygon": ("Polygon", "MultiPolygon")}
+# The types of GeoJSON, their family, and how deep their coordinates are nested.
+_TYPES = {
+    "Point": ("points", 1),
+    "MultiPoint": ("points", 2),
+    "LineString": ("lines", 2),
+    "MultiLineString": ("lines", 3),
+    "Polygon": ("polygons", 3),
+    "MultiPolygon": ("polygons", 4),
+}
+_COLLECTION = "GeometryCollection"
 
 
 # A feature as text: properties and coordinates are read once their types are known.
-_FEATURE = "struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>>"
-_DOCUMENT = f"struct<type:string,properties:string,geometry:struct<type:string,coordinates:string>,features:array<{_FEATURE}>>"
+_SHAPE = "struct<type:string,coordinates:string,geometries:string>"
+_FEATURE = f"struct<type:string,properties:string,geometry:{_SHAPE}>"
+_DOCUMENT = f"struct<type:string,properties:string,geometry:{_SHAPE},features:array<{_FEATURE}>>"
 # What may stand on a line besides features: the head and the foot of a collection.
 _HEAD = r'^\s*\{(?:(?!"features").)*"features"\s*:\s*\[\s*,?'
 _FOOT = r"\s*,?\s*\]\s*(?:,\s*\"(?:(?!\"features\").)*)?\}\s*$"
@@ -50,8 +60,9 @@ def _line_features(line: Column) -> Column:
 def _features(spark: SparkSession, path: str) -> DataFrame:
     """Every feature of the files at ``path``, one row each, as text (see ``_FEATURE``).
 
-    A file whose lines all hold whole features is read in splits. Any other is one JSON document (or
-    several, one after the other), which one task reads, and text that is not JSON is an error.
+    A file whose lines all hold whole features is read by line. Any other is one JSON document (or
+    several, one after the other), cut into features by ``objects``. Both are read in splits; text that is not
+    JSON is an error.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
     lines = lines.select("file", _line_features(F.col("value")).alias("found"))
@@ -61,17 +72,11 @@ def _features(spark: SparkSession, path: str) -> DataFrame:
     )
     others = lines.groupBy("file").agg(F.max("other").alias("other")).where("other").select("file")
     by_line = lines.where("f IS NOT NULL").join(others, "file", "left_anti").select("f.*")
-    names = [row["file"] for row in others.collect()]  # documents, each read by one task
+    names = [row["file"] for row in others.collect()]  # one for each document file
     if not names:
         return by_line
-    texts = spark.read.text(names, wholetext=True).select(
-        # No string of JSON holds a line break, so this only finds documents that follow each other.
-        F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), r"\}\s*\n\s*\{", "},{").alias("text")
-    )
-    documents = F.from_json(
-        F.concat(F.lit("["), "text", F.lit("]")), f"array<{_DOCUMENT}>", {"mode": "FAILFAST"}
-    )
-    each = texts.select(F.explode(documents).alias("d"))
+    parsed = F.from_json("text", _DOCUMENT, {"mode": "FAILFAST"})
+    each = objects(spark, names).select(parsed.alias("d"))
     own = F.struct("d.type", "d.properties", "d.geometry").cast(_FEATURE)
     unknown = F.raise_error(F.concat(F.lit("not a feature or collection: "), F.coalesce("d.type", F.lit("?"))))
     found = (
@@ -116,9 +121,11 @@ def _properties(features: DataFrame, schema: T.StructType | None) -> list[Column
     ]
 
 
-def _coordinates(text: Column, type_name: str, decimals: int | None) -> Column:
+def _parts(text: Column, type_name: str, decimals: int | None) -> Column:
+    """The parts of coordinates of this type, as an array."""
+    family, nesting = _TYPES[type_name]
     spec: T.DataType = T.DoubleType()
-    for _ in range(_NESTING[type_name]):
+    for _ in range(nesting):
         spec = T.ArrayType(spec)
     numbers = F.from_json(text, spec)
 
@@ -129,22 +136,43 @@ def _coordinates(text: Column, type_name: str, decimals: int | None) -> Column:
     def to_line(line: Column) -> Column:
         return F.transform(line, to_point)
 
-    if type_name == "Point":
-        return to_point(numbers)
-    if type_name == "LineString":
-        return to_line(numbers)
-    if type_name == "MultiLineString":
-        return join_lines(F.transform(numbers, to_line))
-    rings = F.flatten(numbers) if type_name == "MultiPolygon" else numbers
-    return F.transform(rings, to_line)
+    def to_polygon(rings: Column) -> Column:
+        return F.transform(rings, to_line)
+
+    parse = {"points": to_point, "lines": to_line, "polygons": to_polygon}[family]
+    return F.transform(numbers, parse) if type_name.startswith("Multi") else F.array(parse(numbers))
+
+
+def _collection(text: Column, decimals: int | None) -> Column:
+    """A ``geometry`` out of the members of a collection; one inside another is an error."""
+    members = F.from_json(text, "array<struct<type:string,coordinates:string>>")
+    wrong = F.exists(members, lambda m: ~m["type"].isin(*_TYPES))
+
+    def every(name: str) -> Column:
+        own = F.filter(members, lambda m: m["type"] == name)
+        return F.flatten(F.transform(own, lambda m: _parts(m["coordinates"], name, decimals)))
+
+    parts: dict[str, list[Column]] = {}
+    for name, (family, _) in _TYPES.items():
+        parts.setdefault(family, []).append(every(name))
+    whole = of_parts("geometry", F.lit(_COLLECTION.upper()), {f: F.concat(*own) for f, own in parts.items()})
+    return F.when(wrong, F.raise_error(F.concat(F.lit("not a geometry: "), text)).cast(KINDS["geometry"])).otherwise(whole)
 
 
 def _geometry(kind: str, decimals: int | None) -> Column:
-    """Parsed geometry; a feature without geometry gives NULL, one of another type an error."""
-    type_name, text = F.col("geometry.type"), F.col("geometry.coordinates")
-    parsed = F.when(type_name.isNull() | text.isNull(), F.lit(None).cast(KINDS[kind]))
-    for name in _TYPES[kind]:
-        parsed = parsed.when(type_name == name, _coordinates(text, name, decimals))
+    """Parsed geometry; a feature without geometry gives NULL, one of a type the kind has no room for an error."""
+    type_name, text, members = (F.col(f"geometry.{c}") for c in ("type", "coordinates", "geometries"))
+    parsed = F.when(type_name.isNull() | (text.isNull() & members.isNull()), F.lit(None).cast(KINDS[kind]))
+    for name, (family, _) in _TYPES.items():
+        if kind != "geometry" and family != PARTS.get(kind, f"{kind}s"):
+            continue
+        parts = _parts(text, name, decimals)
+        if family == f"{kind}s" and not name.startswith("Multi"):
+            parsed = parsed.when(type_name == name, F.get(parts, F.lit(0)))
+        else:
+            parsed = parsed.when(type_name == name, of_parts(kind, F.lit(name.upper()), {family: parts}))
+    if kind == "geometry":
+        parsed = parsed.when(type_name == _COLLECTION, _collection(members, decimals))
     return parsed.otherwise(F.raise_error(F.concat(F.lit(f"not a {kind} geometry: "), type_name)))
 
 
@@ -165,12 +193,14 @@ def read_geojson(
     properties: T.StructType | None = None,
     decimals: int | None = TEXT_DECIMALS,
 ) -> DataFrame:
-    """Properties as columns, then ``geometry`` as point, line or polygon structs.
+    """Properties as columns, then ``geometry`` parsed as one of ``KINDS``.
+
+    Kinds with parts (``multipolygon``, ...) take features of one part too; ``geometry`` takes any. A feature of
+    several parts is an error where ``line`` or ``polygon`` is asked for.
 
-    A path may name files of different layouts. Files whose lines hold whole features (one or several,
-    inside a collection or without one) are read in splits by many tasks; another file is one JSON
-    document, read by one task and so fit for small files only. A bad record is an error. The text is
-    parsed once and staged; types of properties come from all features unless ``properties`` gives
+    A path may name files of different layouts: lines of whole features (one or several, inside a collection or
+    without one), or JSON documents in one line or many. All are read in splits by many tasks. A bad record is
+    an error. The text is parsed once and staged; types of properties come from all features unless ``properties`` gives
     them. Coordinates are rounded to ``decimals``; None keeps them as they are.
     """
     if kind not in KINDS:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslume.functions.geometry import kind_of, to_wkt
+from crosslume.functions.geometry import PARTS, kind_of, to_wkt
 
 
 def geometry_as_wkt(df: DataFrame) -> DataFrame:
@@ -36,19 +36,59 @@ def save_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     ).write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-_GEOJSON_TYPES = {"point": "Point", "line": "LineString", "polygon": "Polygon"}
+# Names of the types in GeoJSON, by family: of one part, of several.
+_GEOJSON_NAMES = {
+    "points": ("Point", "MultiPoint"),
+    "lines": ("LineString", "MultiLineString"),
+    "polygons": ("Polygon", "MultiPolygon"),
+}
 
 
-def _geojson_coordinates(geometry: Column, kind: str) -> Column:
-    def pair(p: Column) -> Column:
-        return F.array(p["x"], p["y"])
+def _pair(p: Column) -> Column:
+    return F.array(p["x"], p["y"])
 
-    def line(points: Column) -> Column:
-        return F.transform(points, pair)
 
-    if kind == "point":
-        return pair(geometry)
-    return line(geometry) if kind == "line" else F.transform(geometry, line)
+def _line(points: Column) -> Column:
+    return F.transform(points, _pair)
+
+
+def _rings(rings: Column) -> Column:
+    return F.transform(rings, _line)
+
+
+_COORDINATES = {"points": _pair, "lines": _line, "polygons": _rings}
+
+
+def _object(type_name: str, coordinates: Column) -> Column:
+    return F.to_json(F.struct(F.lit(type_name).alias("type"), coordinates.alias("coordinates")))
+
+
+def _parts_json(parts: Column, family: str, several: Column) -> Column:
+    one, many = _GEOJSON_NAMES[family]
+    own = _COORDINATES[family]
+    single = _object(one, own(F.get(parts, F.lit(0))))
+    return F.when((F.size(parts) == 1) & ~several, single).otherwise(_object(many, F.transform(parts, own)))
+
+
+def geometry_json(geometry: Column, kind: str) -> Column:
+    """A GeoJSON geometry as text: of many parts unless there is just one (a ``geometry`` keeps its type)."""
+    if kind in PARTS:
+        text = _parts_json(geometry[PARTS[kind]], PARTS[kind], F.lit(False))
+    elif kind == "geometry":
+
+        def each(family: str) -> Column:
+            one = _GEOJSON_NAMES[family][0]
+            return F.transform(geometry[family], lambda part: _object(one, _COORDINATES[family](part)))
+
+        text = None
+        for family, names in _GEOJSON_NAMES.items():
+            own = _parts_json(geometry[family], family, geometry["type"] == names[1].upper())
+            text = (F if text is None else text).when(geometry["type"].isin(*(n.upper() for n in names)), own)
+        body = F.array_join(F.concat(*(each(family) for family in _GEOJSON_NAMES)), ",")
+        text = text.otherwise(F.concat(F.lit('{"type":"GeometryCollection","geometries":['), body, F.lit("]}")))
+    else:
+        text = _object(_GEOJSON_NAMES[f"{kind}s"][0], _COORDINATES[f"{kind}s"](geometry))
+    return F.when(geometry.isNotNull(), text)
 
 
 def feature_json(df: DataFrame) -> DataFrame:
@@ -58,24 +98,15 @@ def feature_json(df: DataFrame) -> DataFrame:
     kind = kind_of(df.schema["geometry"].dataType)
     if kind is None:
         raise ValueError("column 'geometry' is not parsed; use with_geometry first")
-    geometry = F.when(
-        F.col("geometry").isNotNull(),
-        F.struct(
-            F.lit(_GEOJSON_TYPES[kind]).alias("type"),
-            _geojson_coordinates(F.col("geometry"), kind).alias("coordinates"),
-        ),
-    )
     properties = [
         (to_wkt(F.col(f.name), k) if (k := kind_of(f.dataType)) else F.col(f.name)).alias(f.name)
         for f in df.schema.fields
         if f.name != "geometry"
     ]
-    feature = F.struct(
-        F.lit("Feature").alias("type"),
-        (F.struct(*properties) if properties else F.create_map()).alias("properties"),
-        geometry.alias("geometry"),
-    )
-    return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
+    own = F.to_json(F.struct(*properties), {"ignoreNullFields": "false"}) if properties else F.lit("{}")
+    geometry = F.coalesce(geometry_json(F.col("geometry"), kind), F.lit("null"))
+    parts = [F.lit('{"type":"Feature","properties":'), own, F.lit(',"geometry":'), geometry, F.lit("}")]
+    return df.select(F.concat(*parts).alias("value"))
 
 
 def save_geojson(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -8,39 +8,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crosslume.functions.geometry import TEXT_DECIMALS, from_wkt, kind_of, point, snap
+from crosslume.functions.geometry import (
+    PARTS,
+    TEXT_DECIMALS,
+    from_wkt,
+    kind_of,
+    map_points,
+    of_parts,
+    parts_of,
+    snap_point,
+)
 from crosslume.sources.geojson import GEOMETRY_METADATA, normalise, read_geojson
 
 PREVIEW_ROWS = 10
 
 
 def with_geometry(df: DataFrame, kind: str, decimals: int | None = None) -> DataFrame:
-    """Parse the WKT column ``geometry``."""
+    """Parse the WKT column ``geometry``; a parsed one of single parts is taken as one with parts if need be."""
     if "geometry" not in df.columns:
         raise ValueError("no column named 'geometry'")
     data_type = df.schema["geometry"].dataType
-    if kind_of(data_type) == kind:
+    have = kind_of(data_type)
+    if have == kind:
         return df
-    if not isinstance(data_type, T.StringType):
+    geometry = F.col("geometry")
+    if have is not None and PARTS.get(kind) == f"{have}s":
+        parts = {PARTS[kind]: parts_of(geometry, have, PARTS[kind])}
+        geometry = F.when(geometry.isNotNull(), of_parts(kind, F.lit(None), parts))
+    elif not isinstance(data_type, T.StringType):
         raise ValueError(f"column 'geometry' is {data_type.simpleString()}, not text or a {kind}")
-    geometry = from_wkt(F.col("geometry"), kind)
-    if decimals is not None:
-        geometry = _rounded(geometry, kind, decimals)
+    else:
+        geometry = from_wkt(geometry, kind)
+        if decimals is not None:
+            geometry = map_points(geometry, kind, lambda p: snap_point(p, decimals))
     return df.withColumn("geometry", geometry.alias("geometry", metadata=GEOMETRY_METADATA))
 
 
-def _rounded(geometry, kind: str, decimals: int):
-    def one(p):
-        return point(snap(p["x"], decimals), snap(p["y"], decimals))
-
-    def line(points):
-        return F.transform(points, one)
-
-    if kind == "point":
-        return F.when(geometry.isNotNull(), one(geometry))
-    return line(geometry) if kind == "line" else F.transform(geometry, line)
-
-
 def read_source(
     spark: SparkSession, source: str | DataFrame, kind: str, decimals: int | None = TEXT_DECIMALS
 ) -> DataFrame:

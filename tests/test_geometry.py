@@ -26,16 +26,46 @@ def test_wkt_round_trip(spark):
         assert {r[0] for r in again.select(G.to_wkt(G.from_wkt(F.col("t"), kind), kind)).collect()} == out
 
 
+def test_wkt_of_parts(spark):
+    texts = {
+        "multipoint": ["MULTIPOINT (1 2, 3 4)", "multipoint ((1 2), (3 4))", "MULTIPOINT Z (1 2 0, EMPTY, 3 4 0)"],
+        "multiline": ["MULTILINESTRING ((0 0, 1 1), (2 2, 3 3, 4 4))", "MULTILINESTRING((0 0,1 1),(2 2,3 3,4 4))"],
+        "multipolygon": [
+            "MULTIPOLYGON (((0 0,1 0,1 1,0 0)), ((5 5,9 5,9 9,5 5), (6 6,8 7,8 6,6 6)))",
+            "MULTIPOLYGON (EMPTY, ((0 0,1 0,1 1,0 0)),((5 5,9 5,9 9,5 5),(6 6,8 7,8 6,6 6)))",
+        ],
+        "geometry": ["GEOMETRYCOLLECTION (POINT (1 2), POLYGON ((0 0,1 0,1 1,0 0)))", "GeometryCollection(POINT(1 2),POLYGON((0 0,1 0,1 1,0 0)), LINESTRING EMPTY)"],
+    }
+    for kind, values in texts.items():
+        df = spark.createDataFrame([(v,) for v in values], "t string")
+        out = {r[0] for r in df.select(G.to_wkt(G.from_wkt(F.col("t"), kind), kind)).collect()}
+        assert len(out) == 1 and out.pop().startswith(values[0].split(" ")[0])
+        # A column of any geometry writes the same.
+        any_ = {r[0] for r in df.select(G.to_wkt(G.from_wkt(F.col("t"), "geometry"), "geometry")).collect()}
+        assert any_ == {r[0] for r in df.select(G.to_wkt(G.from_wkt(F.col("t"), kind), kind)).collect()}
+
+
 def test_wkt_multipolygon_empty_and_bad_text(spark):
-    df = spark.createDataFrame(
-        [("MULTIPOLYGON (((0 0,1 0,1 1,0 0)),((5 5,6 5,6 6,5 5)))",), ("POLYGON EMPTY",), (None,)],
-        "t string",
+    text = "MULTIPOLYGON (((0 0,1 0,1 1,0 0)),((5 5,6 5,6 6,5 5)))"
+    df = spark.createDataFrame([(text,), ("POLYGON EMPTY",), (None,)], "t string")
+    parsed = df.select(G.from_wkt(F.col("t"), "multipolygon").alias("g"))
+    assert [r["n"] for r in parsed.select(F.size("g.polygons").alias("n")).collect()][0] == 2
+    assert parsed.where("g IS NULL").count() == 2
+    for text, kind in [("LINESTRING (0 0, 1 1)", "point"), (text, "polygon"), ("CIRCLE (0 0)", "geometry")]:
+        bad = spark.createDataFrame([(text,)], "t string")
+        with pytest.raises(PySparkException):
+            bad.select(G.from_wkt(F.col("t"), kind)).collect()
+
+
+def test_rectangle_and_edges_of_parts(spark):
+    text = "MULTIPOLYGON (((0 0,1 0,1 1,0 1,0 0)),((3 0,4 0,4 1,3 1,3 0),(3.2 0.2,3.8 0.2,3.8 0.8,3.2 0.2)))"
+    df = spark.createDataFrame([(1, text)], "OBJECTID long, t string").select(
+        "OBJECTID", G.from_wkt(F.col("t"), "multipolygon").alias("geometry")
     )
-    sizes = [r[0] for r in df.select(F.size(G.from_wkt(F.col("t"), "polygon"))).collect()]
-    assert sizes[0] == 2 and set(sizes[1:]) <= {-1, None}
-    bad = spark.createDataFrame([("LINESTRING (0 0, 1 1)",)], "t string")
-    with pytest.raises(PySparkException):
-        bad.select(G.from_wkt(F.col("t"), "point")).collect()
+    (ring,) = simplify_to_rectangle(df).first()["geometry"]
+    assert [tuple(p) for p in ring] == [(0, 0), (4, 0), (4, 1), (0, 1), (0, 0)]
+    ids = sorted((r["ring_id"], r["edge_id"]) for r in decompose_edges(df).collect())
+    assert ids == [(1, i) for i in range(1, 5)] + [(2, i) for i in range(1, 5)] + [(3, i) for i in range(1, 4)]
 
 
 def test_snap_is_half_up_without_negative_zero(spark):

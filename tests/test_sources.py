@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from shapes import lights, rows_of
 
-from crosslume.functions.geometry import from_wkt, to_wkt
+from crosslume.functions.geometry import to_wkt
 from crosslume.plans import run_files
 from crosslume.plans.fixtures import crosswalks, street_segments, streetlights
 from crosslume.sources import (
@@ -24,6 +24,7 @@ from crosslume.sources import (
     stage,
     with_geometry,
 )
+from crosslume.sources.json_documents import objects
 from crosslume.sources.staging import clear_staged
 from crosslume.sources.tables import read_source
 
@@ -131,14 +132,72 @@ def test_bad_records_are_errors(spark, tmp_path):
             read_geojson(spark, path, "point").collect()
 
 
-def test_multilinestring_has_a_gap(spark, tmp_path):
-    lines = [[[0, 0], [1, 0]], [[2, 0], [3, 0], [4, 0]]]
-    feature = {"type": "Feature", "properties": {"OBJECTID": 1}, "geometry": {"type": "MultiLineString", "coordinates": lines}}
-    df = read_geojson(spark, write(tmp_path / "m.json", json.dumps(feature)), "line")
-    text = "MULTILINESTRING ((0.000000000 0.000000000, 1.000000000 0.000000000), (2.000000000 0.000000000, 3.000000000 0.000000000, 4.000000000 0.000000000))"
-    assert df.select(to_wkt(F.col("geometry"), "line")).first()[0] == text
-    again = df.select(from_wkt(to_wkt(F.col("geometry"), "line"), "line").alias("g")).first()["g"]
-    assert [p and tuple(p) for p in again] == [(0, 0), (1, 0), None, (2, 0), (3, 0), (4, 0)]
+SQUARES = [[[[0, 0], [1, 0], [1, 1], [0, 0]]], [[[5, 5], [9, 5], [9, 9], [5, 5]], [[6, 6], [8, 7], [8, 6], [6, 6]]]]
+LINES = [[[0, 0], [1, 0]], [[2, 0], [3, 0], [4, 0]]]
+
+
+def shape(i, kind, coordinates):
+    return {"type": "Feature", "properties": {"OBJECTID": i}, "geometry": {"type": kind, "coordinates": coordinates}}
+
+
+def saved_shapes(folder):
+    """The geometries of the features in a folder of part files."""
+    files = [f for f in sorted(os.listdir(folder)) if f.startswith("part-")]
+    lines = [line for f in files for line in (folder / f).read_text().splitlines()]
+    return {f["properties"]["OBJECTID"]: f["geometry"] for f in map(json.loads, lines)}
+
+
+@pytest.mark.parametrize(
+    "kind, single, many, coordinates",
+    [
+        ("multiline", "LineString", "MultiLineString", LINES),
+        ("multipolygon", "Polygon", "MultiPolygon", SQUARES),
+        ("multipoint", "Point", "MultiPoint", [[0, 0], [2.5, 1]]),
+    ],
+)
+def test_parts_stay_apart(spark, tmp_path, kind, single, many, coordinates):
+    features = [shape(1, many, coordinates), shape(2, single, coordinates[1]), shape(3, many, coordinates[:1])]
+    path = write(tmp_path / "parts.json", "\n".join(json.dumps(f) for f in features))
+    for own in (kind, "geometry"):
+        df = read_geojson(spark, path, own)
+        save_geojson(df, str(tmp_path / f"{own}-out"))
+        found = saved_shapes(tmp_path / f"{own}-out")
+        assert found[1] == {"type": many, "coordinates": coordinates}
+        assert found[2] == {"type": single, "coordinates": coordinates[1]}
+        again = read_geojson(spark, str(tmp_path / f"{own}-out"), own)
+        assert rows_of(geometry_as_wkt(again), "OBJECTID", "geometry") == rows_of(geometry_as_wkt(df), "OBJECTID", "geometry")
+        save_csv(df, str(tmp_path / f"{own}-csv"))
+        text = spark.read.option("header", True).csv(str(tmp_path / f"{own}-csv"))
+        parsed = geometry_as_wkt(with_geometry(text, own))
+        assert rows_of(parsed, "geometry") == rows_of(geometry_as_wkt(df), "geometry")
+    # Kinds without parts take one part and no more.
+    one = kind.removeprefix("multi")
+    only = write(tmp_path / "one.json", json.dumps(features[2]))
+    assert read_geojson(spark, only, one).count() == 1
+    with pytest.raises((PySparkException, Py4JJavaError), match=f"read it as {kind}"):
+        read_geojson(spark, path, one).collect()
+
+
+def test_geometry_of_any_type(spark, tmp_path):
+    members = [{"type": "Point", "coordinates": [1, 2]}, {"type": "MultiLineString", "coordinates": LINES}]
+    collection = {"type": "GeometryCollection", "geometries": members}
+    features = [
+        shape(1, "Point", [1, 2]),
+        shape(2, "MultiPolygon", SQUARES),
+        {"type": "Feature", "properties": {"OBJECTID": 3}, "geometry": collection},
+        {"type": "Feature", "properties": {"OBJECTID": 4}, "geometry": None},
+    ]
+    for indent in (None, 1):
+        text = json.dumps({"type": "FeatureCollection", "features": features}, indent=indent)
+        df = read_geojson(spark, write(tmp_path / f"any{indent}.json", text), "geometry")
+        out = dict(rows_of(geometry_as_wkt(df), "OBJECTID", "geometry"))
+        assert out[1] == "POINT (1.000000000 2.000000000)" and out[4] is None
+        assert out[2].startswith("MULTIPOLYGON (((0.0") and out[3].startswith("GEOMETRYCOLLECTION (POINT (1.0")
+        assert out[3].count("LINESTRING") == 2
+    bad = {"type": "GeometryCollection", "geometries": [collection]}
+    path = write(tmp_path / "bad.json", json.dumps({"type": "Feature", "properties": {}, "geometry": bad}))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        read_geojson(spark, path, "geometry").collect()
 
 
 def test_staged_tables_are_removed_on_request(spark):
@@ -146,15 +205,13 @@ def test_staged_tables_are_removed_on_request(spark):
     assert kept.count() == 3 and clear_staged(spark) > 0 and clear_staged(spark) == 0
 
 
-def test_multipolygon_gives_all_rings(spark, tmp_path):
-    ring = [[0, 0], [1, 0], [1, 1], [0, 0]]
-    feature = {
-        "type": "Feature",
-        "properties": {"OBJECTID": 1},
-        "geometry": {"type": "MultiPolygon", "coordinates": [[ring], [ring, ring]]},
-    }
-    path = write(tmp_path / "m.geojson", json.dumps(feature))
-    assert read_geojson(spark, path, "polygon").select(F.size("geometry")).first()[0] == 3
+def test_single_parts_are_taken_as_parts(spark):
+    df = spark.createDataFrame([(1, "POLYGON ((0 0, 1 0, 1 1, 0 0))"), (2, None)], "OBJECTID long, geometry string")
+    parsed = with_geometry(df, "polygon")
+    parts = with_geometry(parsed, "multipolygon")
+    assert rows_of(geometry_as_wkt(parts), "OBJECTID", "geometry") == rows_of(geometry_as_wkt(parsed), "OBJECTID", "geometry")
+    with pytest.raises(ValueError):
+        with_geometry(parsed, "multiline")
 
 
 def test_frames_as_source(spark):
@@ -244,3 +301,51 @@ def test_files_to_result_sets(spark, tmp_path):
     assert line["line_geom"].startswith("LINESTRING (") and line["side"] in ("to", "from")
     text = results.crosswalk_centers.select(to_wkt(F.col("geometry"))).first()[0]
     assert text.startswith("POINT (-71.0")
+
+
+NASTY = ["a}b", '{"x', "\\", '"q"', "[", "]", '"features":[', "é}\n", '\\"}', {"features": [{"b}": 1}]}, [[{}]], None, 1.5]
+
+
+@pytest.fixture
+def tiny_splits(spark):
+    """Files are read in splits of a few bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "97b", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_documents_are_cut_into_objects_whatever_the_splits(spark, tmp_path, tiny_splits):
+    features = [{"type": "Feature", "id": i, "properties": {"p": NASTY[i % len(NASTY)], "q": i}} for i in range(29)]
+    around = {
+        "crs": {"type": "name", "properties": {"n": "x}", "features": 3}},
+        "other": [{"a": 1}, {}],
+        "features": features,
+        "tail": {"a": [{}]},
+        "more": [{"b": 2}],
+    }
+    empty = {**around, "features": []}
+    texts = {
+        "line": (json.dumps({"features": features}), features),
+        "pretty": (json.dumps(around, indent=2), features),
+        "loose": ("\n".join(json.dumps(f, indent=1) for f in features) + "\n", features),
+        "two": (json.dumps(around) + "\n" + json.dumps(empty, indent=1) + "\n" + json.dumps({"features": features[:3]}) + "\n \n", features + features[:3]),
+        "empty": ("﻿" + json.dumps(empty, indent=1), []),
+    }
+    for name, (text, want) in texts.items():
+        path = write(tmp_path / f"{name}.json", text)
+        assert spark.read.text(path, lineSep="}").rdd.getNumPartitions() > 2, name
+        found = [json.loads(r["text"]) for r in objects(spark, [path]).collect()]
+        assert sorted(found, key=str) == sorted(want, key=str), name
+    every = [str(tmp_path / f"{name}.json") for name in texts]
+    assert objects(spark, every).count() == sum(len(want) for _, want in texts.values())
+
+
+def test_what_is_no_whole_object_is_an_error(spark, tmp_path, tiny_splits):
+    one = json.dumps({"type": "Feature", "properties": {"a": "x" * 300}})
+    for i, text in enumerate([one[:-1], one + "x", one + "\n[1]", "[" + one + "]", '{"features": [' + one, one + '\n{"a": "']):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            objects(spark, [write(tmp_path / f"no{i}.json", text)]).collect()
+    assert objects(spark, [write(tmp_path / "blank.json", " \n")]).count() == 0
