@@ -1,10 +1,13 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
-
-The ordinary dictionary holds the words most documents use; the toxic one begins with what toxic documents use
-much oftener than ordinary ones (words, and beginnings of words), then goes on with the same text. A window of
-``WINDOW`` words is compressed with both. How many bytes the toxic dictionary saves says how much likelier
-such a window is in a toxic text (log odds by saved bytes, counted on labelled texts); the odds of the
-windows of a text are added up and calibrated to a probability.
+"""Toxicity by compression distance: two trained zstandard dictionaries, one of ordinary and one of toxic text.
+
+Both are trained by ``zstandard.train_dictionary`` on one half of a labelled sample. A sample of the ordinary one is
+the words of an ordinary text. A sample of the toxic one is those words of a toxic text that no ordinary text
+of that half has and at least a share of ``SHARED`` of the toxic texts do: toxic texts mostly consist of
+ordinary words, and a dictionary trained on all of them learns those. A window of ``WINDOW`` words is compressed
+with the ordinary dictionary alone and with the toxic one before it, so all that differs is what the toxic one
+saves. How many bytes it saves says how much likelier such a window is in a toxic text (log odds by saved
+bytes); the odds of a text's windows are calibrated to a probability for the labelled share of toxic texts.
+Odds and calibration come from the other half, which the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ from pyspark.sql import functions as F
 from crosslume.llm.labelled import fit_in_task, fold, labelled_sample
 from crosslume.llm.words import LOWER, buffers, find_words, slices
 
-WINDOW = 12
+WINDOW = 8
 LEVEL = 9
 SAMPLE = {0: 6000, 1: 3000}  # labelled documents to fit on, at most
-TERMS, COMMON = 300, 600
-LEAST = 8  # toxic documents a term must occur in
+SHARED = 0.02
+ORDINARY = {"dict_size": 8192, "k": 64, "d": 8}  # sizes of the dictionaries, and of the segments they are made of
+TOXIC = {"dict_size": 2048, "k": 32, "d": 6}
 THRESHOLD = 0.3
-PRIOR = 0.15  # share of toxic texts the probabilities are calibrated for, whatever the sample's share
-LOW, HIGH = -3, 9  # saved bytes beyond these count as these
+LOW, HIGH = -3, 12  # saved bytes beyond these count as these
 
 #: Letters (ASCII) and all other text beyond ASCII.
 _WORD = np.zeros(256, bool)
@@ -43,7 +46,7 @@ class Model(NamedTuple):
     layer: np.ndarray
 
 
-def windows(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+def windows(column: pa.Array, width: int = WINDOW) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased words with one blank around each, begin and end of windows, and each text's first window."""
     data, offsets = buffers(pc.utf8_lower(column.fill_null("") if column.null_count else column))
     words = find_words(LOWER[data], offsets, _WORD)
@@ -54,10 +57,10 @@ def windows(column: pa.Array) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray
     at = np.arange(int(size.sum())) + np.repeat(begin - (size.cumsum() - size), size)
     source = np.arange(int(size.sum())) + np.repeat(words.starts - (size.cumsum() - size), size)
     flat[at] = words.data[source]
-    count = -(-np.diff(words.first) // WINDOW)
+    count = -(-np.diff(words.first) // width)
     first = np.concatenate([[0], count.cumsum()])
-    head = np.repeat(words.first[:-1] - first[:-1] * WINDOW, count) + np.arange(first[-1]) * WINDOW
-    tail = np.minimum(head + WINDOW, np.repeat(words.first[1:], count)) - 1
+    head = np.repeat(words.first[:-1] - first[:-1] * width, count) + np.arange(first[-1]) * width
+    tail = np.minimum(head + width, np.repeat(words.first[1:], count)) - 1
     if not len(head):
         return flat.tobytes(), head, head, first
     return flat.tobytes(), begin[head] - 1, stop[tail], first
@@ -90,75 +93,85 @@ class Distance:
         return np.clip(a - b, LOW, HIGH) - LOW
 
 
-def _terms(data: bytes) -> set[bytes]:
-    """Words with their blanks, and beginnings of words."""
-    found = set()
-    for word in set(data.split()):
-        if len(word) >= 4:
-            found.add(b" " + word + b" ")
-            found.update(b" " + word[:k] for k in range(4, min(len(word), 9)))
-    return found
+def _word_sets(texts: pa.Array) -> Iterator[set[bytes]]:
+    """The different words of each text, with their blanks."""
+    for batch in slices(pa.table({"text": texts}).to_batches(), "text"):
+        data, begin, end, first = windows(batch.column("text"), 1)
+        for a, b in zip(first[:-1], first[1:]):
+            yield {data[begin[i] : end[i]] for i in range(a, b)}
+
+
+def _dictionary(samples: list[bytes], options: dict) -> bytes:
+    """What zstandard learns from the samples; those of too few bytes to learn from are the dictionary themselves."""
+    import zstandard
+
+    try:
+        return zstandard.train_dictionary(samples=samples, level=LEVEL, **options).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b"".join(samples)[-options["dict_size"] :]
+
+
+def dictionaries(ordinary: pa.Array, toxic: pa.Array) -> tuple[bytes, bytes]:
+    """The ordinary dictionary, and the toxic one with the ordinary one behind it."""
+    known: set[bytes] = set()
+    samples = []
+    for words in _word_sets(ordinary):
+        known |= words
+        samples.append(b"".join(sorted(words)))
+    common = _dictionary([x for x in samples if x], ORDINARY) or b" "
+    own = [words - known for words in _word_sets(toxic)]
+    counts = Counter(w for words in own for w in words)
+    least = max(2, SHARED * len(own))
+    samples = [b"".join(sorted(w for w in words if counts[w] >= least)) for words in own]
+    samples = [x for x in samples if x]
+    return common, (_dictionary(samples, TOXIC) if samples else b"") + common
 
 
 def _features(saved: np.ndarray, first: np.ndarray, odds: np.ndarray) -> np.ndarray:
     n = np.maximum(np.diff(first), 1)
-    total = np.concatenate([[0.0], np.cumsum(odds[saved])])
+    each = odds[saved]
+    total = np.concatenate([[0.0], np.cumsum(each)])
     total = total[first[1:]] - total[first[:-1]]
-    return np.stack([np.clip(total / np.sqrt(n), -5, 5), np.clip(total, -10, 10), np.clip(total / n, -2, 2), np.log(n), np.ones(len(n))], axis=1)
+    most = np.zeros(len(n))
+    some = np.diff(first) > 0
+    if some.any():
+        most[some] = np.maximum.reduceat(each, first[:-1][some])
+    parts = [np.clip(total / np.sqrt(n), -5, 5), np.clip(total, -10, 20), np.clip(total / n, -2, 2), most]
+    return np.stack([*parts, np.log(n), np.ones(len(n))], axis=1)
 
 
-def train(sample: pa.Table) -> Model:
-    """Dictionaries, window odds and calibration from (text, label)."""
-    label = np.asarray(sample.column("label"))
-    total = (int((label == 0).sum()), int((label == 1).sum()))
-    parts, at = [], 0
-    for batch in slices(sample.to_batches(), "text"):
-        parts.append((label[at : at + batch.num_rows], *windows(batch.column("text"))))
-        at += batch.num_rows
+def train(sample: pa.Table, prior: float | None = None) -> Model:
+    """Dictionaries, window odds and calibration from (text, label); equal texts count once.
 
-    def texts(value: int) -> Iterator[bytes]:
-        for own, data, begin, end, first in parts:
-            for i in np.flatnonzero((own == value) & (np.diff(first) > 0)):
-                yield data[begin[first[i]] : end[first[i + 1] - 1]]
-
-    counts = (Counter(), Counter())
-    for text in texts(1):
-        counts[1].update(_terms(text))
-    kept = {t: n for t, n in counts[1].items() if n >= LEAST}
-    counts = (Counter(), Counter(kept))
-    common: Counter = Counter()
-    for text in texts(0):
-        counts[0].update(t for t in _terms(text) if t in kept)
-        common.update(w for w in set(text.split()) if len(w) >= 4)
-
-    def surplus(term: bytes) -> float:
-        a, b = counts[1][term], counts[0][term]
-        share = (a + 0.5) / (total[1] + 1) / ((b + 0.5) / (total[0] + 1))
-        return a * np.log(share) - 2 * b if share > 4 else 0.0
-
-    ranked = sorted(((surplus(t), t) for t in kept), key=lambda x: (-x[0], -len(x[1]), x[1]))
-    terms: list[bytes] = []
-    for value, term in ranked[: 20 * TERMS]:
-        if value > 15 and len(terms) < TERMS and not any(t in term for t in terms):
-            terms.append(term)
-    whole = [
-        t for t in terms
-        if not any(o != t and o.startswith(t.rstrip()) and counts[1][o] >= 0.8 * counts[1][t] for o in terms)
-    ]
-    frequent = sorted(common, key=lambda t: (-common[t], t))[:COMMON]
-    ordinary = b"".join(w + b" " for w in reversed(frequent)) or b" "
-    toxic = b"\0".join([*reversed(whole), ordinary])
+    ``prior`` is the share of toxic texts to calibrate for, that of the sample if not given.
+    """
+    sample = sample.group_by(["text"], use_threads=False).aggregate([("label", "max")]).rename_columns(["text", "label"])
+    label = np.asarray(sample.column("label"))
+    text = sample.column("text")
+    if prior is None:
+        prior = float((label == 1).mean()) if len(label) else 0.0
+    # Every other text of a label trains the dictionaries, the rest the odds.
+    turn = np.where(label == 1, np.cumsum(label == 1), np.cumsum(label == 0)) % 2 == 1
+    ordinary, toxic = dictionaries(*(text.filter(pa.array(turn & (label == v))) for v in (0, 1)))
+    rest = np.flatnonzero(~turn)
+    text, label = text.take(pa.array(rest)), label[rest]
     distance = Distance(ordinary, toxic)
-    saved = [distance.saved(data, begin, end) for _, data, begin, end, _ in parts]
-    seen = np.full((2, HIGH - LOW + 1), 2.0)
-    for (own, *_, first), x in zip(parts, saved):
-        owner = np.repeat(own, np.diff(first))
+    saved, firsts, at = [], [], 0
+    seen = np.ones((2, HIGH - LOW + 1))
+    for batch in slices(pa.table({"text": text}).to_batches(), "text"):
+        data, begin, end, first = windows(batch.column("text"))
+        x = distance.saved(data, begin, end)
+        owner = np.repeat(label[at : at + batch.num_rows], np.diff(first))
         seen += [np.bincount(x[owner == v], minlength=HIGH - LOW + 1) for v in (0, 1)]
+        saved.append(x)
+        firsts.append(first)
+        at += batch.num_rows
     odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
-    x = np.concatenate([np.zeros((0, 5))] + [_features(x, p[-1], odds) for p, x in zip(parts, saved)])
-    weight = np.where(label == 1, PRIOR / max(total[1], 1), (1 - PRIOR) / max(total[0], 1)) * len(label)
+    x = np.concatenate([np.zeros((0, 6))] + [_features(s, f, odds) for s, f in zip(saved, firsts)])
+    total = [max(int((label == v).sum()), 1) for v in (0, 1)]
+    weight = np.where(label == 1, prior / total[1], (1 - prior) / total[0]) * len(label)
     layer = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ layer, -30, 30)))
         hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(layer))
         layer += np.linalg.solve(hessian, x.T @ (weight * (label - p)) - 1e-2 * layer)
@@ -174,8 +187,11 @@ def score(model: Model, distance: Distance, column: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2) -> Model:
     """Train on at most ``SAMPLE`` documents of each label, none of the fold ``held_out`` of doc_id."""
-    sample = labelled_sample(docs, labels, "toxic", fold("doc_id", folds) == held_out, SAMPLE)
-    return fit_in_task(sample, train)
+    aside = fold("doc_id", folds) == held_out
+    sample = labelled_sample(docs, labels, "toxic", aside, SAMPLE)
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+    share = known.filter(~aside).agg(F.avg((F.col("toxic") == 1).cast("int"))).first()[0]
+    return fit_in_task(sample, lambda table: train(table, share))
 
 
 def _score(model):
@@ -193,7 +209,8 @@ def _score(model):
 def with_score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (probability of toxicity, from the text alone) and ``predicted`` (0 or 1).
 
-    Null texts and texts without words have the score of no window at all.
+    Null texts and texts without words have the score of no window at all; repeated rows have the same score.
+    Columns of ``docs`` named like these give way to them, others are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.drop("score", "predicted").withColumn("score", F.lit(None).cast("double"))
