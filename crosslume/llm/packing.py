@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crosslume.llm.tokens import TOKENIZER, encoder
+from crosslume.llm.tokens import TOKENIZER, encoder, forget_pieces
 from crosslume.llm.words import slices
 from crosslume.sources.staging import stage
 
@@ -80,6 +80,7 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
             if with_ids:
                 columns["ids"] = pa.array(raw, pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
+        forget_pieces()
 
     return run
 

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ CHUNK, HOP, WIDTH, STRIDE, FILTERS = 256, 192, 5, 2, 12
 SAMPLE = {0: 1500, 1: 3000}  # labelled documents to fit on, at most
 STEPS, BATCH, RATE, CHUNKS = 560, 64, 0.02, 6
 THRESHOLD = 0.3
+TRAIN_SLICE, SCORE_SLICE = 1 << 17, 1 << 18  # bytes of text looked at together
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -44,6 +46,11 @@ class Chunks(NamedTuple):
     first: np.ndarray
 
 
+def _count(size: np.ndarray) -> np.ndarray:
+    """Chunks of texts of so many bytes."""
+    return np.maximum(1, -(-np.maximum(size - (CHUNK - HOP), 0) // HOP))
+
+
 def chunks(column: pa.Array) -> Chunks:
     data, offsets = buffers(column)
     words = find_words(LOWER[data], offsets, NOT_SPACE)
@@ -55,8 +62,7 @@ def chunks(column: pa.Array) -> Chunks:
     edge[words.starts[again]] += 1
     edge[words.ends[again]] -= 1
     marks = edge[:-1].cumsum(dtype=np.int8)
-    size = np.diff(offsets)
-    count = np.maximum(1, -(-np.maximum(size - (CHUNK - HOP), 0) // HOP))
+    count = _count(np.diff(offsets))
     first = np.concatenate([[0], count.cumsum()])
     begin = np.repeat(offsets[:-1] - first[:-1] * HOP, count) + np.arange(first[-1]) * HOP
     left = np.repeat(offsets[1:], count) - begin
@@ -67,6 +73,20 @@ def chunks(column: pa.Array) -> Chunks:
     return Chunks(np.append(data, 0)[at], np.append(marks, 0)[at], places, first)
 
 
+def _all_chunks(sample: pa.Table) -> Chunks:
+    """Chunks of a whole sample, put where they belong slice by slice: no part is held twice."""
+    size = np.asarray(pc.fill_null(pc.binary_length(sample.column("text")), 0)).astype(np.int64)
+    first = np.concatenate([[0], _count(size).cumsum()])
+    out = Chunks(*(np.empty((first[-1], CHUNK), t) for t in (np.uint8, np.int8)), np.empty(first[-1], np.int64), first)
+    at = 0
+    for batch in slices(sample.to_batches(), "text", TRAIN_SLICE):
+        part = chunks(batch.column("text"))
+        to = at + len(part.data)
+        out.data[at:to], out.marks[at:to], out.places[at:to] = part[:3]
+        at = to
+    return out
+
+
 def _windows(x: np.ndarray, i: int) -> np.ndarray:
     return x[:, i::STRIDE][:, :PLACES]
 
@@ -112,9 +132,7 @@ def train(sample: pa.Table, seed: int = 1) -> Network:
     label = np.asarray(sample.column("label")).astype(float)
     if not len(label):
         return net._replace(layer=np.append(np.zeros(2 * FILTERS), 1.0))
-    parts = [chunks(batch.column("text")) for batch in slices(sample.to_batches(), "text")]
-    sizes = np.concatenate([np.diff(p.first) for p in parts])
-    c = Chunks(*(np.concatenate(x) for x in list(zip(*parts))[:3]), np.concatenate([[0], np.cumsum(sizes)]))
+    c = _all_chunks(sample)
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in net]
     step = 0
     while step < STEPS:
@@ -167,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -
 
 def _score(net):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", SCORE_SLICE):
             own = score(net.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(own) if c == "score" else batch.column(c) for c in batch.schema.names], batch.schema.names

@@ -159,9 +159,11 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) ->
     )
     keys = places.groupBy("key").agg(F.count("*").alias("n"), F.max("twice").alias("twice"))
     keys = keys.filter("n > 1 OR twice").select("key")
-    places = stage(places.drop("twice").join(keys, "key"), "substring-places")
+    # Rows that are equal in all of ``_ROW`` are one from here on, with their number as weight.
+    places = places.drop("twice").join(keys, "key").groupBy(*_ROW, "place", "key", "content").agg(F.count("*").alias("n"))
+    places = stage(places, "substring-places")
     segments = places.groupBy("key", "content").agg(
-        F.count("*").alias("weight"), F.min(F.struct(*_ROW, "place")).alias("at")
+        F.sum("n").alias("weight"), F.min(F.struct(*_ROW, "place")).alias("at")
     )
     segments = stage(segments, "substring-segments")
     shards = -(-segments.count() // SHARD) or 1
@@ -173,7 +175,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) ->
         .groupBy(*_ROW)
         .agg(F.collect_list("a").alias("asked"))
     )
-    pieces = docs.join(asked, _ROW).mapInArrow(
+    pieces = docs.dropDuplicates(_ROW).join(asked, _ROW).mapInArrow(
         _cut(window), "key long, content long, weight long, step int, text string"
     )
     pieces = stage(pieces, "substring-pieces")

@@ -21,7 +21,7 @@ _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2
 _ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-_KEEP = 1 << 19  # pieces a worker remembers
+_KEEP = 1 << 17  # pieces a worker remembers within a task
 _tables: dict[str, np.ndarray] = {}
 _encoders: dict[str, Encoder] = {}
 
@@ -161,6 +161,13 @@ class Encoder:
         return ids, np.concatenate([[0], stop])[np.searchsorted(begins, first)]
 
 
+def forget_pieces() -> None:
+    """To be called at the end of a task: workers are kept for others."""
+    for known in _encoders.values():
+        known.forget()
+    pa.default_memory_pool().release_unused()
+
+
 def encoder(path: str) -> Encoder:
     """The worker's encoder of this file."""
     if path not in _encoders:

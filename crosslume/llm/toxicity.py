@@ -1,13 +1,14 @@
 """Toxicity by compression distance: two trained zstandard dictionaries, one of ordinary and one of toxic text.
 
-Both are trained by ``zstandard.train_dictionary`` on one half of a labelled sample. A sample of the ordinary one is
-the words of an ordinary text. A sample of the toxic one is those words of a toxic text that no ordinary text
-of that half has and at least a share of ``SHARED`` of the toxic texts do: toxic texts mostly consist of
+Both are trained by ``zstandard.train_dictionary`` on a labelled sample. A sample of the ordinary one is the words
+of an ordinary text. A sample of the toxic one is those words of a toxic text that no ordinary text has and
+at least a share of ``SHARED`` of the toxic texts do: toxic texts mostly consist of
 ordinary words, and a dictionary trained on all of them learns those. A window of ``WINDOW`` words is compressed
 with the ordinary dictionary alone and with the toxic one before it, so all that differs is what the toxic one
 saves. How many bytes it saves says how much likelier such a window is in a toxic text (log odds by saved
 bytes); the odds of a text's windows are calibrated to a probability for the labelled share of toxic texts.
-Odds and calibration come from the other half, which the dictionaries have not seen.
+Odds and calibration come from texts that the dictionaries have not seen: each of ``FOLDS`` parts of the sample is
+compressed with dictionaries trained on the others. The dictionaries that are kept are trained on all of it.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from crosslume.llm.labelled import fit_in_task, fold, labelled_sample
 from crosslume.llm.words import LOWER, buffers, find_words, slices
 
-WINDOW = 8
+WINDOW = 12
 LEVEL = 9
 SAMPLE = {0: 6000, 1: 3000}  # labelled documents to fit on, at most
-SHARED = 0.02
+SHARED, FOLDS = 0.015, 3
 ORDINARY = {"dict_size": 8192, "k": 64, "d": 8}  # sizes of the dictionaries, and of the segments they are made of
-TOXIC = {"dict_size": 2048, "k": 32, "d": 6}
+TOXIC = {"dict_size": 4096, "k": 48, "d": 6}
 THRESHOLD = 0.3
 LOW, HIGH = -3, 12  # saved bytes beyond these count as these
 
@@ -150,22 +151,27 @@ def train(sample: pa.Table, prior: float | None = None) -> Model:
     text = sample.column("text")
     if prior is None:
         prior = float((label == 1).mean()) if len(label) else 0.0
-    # Every other text of a label trains the dictionaries, the rest the odds.
-    turn = np.where(label == 1, np.cumsum(label == 1), np.cumsum(label == 0)) % 2 == 1
-    ordinary, toxic = dictionaries(*(text.filter(pa.array(turn & (label == v))) for v in (0, 1)))
-    rest = np.flatnonzero(~turn)
-    text, label = text.take(pa.array(rest)), label[rest]
-    distance = Distance(ordinary, toxic)
-    saved, firsts, at = [], [], 0
+    turn = np.where(label == 1, np.cumsum(label == 1), np.cumsum(label == 0)) % FOLDS
+
+    def trained(which: np.ndarray) -> tuple[bytes, bytes]:
+        return dictionaries(*(text.filter(pa.array(which & (label == v))) for v in (0, 1)))
+
+    saved, firsts, labels = [], [], []
     seen = np.ones((2, HIGH - LOW + 1))
-    for batch in slices(pa.table({"text": text}).to_batches(), "text"):
-        data, begin, end, first = windows(batch.column("text"))
-        x = distance.saved(data, begin, end)
-        owner = np.repeat(label[at : at + batch.num_rows], np.diff(first))
-        seen += [np.bincount(x[owner == v], minlength=HIGH - LOW + 1) for v in (0, 1)]
-        saved.append(x)
-        firsts.append(first)
-        at += batch.num_rows
+    for fold_ in range(FOLDS):
+        distance, rest = Distance(*trained(turn != fold_)), np.flatnonzero(turn == fold_)
+        labels.append(label[rest])
+        at = 0
+        for batch in slices(pa.table({"text": text.take(pa.array(rest))}).to_batches(), "text"):
+            data, begin, end, first = windows(batch.column("text"))
+            x = distance.saved(data, begin, end)
+            owner = np.repeat(label[rest[at : at + batch.num_rows]], np.diff(first))
+            seen += [np.bincount(x[owner == v], minlength=HIGH - LOW + 1) for v in (0, 1)]
+            saved.append(x)
+            firsts.append(first)
+            at += batch.num_rows
+    ordinary, toxic = trained(np.ones(len(label), bool))
+    label = np.concatenate(labels)
     odds = np.log(seen[1] / seen[1].sum()) - np.log(seen[0] / seen[0].sum())
     x = np.concatenate([np.zeros((0, 6))] + [_features(s, f, odds) for s, f in zip(saved, firsts)])
     total = [max(int((label == v).sum()), 1) for v in (0, 1)]

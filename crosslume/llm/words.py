@@ -76,6 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # workers are kept for other tasks
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:

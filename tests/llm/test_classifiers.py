@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import docs
@@ -76,6 +77,57 @@ def test_toxicity_of_held_out_documents(spark, some, labels):
     assert odd[0]["score"] == odd[1]["score"] == odd[2]["score"] < 0.3
 
 
+def renamed(texts, names):
+    """The texts with every word of ``names`` under another name."""
+    import re
+
+    other = {w: "zq" + w[::-1] + "xk" for w in names}
+    return [re.sub(r"\w+", lambda m: other.get(m[0].lower(), m[0]), t or "") for t in texts]
+
+
+def test_toxicity_does_not_hang_on_given_words(spark):
+    some = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").toPandas()
+    known = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas()
+    rows = some.merge(known, on="doc_id").drop_duplicates("doc_id")
+    in_toxic = {w for t in rows[rows.toxic == 1].text for w in set((t or "").lower().split())}
+    ordinary = {w for t in rows[rows.toxic == 0].text for w in set((t or "").lower().split())}
+    rows["text"] = renamed(rows.text, {w for w in in_toxic - ordinary if w.isalpha()})
+    aside = rows.doc_id.map(lambda i: held(i, 4)) == 2
+    model = toxicity.train(pa.table({"text": pa.array(rows[~aside].text), "label": pa.array(rows[~aside].toxic.astype("int32"))}))
+    own = rows[aside]
+    score = toxicity.score(model, toxicity.Distance(model.ordinary, model.toxic), pa.array(own.text))
+    assert (score[own.toxic == 1] >= 0.3).mean() > 0.7 and (score[own.toxic == 0] < 0.3).mean() > 0.9
+
+
+def plain_toxicity(model, text):
+    """The score of one text, window by window."""
+    import re
+    import zstandard
+
+    found = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    pair = []
+    for content in (model.ordinary, model.toxic):
+        held_ = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        options = {"write_content_size": False, "write_dict_id": False, "write_checksum": False}
+        pair.append(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held_, **options))
+    odds = []
+    for i in range(0, len(found), toxicity.WINDOW):
+        window = (" " + " ".join(found[i : i + toxicity.WINDOW]) + " ").encode()
+        a, b = (len(c.compress(window)) for c in pair)
+        odds.append(model.odds[min(max(a - b, toxicity.LOW), toxicity.HIGH) - toxicity.LOW])
+    n, total = max(len(odds), 1), sum(odds)
+    x = [np.clip(total / n**0.5, -5, 5), np.clip(total, -10, 20), np.clip(total / n, -2, 2), max(odds, default=0), np.log(n), 1]
+    return 1 / (1 + np.exp(-(np.array(x) @ model.layer)))
+
+
+def test_scores_equal_plain_ones(some, labels):
+    rows = some.join(labels, "doc_id").toPandas().drop_duplicates("doc_id")
+    texts = [*rows.text.fillna("").head(60), *[t or "" for t in ODD]]
+    model = toxicity.train(pa.table({"text": pa.array(rows.text), "label": pa.array(rows.toxic.astype("int32"))}))
+    score = toxicity.score(model, toxicity.Distance(model.ordinary, model.toxic), pa.array(texts))
+    assert score == pytest.approx([plain_toxicity(model, t) for t in texts], abs=1e-9)
+
+
 def test_fitting_without_labels(spark, some, labels):
     none = labels.limit(0)
     assert toxicity.with_score(docs(spark, ODD), toxicity.fit(some, none)).count() == len(ODD)

@@ -151,6 +151,17 @@ def test_passage_in_many_documents(spark):
     assert removed(substring_dedup.remove_repeats(some, hot=5)) == want
 
 
+def test_work_does_not_grow_with_equal_rows(spark):
+    text = sentence(random.Random(8), 400)
+    for n in (2, 2000):
+        rows = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+        keys = rows.select(F.lit(0).cast("long").alias("id"), F.xxhash64("text").alias("text_key"), F.xxhash64(F.lit(1), "text").alias("text_key2"), "text")
+        found = substring_dedup.repeated_intervals(keys).collect()
+        assert len(found) == 1 and len(found[0]["_repeat_spans"]) < 40
+    left = substring_dedup.remove_repeats(rows)
+    assert left.groupBy("n_words", "n_removed", "kept").count().collect() == [(400, 400, "", 2000)]
+
+
 def test_rows_that_share_an_id_and_text_that_stays(spark):
     rng = random.Random(9)
     text = sentence(rng, 40) + "\n  end"
