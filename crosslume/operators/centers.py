@@ -10,6 +10,7 @@ from crosslume.functions.geometry import (
     midpoint,
     point,
     point_n,
+    snap,
     snap_point,
     to_wkt,
 )
@@ -34,6 +35,47 @@ def _mean(sum_x: Column, sum_y: Column, n: Column) -> Column:
     return point(half_up(sum_x), half_up(sum_y))
 
 
+def overlaps(hits: DataFrame) -> DataFrame:
+    """(crosswalk_id, street_segment_id, length, length_x, length_y) where a street runs along edges.
+
+    Stretches of an edge that several pieces of the street cover count once. ``length_x`` and ``length_y`` are the
+    middles of the stretches, weighted by their length. The lists hold one street's pieces on one edge.
+    """
+    where = ["crosswalk_id", "street_segment_id", "ring_id", "edge_id"]
+    spot = F.struct("x", "y")
+    # Points of one line, ordered by x and then y, are ordered along the line.
+    each = hits.where("stretch").groupBy(*where, "piece_id").agg(F.min(spot).alias("a"), F.max(spot).alias("b"))
+    edges = each.groupBy(*where).agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
+
+    def closed(so_far: Column) -> Column:
+        """The sums with the open stretch added."""
+        a, b = so_far["a"], so_far["b"]
+        length = F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+        return F.struct(
+            (so_far["length"] + length).alias("length"),
+            (so_far["sum_x"] + length * (a["x"] + b["x"]) / 2).alias("sum_x"),
+            (so_far["sum_y"] + length * (a["y"] + b["y"]) / 2).alias("sum_y"),
+        )
+
+    def opened(span: Column, sums: Column) -> Column:
+        return F.struct(span["a"].alias("a"), span["b"].alias("b"), *(sums[c].alias(c) for c in ("length", "sum_x", "sum_y")))
+
+    def add(so_far: Column, span: Column) -> Column:
+        longer = F.struct(
+            so_far["a"].alias("a"),
+            F.greatest(so_far["b"], span["b"]).alias("b"),
+            *(so_far[c].alias(c) for c in ("length", "sum_x", "sum_y")),
+        )
+        return F.when(span["a"] <= so_far["b"], longer).otherwise(opened(span, closed(so_far)))
+
+    none = F.struct(*(F.lit(0.0).alias(c) for c in ("length", "sum_x", "sum_y")))
+    first, rest = F.get("spans", F.lit(0)), F.slice("spans", 2, F.size("spans"))
+    total = edges.select(*where[:2], F.aggregate(rest, opened(first, none), add, closed).alias("t"))
+    return total.groupBy(*where[:2]).agg(
+        F.sum("t.length").alias("length"), F.sum("t.sum_x").alias("length_x"), F.sum("t.sum_y").alias("length_y")
+    )
+
+
 def crossings(hits: DataFrame) -> DataFrame:
     """One row per (crosswalk, street): the number and sums of its distinct intersection points.
 
@@ -73,9 +115,9 @@ def crossings(hits: DataFrame) -> DataFrame:
 def oneway_centers(
     edges: DataFrame, hits: DataFrame, *, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Center 'A' of a one-way crosswalk on every street it meets: the mean of their crossing.
+    """Center 'A' of a one-way crosswalk on every street it meets: the centroid of what they have in common.
 
-    The pedestrian edge is the lowest-numbered edge no street hits, NULL when there is none.
+    That is the mean of the points, or where the street runs along edges, that of these stretches alone. The pedestrian edge is the lowest-numbered edge no street hits, NULL when there is none.
     """
     pedestrian = F.when(~F.col("is_vehicle_edge"), F.struct("ring_id", "edge_id", "geometry"))
     crosswalks = (
@@ -84,14 +126,16 @@ def oneway_centers(
         .agg(F.min(pedestrian)["geometry"].alias("ped_edge_geom"))
     )
     # A crosswalk may meet very many streets: its rows are split, its single summary row copied.
+    common = crossings(hits).join(overlaps(hits), ["crosswalk_id", "street_segment_id"], "left")
     met = split_join(
-        crossings(hits),
+        common,
         crosswalks,
         ["crosswalk_id"],
         split_left=["street_segment_id"],
         hot_rows=hot_rows,
     )
-    center = _mean(F.col("sum_x"), F.col("sum_y"), F.col("n"))
+    stretch = point(*(snap(F.col(f"length_{axis}") / F.col("length")) for axis in "xy"))
+    center = F.when(F.col("length") > 0, stretch).otherwise(_mean(F.col("sum_x"), F.col("sum_y"), F.col("n")))
     return met.select(
         "crosswalk_id",
         "street_segment_id",

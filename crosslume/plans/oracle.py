@@ -311,6 +311,12 @@ _OVERLAPS = """
     FROM part, (VALUES (CAST(1 AS BIGINT)), (2)) r(ring_id),
          (VALUES (CAST(1 AS BIGINT)), (2), (3), (4)) e(edge_id)"""
 
+# As above, see ``queries.overlap_centers``: means weighted by length, and that of two points.
+_OVERLAP_CENTERS = """
+    SELECT p_partkey AS crosswalk_id, center_x, center_y
+    FROM part JOIN (VALUES (0, 2e0, 0e0), (1, (1.5e0 * 1 + 4 * 4) / 5, 4e0 * 4 / 5), (2, 3e0, 0e0), (3, 2e0, 2e0))
+        t(kind, center_x, center_y) ON kind = p_partkey % 4"""
+
 _DENSITY = """
     SELECT tract_id, round(area, 1) AS area_m2, round(p_size * 100 / (area / 1e6) / 1e5, 1) AS total_per_10m2,
            round(p_size % 10 * 10 / (area / 1e6) / 1e5, 1) AS seniors_per_10m2
@@ -425,6 +431,7 @@ ORACLE = {
     "csv_parquet_contents": _with(_CONTENTS),
     "geojson_layouts": _with(_LAYOUTS),
     "overlap_and_holes": _OVERLAPS,
+    "overlap_centers": _OVERLAP_CENTERS,
     "tract_density": _with(_DENSITY),
     "tract_density_parts": _PARTED_DENSITY,
     "multipart_roundtrip": _PARTED,

@@ -199,6 +199,37 @@ def overlap_and_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def overlap_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centers of one-way crosswalks of 8 x 4 units, by turns met by a street that
+
+    runs along 2 units of the lower edge and crosses the upper one, runs along 1 unit of the lower and 4 of the
+    upper edge, runs along the lower edge and part of the way back, or crosses both edges.
+    """
+    unit, key = F.lit(0.001), F.col("p_partkey")
+    base = (key % 1000 * F.lit(0.02), F.floor(key / 1000) % 2000 * F.lit(0.02))
+
+    def line(*points: tuple[float, float]) -> Column:
+        return F.array(*[point(base[0] + F.lit(float(x)) * unit, base[1] + F.lit(float(y)) * unit) for x, y in points])
+
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    boxes = part.select(key.alias("OBJECTID"), F.array(line((0, 0), (8, 0), (8, 4), (0, 4), (0, 0))).alias("geometry"))
+    streets = part.select(
+        key.alias("OBJECTID"),
+        F.lit("FT").alias("ONEWAY"),
+        F.when(key % 4 == 0, line((1, 0), (3, 0), (3, 6)))
+        .when(key % 4 == 1, line((1, 0), (2, 0), (2, 4), (6, 4)))
+        .when(key % 4 == 2, line((1, 0), (5, 0), (3, 0), (3, -2)))
+        .otherwise(line((2, -1), (2, 5)))
+        .alias("geometry"),
+    )
+    edges = stage(decompose_edges(boxes), "edges")
+    hits = stage(segment_hits(edges, streets), "hits")
+    centers = oneway_centers(classify_edges(edges, hits), hits)
+    place = part.select(key.alias("crosswalk_id"), base[0].alias("x"), base[1].alias("y"))
+    units = [F.round((F.col(f"geometry.{a}") - F.col(a)) / unit, 3) + 0.0 for a in "xy"]
+    return centers.join(place, "crosswalk_id").select("crosswalk_id", units[0].alias("center_x"), units[1].alias("center_y"))
+
+
 def csv_parquet_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streets with their properties, saved and read back."""
     streets = fixtures.street_segments(spark, sf_dir)
@@ -643,6 +674,7 @@ QUERIES = {
     "geojson_layouts": geojson_layouts,
     "csv_parquet_contents": csv_parquet_contents,
     "overlap_and_holes": overlap_and_holes,
+    "overlap_centers": overlap_centers,
     "wkt_roundtrip": wkt_roundtrip,
     "multipart_roundtrip": multipart_roundtrip,
     "load_many_preview": load_many_preview,
