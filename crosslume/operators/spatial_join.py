@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import (
+    NEAR_M,
     SPHERE_RADIUS_M,
     curvature_24,
     ecef_axes,
+    geodesic_distance,
     geodesic_from_chord,
     sphere_distance,
 )
@@ -29,7 +31,6 @@ from crosslume.operators.skew import HOT_ROWS, key_counts, split_join
 from crosslume.sources.staging import stage
 
 CELL_DEGREES = 0.001
-MAX_RADIUS_M = 20_000.0
 # What tells one center row from another.
 CENTER_KEY = ("crosswalk_id", "center_id", "street_segment_id")
 
@@ -207,13 +208,14 @@ def lights_within(
     Points become earth-centred x, y, z and fall into cubes of edge 2 * radius: a light into one, a
     center into the eight that its search box touches. A chord is never longer than the
     geodesic, so no pair is lost, each comes once, and poles and the antimeridian need no care.
-    Points with their bins are staged once; bins are counted before centers go to their eight.
+    Points with their bins are staged once; bins are counted before centers go to their eight. Any radius will do;
+    beyond ``NEAR_M`` the geodesic is found by iteration.
 
     Returns the columns of ``centers`` plus streetlight_id, light (point) and dist, the great-circle
     distance on a sphere as a 32-bit float.
     """
-    if not 0 < radius_m <= MAX_RADIUS_M:
-        raise ValueError(f"radius_m must be in (0, {MAX_RADIUS_M}], got {radius_m}")
+    if not 0 < radius_m < float("inf"):
+        raise ValueError(f"radius_m must be a positive number, got {radius_m}")
     reach = float(radius_m) * (1 + 1e-9) + 1e-6
     edge = 2.0 * reach
     axes = ("x", "y", "z")
@@ -270,10 +272,14 @@ def lights_within(
         hint="merge",
     )
     dx, dy, dz = (F.col(f"_c{a}") - F.col(f"_l{a}") for a in axes)
+    length = geodesic_from_chord(F.col("_chord"), F.col("_k24"))
+    if radius_m > NEAR_M:
+        far = geodesic_distance(lon_lat("_c"), lon_lat("_l"))
+        length = F.when(F.col("_chord") > NEAR_M / 2, far).otherwise(length)
     return (
         joined.withColumn("_chord", F.sqrt(dx * dx + dy * dy + dz * dz))
         .where(F.col("_chord") <= reach)
-        .where(geodesic_from_chord(F.col("_chord"), F.col("_k24")) <= float(radius_m))
+        .where(length <= float(radius_m))
         .select(
             *centers.columns,
             "streetlight_id",

@@ -458,3 +458,4 @@ ORACLE = {
             FROM score"""
     ),
 }
+ORACLE["files_contrast"] = ORACLE["full_contrast"]

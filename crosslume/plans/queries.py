@@ -34,12 +34,20 @@ from crosslume.plans import fixtures
 from crosslume.plans.run import (
     RADIUS_M,
     THRESHOLD,
+    run_files,
     run_pipeline,
     save_results,
     segments_and_hits,
 )
 from crosslume.sources.geojson import read_geojson
-from crosslume.sources.sinks import feature_json, geometry_as_wkt, save_csv, save_geojson, save_parquet
+from crosslume.sources.sinks import (
+    feature_json,
+    geometry_as_wkt,
+    save_csv,
+    save_feature_collection,
+    save_geojson,
+    save_parquet,
+)
 from crosslume.sources.staging import stage, stage_path
 from crosslume.sources.tables import load_many, query_geometry, query_table, with_geometry
 
@@ -618,6 +626,18 @@ def full_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return saved.select(*_score_columns(), _light_heuristic())
 
 
+def files_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From three GeoJSON files, two of them one document each, to the saved scores."""
+    folder, layers = stage_path(spark, "files"), _layers(spark, sf_dir)
+    save_feature_collection(layers["crosswalks"], f"{folder}/crosswalks.geojson")
+    save_feature_collection(layers["street_segments"], f"{folder}/street_segments.geojson")
+    save_geojson(layers["streetlights"], f"{folder}/streetlights")
+    names = [f"{folder}/{name}" for name in ("crosswalks.geojson", "streetlights", "street_segments.geojson")]
+    run_files(spark, *names, f"{folder}/results", as_given=True)
+    saved = spark.read.parquet(f"{folder}/results/crosswalk_centers_contrast.parquet")
+    return saved.select(*_score_columns(), _light_heuristic())
+
+
 def tract_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every crosswalk as a tract with made-up counts of its part."""
     counts = spark.read.parquet(f"{sf_dir}/part.parquet").select(
@@ -704,4 +724,5 @@ QUERIES = {
     "tract_density_parts": parted_density,
     "place_categories": categories_of_places,
     "full_contrast": full_contrast,
+    "files_contrast": files_contrast,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,7 @@ from crosslume.operators.lighting import (
     with_lat_long,
 )
 from crosslume.operators.spatial_join import CELL_DEGREES, lights_within, segment_hits
+from crosslume.sources.publication import publish
 from crosslume.sources.sinks import save_csv, save_parquet
 from crosslume.sources.staging import stage
 from crosslume.sources.tables import read_source
@@ -111,11 +113,17 @@ def run_pipeline(
 
 
 def save_results(results: Results, folder: str) -> None:
-    """Write the four result sets."""
-    save_parquet(results.crosswalk_centers_contrast, f"{folder}/crosswalk_centers_contrast.parquet")
-    save_csv(results.classified_streetlights, f"{folder}/classified_streetlights.csv")
-    save_parquet(results.crosswalk_centers_lights, f"{folder}/crosswalk_centers_lights.parquet")
-    save_parquet(results.streetlights, f"{folder}/streetlights.parquet")
+    """Write the four result sets; they replace those of ``folder`` together, or not at all."""
+    publish(
+        results.streetlights.sparkSession,
+        folder,
+        {
+            "crosswalk_centers_contrast.parquet": partial(save_parquet, results.crosswalk_centers_contrast),
+            "classified_streetlights.csv": partial(save_csv, results.classified_streetlights),
+            "crosswalk_centers_lights.parquet": partial(save_parquet, results.crosswalk_centers_lights),
+            "streetlights.parquet": partial(save_parquet, results.streetlights),
+        },
+    )
 
 
 def run_files(
@@ -124,13 +132,15 @@ def run_files(
     lights: str | DataFrame,
     streets: str | DataFrame,
     folder: str,
+    *,
+    as_given: bool = False,
     **options,
 ) -> Results:
     """Read three GeoJSON sources, each once, score them and write the result sets to ``folder``.
 
-    Crosswalks and streets may have parts.
+    Crosswalks and streets may have parts. Coordinates are rounded to ``decimals`` unless taken ``as_given``.
     """
-    decimals = options.get("decimals", TEXT_DECIMALS)
+    decimals = None if as_given else options.get("decimals", TEXT_DECIMALS)
 
     def parsed(source: str | DataFrame, kind: str) -> DataFrame:
         return stage(read_source(spark, source, kind, decimals), f"input-{kind}")

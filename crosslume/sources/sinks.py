@@ -1,4 +1,4 @@
-"""Sinks. Every one writes a folder of part files, in parallel."""
+"""Sinks. All write a folder of part files, in parallel; one joins them to a single document."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crosslume.functions.geometry import PARTS, kind_of, to_wkt
+from crosslume.sources.publication import join_parts
+from crosslume.sources.staging import stage_path
 
 
 def geometry_as_wkt(df: DataFrame) -> DataFrame:
@@ -112,3 +114,16 @@ def feature_json(df: DataFrame) -> DataFrame:
 def save_geojson(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """GeoJSON, one feature per line, which ``read_geojson`` reads in splits."""
     feature_json(df).write.mode(mode).text(path)
+
+
+def save_feature_collection(df: DataFrame, path: str) -> None:
+    """One GeoJSON file, a FeatureCollection with a feature on each line.
+
+    Features are written by all tasks as part files, which are then joined; if a task fails there is no file.
+    """
+    spark = df.sparkSession
+    parts = stage_path(spark, "features")
+    features = feature_json(df).select(F.concat(F.lit(",\n"), "value").alias("value"))
+    features.write.option("lineSep", "\n").text(parts)
+    # The first feature needs no comma before it.
+    join_parts(spark, parts, path, '{"type":"FeatureCollection","features":[', "]}\n", skip=1)

@@ -95,3 +95,41 @@ def test_mercator_area_takes_holes_off(spark):
     assert area[1] == pytest.approx(side * side, rel=1e-6)
     assert area[2] == pytest.approx(0.75 * side * side, rel=1e-6)
     assert area[3] is None and area[4] is None
+
+
+def along_geodesic(lon, lat, azimuth, length, steps=4000):
+    """Where a geodesic ends: its differential equations, by Runge and Kutta."""
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+
+    def slope(state):
+        phi, _, alpha = state
+        w = math.sqrt(1 - e2 * math.sin(phi) ** 2)
+        n, m = a / w, a * (1 - e2) / w**3
+        east = math.sin(alpha) / n
+        return (math.cos(alpha) / m, east / math.cos(phi), math.tan(phi) * east)
+
+    state, h = (math.radians(lat), math.radians(lon), azimuth), length / steps
+    for _ in range(steps):
+        k1 = slope(state)
+        k2 = slope([s + h / 2 * k for s, k in zip(state, k1)])
+        k3 = slope([s + h / 2 * k for s, k in zip(state, k2)])
+        k4 = slope([s + h * k for s, k in zip(state, k3)])
+        state = [s + h / 6 * (p + 2 * q + 2 * r + t) for s, p, q, r, t in zip(state, k1, k2, k3, k4)]
+    return (math.degrees(state[1]) + 180) % 360 - 180, math.degrees(state[0])
+
+
+def test_geodesic_of_any_length(spark):
+    rng = random.Random(1)
+    rows = []
+    for length in (2e4, 1e5, 1e6, 5e6, 1.5e7):
+        for _ in range(8):
+            start = (rng.uniform(-180, 180), rng.uniform(-60, 60))
+            rows.append((*start, *along_geodesic(*start, rng.uniform(0, 2 * math.pi), length), length))
+    # Along the equator and a meridian, to the pole, across the antimeridian, and nowhere.
+    a = 6378137.0
+    rows += [(0.0, 0.0, 9.0, 0.0, a * math.pi / 20), (10.0, 0.0, 10.0, 90.0, 10001965.729), (5.0, 5.0, 5.0, 5.0, 0.0)]
+    rows += [(179.0, 0.0, -179.0, 0.0, a * math.pi / 90)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, want double")
+    found = df.select(D.geodesic_distance(point(F.col("a"), F.col("b")), point(F.col("c"), F.col("d"))).alias("got"), "want")
+    assert max(abs(r["got"] - r["want"]) for r in found.collect()) < 1e-3

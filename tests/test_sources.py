@@ -16,14 +16,18 @@ from crosslume.sources import (
     load_many,
     load_table,
     query_geometry,
+    publish,
     query_table,
     read_geojson,
     save_csv,
+    save_feature_collection,
     save_geojson,
     save_parquet,
+    settle,
     stage,
     with_geometry,
 )
+from crosslume.sources import publication
 from crosslume.sources.json_documents import objects
 from crosslume.sources.staging import clear_staged
 from crosslume.sources.tables import read_source
@@ -349,3 +353,51 @@ def test_what_is_no_whole_object_is_an_error(spark, tmp_path, tiny_splits):
         with pytest.raises((PySparkException, Py4JJavaError)):
             objects(spark, [write(tmp_path / f"no{i}.json", text)]).collect()
     assert objects(spark, [write(tmp_path / "blank.json", " \n")]).count() == 0
+
+
+def test_one_collection(spark, tmp_path):
+    df = lights(spark, [(i, (i * 0.5, 2.0)) for i in range(50)]).repartition(7)
+    path = tmp_path / "all.geojson"
+    for rows in (df, df.where("OBJECTID < 3"), df.where("false")):  # each replaces the one before
+        save_feature_collection(rows, str(path))
+        document = json.loads(path.read_text())
+        assert document["type"] == "FeatureCollection" and len(document["features"]) == rows.count()
+        assert rows_of(read_geojson(spark, str(path), "point").select("*"), "geometry.x") == rows_of(rows, "geometry.x") if rows.count() else True
+    bad = df.withColumn("x", F.when(F.col("OBJECTID") == 30, F.raise_error(F.lit("no"))).otherwise("y"))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        save_feature_collection(bad, str(tmp_path / "bad.geojson"))
+    assert not [n for n in os.listdir(tmp_path) if n.startswith("bad")]
+
+
+def test_results_appear_together(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "out")
+
+    def table(n):
+        return lambda path: spark.range(n).write.parquet(path)
+
+    def counts():
+        settle(spark, folder)
+        return [spark.read.parquet(f"{folder}/{name}").count() for name in ("a", "b", "c")]
+
+    publish(spark, folder, {name: table(1) for name in ("a", "b", "c")})
+    (tmp_path / "out" / "other.txt").write_text("stays")
+    assert counts() == [1, 1, 1]
+    bad = spark.range(2).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        publish(spark, folder, {"a": table(2), "b": table(2), "c": lambda path: bad.write.parquet(path)})
+    assert counts() == [1, 1, 1] and set(os.listdir(folder)) - {"other.txt"} == {"a", "b", "c"}
+    # Interrupted in the middle of the moves, the publication is ended by whoever reads next.
+    move, moves = publication._Files.move, []
+
+    def failing(self, source, target):
+        moves.append(source)
+        if len(moves) == 5:
+            raise OSError("lost")
+        move(self, source, target)
+
+    monkeypatch.setattr(publication._Files, "move", failing)
+    with pytest.raises(OSError, match="lost"):
+        publish(spark, folder, {name: table(3) for name in ("a", "b", "c")})
+    monkeypatch.undo()
+    assert counts() == [3, 3, 3] and set(os.listdir(folder)) - {"other.txt"} == {"a", "b", "c"}
+    assert (tmp_path / "out" / "other.txt").read_text() == "stays"

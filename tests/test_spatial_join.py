@@ -178,7 +178,7 @@ def test_inputs_of_the_distance_join_are_staged_once(spark):
 
 def test_radius_is_checked(spark):
     some = lights(spark, [(1, (0.0, 0.0))])
-    for radius in (0, -1, 1e6):
+    for radius in (0, -1, float("inf"), float("nan")):
         with pytest.raises(ValueError):
             lights_within(some, some, radius)
 
@@ -210,3 +210,15 @@ def test_generated_methods_are_small_enough_to_compile(spark):
         assert largest_method(spark, near) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_lights_within_a_thousand_kilometres(spark):
+    rng = random.Random(5)
+
+    def points(n):
+        return [(i, (rng.uniform(-180, 180), math.degrees(math.asin(rng.uniform(-1, 1))))) for i in range(n)]
+
+    ours, theirs = points(60), points(300)
+    want = {(i, j) for i, p in ours for j, q in theirs if vincenty(*p, *q) <= 1e6}
+    got = lights_within(lights(spark, ours), lights(spark, theirs), 1e6)
+    assert {(r["OBJECTID"], r["streetlight_id"]) for r in got.collect()} == want and len(want) > 50
