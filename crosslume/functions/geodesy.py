@@ -16,6 +16,9 @@ WGS84_E2 = WGS84_F * (2.0 - WGS84_F)
 SPHERE_RADIUS_M = 6371000.0
 METERS_PER_DEGREE = 111320.0
 
+# The least radius of curvature (along the meridian at the equator).
+LEAST_CURVE_M = WGS84_A * (1.0 - WGS84_F) ** 2
+
 # Up to this distance the formula from the chord is right to 1 mm.
 NEAR_M = 20_000.0
 GEODESIC_STEPS = 12
@@ -32,6 +35,12 @@ def ecef_axes(p: Column | dict[str, Column]) -> dict[str, Column]:
     }
 
 
+def vertical(p: Column | dict[str, Column]) -> dict[str, Column]:
+    """The upright direction at a point, of length 1."""
+    lon, lat = F.radians(p["x"]), F.radians(p["y"])
+    return {"x": F.cos(lat) * F.cos(lon), "y": F.cos(lat) * F.sin(lon), "z": F.sin(lat)}
+
+
 def ecef(p: Column) -> Column:
     """``ecef_axes`` as one struct."""
     return F.struct(*[value.alias(axis) for axis, value in ecef_axes(p).items()])

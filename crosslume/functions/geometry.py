@@ -326,11 +326,31 @@ def _cross(o: Column, a: Column, b: Column) -> Column:
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
 
 
+# Vertices from which on rings are searched by halving instead of scanned.
+LARGE_RING = 64
+
+
+def _first_true(n: Column, test: Callable[[Column], Column]) -> Column:
+    """The least t below n for which ``test`` holds, n if there is none, given that it holds for all above as well."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+
+    def span(low: Column, high: Column) -> Column:
+        return F.struct(low.cast("int").alias("low"), high.cast("int").alias("high"))
+
+    def halve(s: Column, _: Column) -> Column:
+        def around(middle: Column) -> Column:
+            return F.when(test(middle), span(s["low"], middle)).otherwise(span(middle + 1, s["high"]))
+
+        return F.when(s["low"] < s["high"], _let(((s["low"] + s["high"]) / 2).cast("int"), around)).otherwise(s)
+
+    return F.aggregate(rounds, span(F.lit(0), n), halve)["low"]
+
+
 def _half_hull(points: Column) -> Column:
     """Lower hull of points sorted by (x, y).
 
-    The turn test holds for a prefix of the chain and fails for the rest, so one filter removes
-    every vertex a new point makes obsolete.
+    The turn test holds for a prefix of the chain and fails for the rest, so one filter, or for a long
+    chain a search by halves, removes every vertex a new point makes obsolete.
     """
 
     def add(chain: Column, p: Column) -> Column:
@@ -338,6 +358,8 @@ def _half_hull(points: Column) -> Column:
             chain,
             lambda v, k: (k == 0) | (_cross(F.get(chain, k - 1), v, p) > 0),
         )
+        right = _first_true(F.size(chain) - 1, lambda t: _cross(F.get(chain, t), F.get(chain, t + 1), p) <= 0)
+        kept = F.when(F.size(chain) > LARGE_RING, F.slice(chain, F.lit(1), right + 1)).otherwise(kept)
         return F.concat(kept, F.array(p))
 
     return F.aggregate(points, F.array().cast(LINE), add)
@@ -357,6 +379,80 @@ def _hull(points: Column) -> Column:
 def _best_box(hull: Column) -> Column:
     """Smallest box over all hull edges: unit direction u and the extents along and across it.
 
+    Of a large hull the extents are searched by halves. Where rounding misleads a search, a box comes out too
+    small; so if all vertices lie in the smallest box it is the right one, and if not, all are scanned.
+    """
+
+    def inside(box: Column) -> Column:
+        room = F.lit(1e-12) * (F.abs(box["a1"] - box["a0"]) + F.abs(box["b1"] - box["b0"]))
+
+        def within(p: Column) -> Column:
+            a = p["x"] * box["u"]["x"] + p["y"] * box["u"]["y"]
+            b = p["y"] * box["u"]["x"] - p["x"] * box["u"]["y"]
+            along = (a >= box["a0"] - room) & (a <= box["a1"] + room)
+            return along & (b >= box["b0"] - room) & (b <= box["b1"] + room)
+
+        return F.forall(hull, within)
+
+    searched = F.when(F.size(hull) > LARGE_RING, _searched_box(hull))
+    return _let(searched, lambda box: F.when(box.isNotNull() & inside(box), box).otherwise(_scanned_box(hull)))
+
+
+def _searched_box(hull: Column) -> Column:
+    """As ``_scanned_box``: the edges of a hull turn steadily, so its extreme vertices are where a quarter is passed."""
+    n = F.size(hull)
+
+    def vertex(i: Column) -> Column:
+        return F.get(hull, i % n)
+
+    def box(start: Column, k: Column) -> Column:
+        def unit(end: Column) -> Column:
+            length = F.hypot(end["x"] - start["x"], end["y"] - start["y"])
+            x, y = (end["x"] - start["x"]) / length, (end["y"] - start["y"]) / length
+            return F.struct(x.alias("x"), y.alias("y"))
+
+        def passed(u: Column, quarters: int) -> Column:
+            """The vertex from which on edges have turned by so many quarters."""
+
+            def turned(t: Column) -> Column:
+                def test(e: Column) -> Column:
+                    dot = u["x"] * (e["q"]["x"] - e["p"]["x"]) + u["y"] * (e["q"]["y"] - e["p"]["y"])
+                    cross = u["x"] * (e["q"]["y"] - e["p"]["y"]) - u["y"] * (e["q"]["x"] - e["p"]["x"])
+                    if quarters == 1:
+                        return ~((dot > 0) & (cross >= 0))
+                    return (cross < 0) | ((cross == 0) & (dot < 0)) if quarters == 2 else (dot >= 0) & (cross < 0)
+
+                return _let(F.struct(vertex(k + t).alias("p"), vertex(k + t + 1).alias("q")), test)
+
+            return vertex(k + 1 + _first_true(n - 1, lambda t: turned(t + 1)))
+
+        def extents(u: Column) -> Column:
+            def along(p: Column) -> Column:
+                return p["x"] * u["x"] + p["y"] * u["y"]
+
+            def across(p: Column) -> Column:
+                return p["y"] * u["x"] - p["x"] * u["y"]
+
+            return F.struct(
+                u.alias("u"),
+                _let(passed(u, 3), along).alias("a0"),
+                _let(passed(u, 1), along).alias("a1"),
+                across(start).alias("b0"),
+                _let(passed(u, 2), across).alias("b1"),
+            )
+
+        def ranked(s: Column) -> Column:
+            area = (s["a1"] - s["a0"]) * (s["b1"] - s["b0"])
+            return F.struct(F.round(area, 14).alias("area"), k.alias("k"), s.alias("box"))
+
+        return _let(vertex(k + 1), lambda end: _let(unit(end), lambda u: _let(extents(u), ranked)))
+
+    return F.array_min(F.transform(hull, box))["box"]
+
+
+def _scanned_box(hull: Column) -> Column:
+    """Smallest box over all hull edges.
+
     The hull lies to the left of its edges, so the lower extent across is that of the edge itself.
     """
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crosslume.functions.geodesy import (
+    LEAST_CURVE_M,
     NEAR_M,
     SPHERE_RADIUS_M,
     curvature_24,
@@ -16,6 +17,7 @@ from crosslume.functions.geodesy import (
     geodesic_distance,
     geodesic_from_chord,
     sphere_distance,
+    vertical,
 )
 from crosslume.functions.geometry import (
     common_points,
@@ -28,7 +30,6 @@ from crosslume.functions.geometry import (
     snap,
 )
 from crosslume.operators.skew import HOT_ROWS, key_counts, split_join
-from crosslume.sources.staging import stage
 
 CELL_DEGREES = 0.001
 # What tells one center row from another.
@@ -205,11 +206,11 @@ def lights_within(
 ) -> DataFrame:
     """All (center, light) pairs at most ``radius_m`` apart on the WGS84 spheroid.
 
-    Points become earth-centred x, y, z and fall into cubes of edge 2 * radius: a light into one, a
-    center into the eight that its search box touches. A chord is never longer than the
-    geodesic, so no pair is lost, each comes once, and poles and the antimeridian need no care.
-    Points with their bins are staged once; bins are counted before centers go to their eight. Any radius will do;
-    beyond ``NEAR_M`` the geodesic is found by iteration.
+    Points become earth-centred x, y, z and fall into cubes with an edge of the radius: a light into one, a center
+    into those its ball reaches that the ground runs through (some ten of 27). A chord is never longer than the
+    geodesic, so no pair is lost, each comes once, and poles and the antimeridian need no care. Bins are
+    counted before centers are copied. Both inputs are read twice, so they should be tables. Any radius
+    will do; beyond ``NEAR_M`` the geodesic is found by iteration.
 
     Returns the columns of ``centers`` plus streetlight_id, light (point) and dist, the great-circle
     distance on a sphere as a 32-bit float.
@@ -217,15 +218,12 @@ def lights_within(
     if not 0 < radius_m < float("inf"):
         raise ValueError(f"radius_m must be a positive number, got {radius_m}")
     reach = float(radius_m) * (1 + 1e-9) + 1e-6
-    edge = 2.0 * reach
+    edge = reach
     axes = ("x", "y", "z")
 
-    def bins(prefix: str, shift: float) -> dict[str, Column]:
+    def bins(prefix: str) -> dict[str, Column]:
         # Never NULL, or Spark would compute every bin once more in a filter of its own.
-        return {
-            f"_b{a}": F.coalesce(F.floor((F.col(f"{prefix}{a}") + shift) / edge), F.lit(0))
-            for a in axes
-        }
+        return {f"_b{a}": F.coalesce(F.floor(F.col(f"{prefix}{a}") / edge), F.lit(0)) for a in axes}
 
     def lon_lat(prefix: str) -> dict[str, Column]:
         return {"x": F.col(f"{prefix}lon"), "y": F.col(f"{prefix}lat")}
@@ -239,29 +237,39 @@ def lights_within(
         xyz = ecef_axes(lon_lat(prefix))
         return placed.withColumns({f"{prefix}{a}": _real(xyz[a]) for a in axes})
 
-    # A search box is as wide as a bin: it touches two on each axis, the lower end's and the next.
+    # A ball is as wide as two bins: it reaches no further than the next one on either side.
     steps = F.array(
         *[
             F.struct(*[F.lit(step).cast("long").alias(axis) for axis, step in zip(axes, corner)])
-            for corner in product((0, 1), repeat=3)
+            for corner in product((-1, 0, 1), repeat=3)
         ]
     )
     keys = ["_bx", "_by", "_bz"]
 
     def spread(df: DataFrame) -> DataFrame:
-        """Rows of a bin go to the eight bins from it on."""
+        """Rows of a bin go to the 27 bins around it."""
         moved = df.withColumn("_step", F.explode(steps))
         return moved.withColumns({f"_b{a}": F.col(f"_b{a}") + F.col("_step")[a] for a in axes}).drop("_step")
 
-    near = stage(
-        located(centers, "_c").withColumns({"_k24": _real(curvature_24(lon_lat("_c"))), **bins("_c", -reach)}),
-        "center-bins",
-    )
+    def reached(moved: DataFrame) -> DataFrame:
+        """Bins that the ball around a center touches, and the ground within that ball."""
+        away = {a: F.col(f"_c{a}") - F.col(f"_b{a}") * edge for a in axes}  # from a bin's low corner
+        outside = {a: F.greatest(-away[a], away[a] - edge, F.lit(0.0)) for a in axes}
+        # The ground is the plane across the vertical, but for what the earth bends over two edges and a diagonal.
+        up = {a: F.col(f"_u{a}") for a in axes}
+        height = sum((up[a] * (edge / 2 - away[a]) for a in "yz"), up["x"] * (edge / 2 - away["x"]))
+        half = sum((F.abs(up[a]) for a in "yz"), F.abs(up["x"])) * (edge / 2)
+        bend = (4.0 * edge) ** 2 / LEAST_CURVE_M + 1e-6
+        square = sum((outside[a] * outside[a] for a in "yz"), outside["x"] * outside["x"])
+        return moved.where(square <= reach * reach * (1 + 1e-9) + 1e-6).where(F.abs(height) <= half + bend)
+
+    near = located(centers, "_c").withColumns({"_k24": _real(curvature_24(lon_lat("_c"))), **bins("_c")})
+    near = near.withColumns({f"_u{a}": _real(v) for a, v in vertical(lon_lat("_c")).items()})
     placed = located(lights.select(F.col("OBJECTID").cast("long").alias("streetlight_id"), "geometry"), "_l")
-    placed = stage(placed.drop("geometry").withColumns(bins("_l", 0.0)), "light-bins")
+    placed = placed.drop("geometry").withColumns(bins("_l"))
     near_counts = spread(key_counts(near, keys)).groupBy(*keys).agg(F.sum("n").alias("n"))
     joined = split_join(
-        spread(near),
+        reached(spread(near)).drop(*(f"_u{a}" for a in axes)),
         placed,
         keys,
         split_left=[c for c in CENTER_KEY if c in centers.columns] or centers.columns,

@@ -1,5 +1,7 @@
 import itertools
 import math
+import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -139,6 +141,54 @@ def best_area(points):
     return 0 if math.isinf(best) else best
 
 
+def test_rectangle_of_large_rings(spark):
+    def tilted(x, y):
+        return (0.8 * x - 0.6 * y, 0.6 * x + 0.8 * y)
+
+    def ellipse(n, a, b):
+        angles = [2 * math.pi * i / n for i in range(n)]
+        ring = [tilted(a * math.cos(t), b * math.sin(t)) for t in angles]
+        return [*ring, ring[0]]
+
+    # All vertices of an ellipse are on the hull; along its axes the box is least.
+    shapes = [(10_000, 5.0, 2.0), (1_000, 40.0, 39.0), (200, 3.0, 1.0)]
+    start = time.time()
+    rows = simplify_to_rectangle(polygons(spark, [(i, [ellipse(*s)]) for i, s in enumerate(shapes)]), 9).collect()
+    assert time.time() - start < 90
+    for row in rows:
+        n, a, b = shapes[row["OBJECTID"]]
+        ring = [tuple(p) for p in row["geometry"][0]]
+        assert area(ring) == pytest.approx(4 * a * b, rel=1e-4)
+    # Searched and scanned boxes are the same.
+    random_ = random.Random(3)
+    rings = []
+    for i in range(12):
+        points = [(random_.gauss(0, 30), random_.gauss(0, 10)) for _ in range(100)]
+        points += [(x / math.hypot(x, y) * 80, y / math.hypot(x, y) * (50 + i)) for x, y in points]
+        rings.append((i, [[*points, points[0]]]))
+    some = polygons(spark, rings)
+    searched = {r["OBJECTID"]: r["geometry"] for r in simplify_to_rectangle(some, 9).collect()}
+    for i, (ring,) in rings:
+        assert area([tuple(p) for p in searched[i][0]]) == pytest.approx(best_area(hull_of(ring)), rel=1e-9)
+
+
+def hull_of(points):
+    """Vertices of the convex hull."""
+    points = sorted(set(points))
+
+    def half(some):
+        chain = []
+        for p in some:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (
+                chain[-1][1] - chain[-2][1]
+            ) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        return chain[:-1]
+
+    return half(points) + half(points[::-1])
+
+
 def test_edges_of_rings_and_holes(spark):
     outer = [(0, 0), (9, 0), (9, 9), (0, 9), (0, 0)]
     hole = [(1, 1), (2, 1), (2, 2), (1, 1)]
