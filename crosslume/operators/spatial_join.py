@@ -32,24 +32,36 @@ from crosslume.functions.geometry import (
 from crosslume.operators.skew import HOT_ROWS, key_counts, split_join
 
 CELL_DEGREES = 0.001
+# Pairs a cell may hold before it is cut into smaller ones.
+CELL_PAIRS = 4096
 # What tells one center row from another.
 CENTER_KEY = ("crosswalk_id", "center_id", "street_segment_id")
 
 
-def _with_cells(df: DataFrame, ends: Sequence[str], cell: float) -> DataFrame:
-    """One row per grid cell a segment passes through, as gx and gy: O(length), not O(area).
+def _with_cells(
+    df: DataFrame,
+    ends: Sequence[str],
+    size: Column,
+    names: Sequence[str] = ("gx", "gy"),
+    within: Sequence[str] | None = None,
+) -> DataFrame:
+    """One row per grid cell a segment passes through, by number in ``names``: O(length), not O(area).
 
     ``ends`` names the columns x1, y1, x2, y2. Columns of cells are walked first, and the segment's
     y range inside each gives its cells. Ranges are padded so that rounding cannot lose a cell.
+    ``within`` names coarser cells that rows are in already, and have ``parts`` cells of this size on a side.
     """
     x1, y1, x2, y2 = (F.col(n) for n in ends)
-    pad = cell * 1e-4
+    pad = size * 1e-4
 
-    def cells(low: Column, high: Column) -> Column:
-        # Outer, as Spark would compute the array again to filter out empty ones; none is.
-        return F.explode_outer(
-            F.sequence(F.floor((low - pad) / cell), F.floor((high + pad) / cell))
-        )
+    def cells(low: Column, high: Column, axis: int) -> Column:
+        first, last = F.floor((low - pad) / size), F.floor((high + pad) / size)
+        if within is None:
+            # Outer, as Spark would compute the array again to filter out empty ones; none is.
+            return F.explode_outer(F.sequence(first, last))
+        first = F.greatest(first, F.col(within[axis]) * F.col("parts"))
+        last = F.least(last, F.col(within[axis]) * F.col("parts") + F.col("parts") - 1)
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
 
     bounded = df.withColumns(
         {
@@ -62,23 +74,46 @@ def _with_cells(df: DataFrame, ends: Sequence[str], cell: float) -> DataFrame:
     x0, xn, y0, yn = (F.col(n) for n in ("_x0", "_x1", "_y0", "_y1"))
     # Within a column the segment runs between its two clipped ends. A segment no wider than a
     # cell spans two columns at most, where its whole y range will do.
-    slope = F.when(xn - x0 > cell, (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
+    slope = F.when(xn - x0 > size, (y2 - y1) / F.nullif(x2 - x1, F.lit(0.0)))
 
     def y_at(x: Column) -> Column:
         inside = F.least(F.greatest(x, x0), xn)
         return F.least(F.greatest(y1 + (inside - x1) * F.col("_slope"), y0), yn)
 
+    gx, gy = names
     columns = (
         bounded.withColumn("_slope", slope)
-        .withColumn("gx", cells(x0, xn))
+        .withColumn(gx, cells(x0, xn, 0))
         .withColumns(
-            {"_ya": y_at(F.col("gx") * cell - pad), "_yb": y_at((F.col("gx") + 1) * cell + pad)}
+            {"_ya": y_at(F.col(gx) * size - pad), "_yb": y_at((F.col(gx) + 1) * size + pad)}
         )
     )
     wide = F.col("_slope").isNotNull()
     low = F.when(wide, F.least("_ya", "_yb")).otherwise(y0)
     high = F.when(wide, F.greatest("_ya", "_yb")).otherwise(yn)
-    return columns.withColumn("gy", cells(low, high)).select(*df.columns, "gx", "gy")
+    return columns.withColumn(gy, cells(low, high, 1)).select(*df.columns, gx, gy)
+
+
+def _dense_cells(left: DataFrame, right: DataFrame, cell: float, pairs: int) -> DataFrame:
+    """(gx, gy, parts) of cells with more than ``pairs`` pairs to test.
+
+    Such a cell is cut into ``parts`` x ``parts`` smaller ones, so many that about ``pairs`` are left in each, but none
+    smaller than the segments in it are on average: long ones would only be repeated. ``parts`` is a
+    power of two, so that smaller cells fit into the larger ones exactly.
+    """
+
+    def counted(df: DataFrame, ends: str, name: str) -> DataFrame:
+        (x1, y1), (x2, y2) = ((F.col(f"{end}x"), F.col(f"{end}y")) for end in ends)
+        extent = F.least(F.greatest(F.abs(x1 - x2), F.abs(y1 - y2)), F.lit(cell))
+        return df.groupBy("gx", "gy").agg(F.count(F.lit(1)).alias(name), F.sum(extent).alias(f"{name}_extent"))
+
+    both = counted(left, "ab", "l").join(counted(right, "cd", "r"), ["gx", "gy"])
+    tests = F.col("l") * F.col("r")
+    mean = (F.col("l_extent") + F.col("r_extent")) / (F.col("l") + F.col("r"))
+    wanted = F.ceil(F.log2(tests / F.lit(float(pairs))) / 2)
+    finest = F.floor(F.log2(F.lit(cell) / F.greatest(mean, F.lit(cell / (1 << 20)))))
+    parts = F.pow(F.lit(2.0), F.greatest(F.least(wanted, finest), F.lit(0))).cast("long")
+    return both.where(tests > pairs).select("gx", "gy", parts.alias("parts")).where("parts > 1")
 
 
 def _real(value: Column) -> Column:
@@ -114,30 +149,17 @@ class _Bound:
         return {name: F.col(f"_{name}") for name in values}
 
 
-def segment_hits(
+def segment_candidates(
     edges: DataFrame,
     streets: DataFrame,
     cell: float = CELL_DEGREES,
     *,
     hot_rows: int = HOT_ROWS,
+    cell_pairs: int = CELL_PAIRS,
 ) -> DataFrame:
-    """Intersections of crosswalk edges with street lines.
-
-    Both sides are cut into grid cells and joined on the cell. Of a pair that shares several cells, a
-    common point is kept only in its own cell, which both segments pass through, so none is missed
-    and none comes twice. The street's ``ONEWAY`` code and first vertex travel along: no
-    later step has to join the streets again. Pieces are numbered on through the parts of a street; pieces and
-    edges with a NULL vertex meet nothing.
-
-    Returns crosswalk_id, ring_id, edge_id, street_segment_id, piece_id, oneway, street_start, stretch, x, y;
-    two rows, with ``stretch`` TRUE, where an edge and a street piece share more than a point.
-    """
-    left = _with_cells(
-        edges.where((F.size("geometry") == 2) & _known(_vertex("geometry", 0), _vertex("geometry", 1))).select(
-            "crosswalk_id", "ring_id", "edge_id", *_end_columns(_vertex("geometry", 0), _vertex("geometry", 1), "ab")
-        ),
-        ("ax", "ay", "bx", "by"),
-        cell,
+    """Pairs of an edge and a street piece that share a cell, once for each shared cell (sx, sy of edge ``size``)."""
+    left = edges.where((F.size("geometry") == 2) & _known(_vertex("geometry", 0), _vertex("geometry", 1))).select(
+        "crosswalk_id", "ring_id", "edge_id", *_end_columns(_vertex("geometry", 0), _vertex("geometry", 1), "ab")
     )
     kind = kind_of(streets.schema["geometry"].dataType) or "line"
     first_line = F.col("geometry") if kind == "line" else F.get(parts_of(F.col("geometry"), kind, "lines"), F.lit(0))
@@ -157,16 +179,47 @@ def segment_hits(
             *_end_columns(F.col("piece.p"), F.col("piece.q"), "cd"),
         )
     )
-    right = _with_cells(pieces, ("cx", "cy", "dx", "dy"), cell)
-    candidates = split_join(
-        left,
-        right,
-        ["gx", "gy"],
+    ends = {"l": ("ax", "ay", "bx", "by"), "r": ("cx", "cy", "dx", "dy")}
+    left = _with_cells(left, ends["l"], F.lit(cell))
+    right = _with_cells(pieces, ends["r"], F.lit(cell))
+    dense = _dense_cells(left, right, cell, cell_pairs)
+
+    def finer(df: DataFrame, names: Sequence[str]) -> DataFrame:
+        known = df.join(dense, ["gx", "gy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        return _with_cells(known, names, F.lit(cell) / F.col("parts"), ("sx", "sy"), ("gx", "gy"))
+
+    joined = split_join(
+        finer(left, ends["l"]),
+        finer(right, ends["r"]).drop("parts"),
+        ["gx", "gy", "sx", "sy"],
         split_left=["crosswalk_id", "ring_id", "edge_id"],
         split_right=["street_segment_id", "piece_id"],
         hot_rows=hot_rows,
         hint="merge",
     )
+    return joined.withColumn("size", F.lit(cell) / F.col("parts")).drop("gx", "gy", "parts")
+
+
+def segment_hits(
+    edges: DataFrame,
+    streets: DataFrame,
+    cell: float = CELL_DEGREES,
+    *,
+    hot_rows: int = HOT_ROWS,
+    cell_pairs: int = CELL_PAIRS,
+) -> DataFrame:
+    """Intersections of crosswalk edges with street lines.
+
+    Both sides are cut into grid cells, crowded cells into smaller ones, and joined on the cell. Of a pair that
+    shares several cells, a common point is kept only in its own cell, which both segments pass through, so
+    none is missed and none comes twice. The street's ``ONEWAY`` code and first vertex travel along: no
+    later step has to join the streets again. Pieces are numbered on through the parts of a street; pieces and
+    edges with a NULL vertex meet nothing.
+
+    Returns crosswalk_id, ring_id, edge_id, street_segment_id, piece_id, oneway, street_start, stretch, x, y;
+    two rows, with ``stretch`` TRUE, where an edge and a street piece share more than a point.
+    """
+    candidates = segment_candidates(edges, streets, cell, hot_rows=hot_rows, cell_pairs=cell_pairs)
     ends = [{axis: F.col(f"{name}{axis}") for axis in "xy"} for name in "abcd"]
     joined = _Bound(candidates)
     turns = joined.bind(segment_turns(*ends))
@@ -179,8 +232,8 @@ def segment_hits(
         joined.df.withColumn("_points", points)
         .withColumn("_many", F.size("_points") > 1)
         .withColumn("spot", F.explode_outer("_points"))
-        .where(F.floor(spot["x"] / F.lit(cell)) == F.col("gx"))
-        .where(F.floor(spot["y"] / F.lit(cell)) == F.col("gy"))
+        .where(F.floor(spot["x"] / F.col("size")) == F.col("sx"))
+        .where(F.floor(spot["y"] / F.col("size")) == F.col("sy"))
         .select(
             "crosswalk_id",
             "ring_id",

@@ -17,6 +17,7 @@ from crosslume.operators import (
 )
 from crosslume.operators.centers import crossings
 from crosslume.operators.skew import piece_of
+from crosslume.operators.spatial_join import segment_candidates
 from crosslume.plans import fixtures
 from crosslume.sources import stage
 
@@ -222,3 +223,29 @@ def test_lights_within_a_thousand_kilometres(spark):
     want = {(i, j) for i, p in ours for j, q in theirs if vincenty(*p, *q) <= 1e6}
     got = lights_within(lights(spark, ours), lights(spark, theirs), 1e6)
     assert {(r["OBJECTID"], r["streetlight_id"]) for r in got.collect()} == want and len(want) > 50
+
+
+def test_crowded_cells_are_cut_finer(spark):
+    rng = random.Random(2)
+
+    def short(n):
+        """Segments of a twentieth of a cell, all in one cell."""
+        some = []
+        for i in range(n):
+            x, y, turn = rng.uniform(5e-5, 9.5e-4), rng.uniform(5e-5, 9.5e-4), rng.uniform(0, 6.28)
+            some.append((i, [(x, y), (x + 4e-5 * math.cos(turn), y + 4e-5 * math.sin(turn))]))
+        return some
+
+    ratio = []
+    for n in (400, 1600):
+        ours, theirs = short(n), short(n)
+        sides = edges(spark, [(i, 1, line) for i, line in ours]), streets(spark, [(j, None, line) for j, line in theirs])
+        candidates = segment_candidates(*sides, cell_pairs=64).count()
+        ratio.append(candidates / (n * n))
+        found = {(r["crosswalk_id"], r["street_segment_id"]) for r in segment_hits(*sides, cell_pairs=64).collect()}
+        plain = segment_hits(*sides, cell_pairs=1 << 60)
+        assert rows_of(plain, "crosswalk_id", "street_segment_id", "x", "y") == rows_of(
+            segment_hits(*sides, cell_pairs=64), "crosswalk_id", "street_segment_id", "x", "y"
+        )
+        assert found == {(r["crosswalk_id"], r["street_segment_id"]) for r in plain.collect()} and len(found) > 50
+    assert ratio[1] < 0.05 and ratio[1] <= 1.2 * ratio[0]
