@@ -166,7 +166,9 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
     """Write each shard to a file of ``folder`` (a URI or path all executors reach); returns shard, file, bytes, written.
 
     Files are written under another name and moved, so a file that is there is complete; it is kept if
-    its size is right. A lost task or a second call thus only writes what is missing.
+    its size and crc32 are those of the shard. A lost task or a second call thus only writes what is missing, and
+    files of another order (another key, or documents that were split over tasks in another way) are
+    replaced, never mixed with new ones.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +178,20 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
 
         system, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
         system.create_dir(root, recursive=True)
+
+        def same(name: str, size: int, crc: int) -> bool:
+            if system.get_file_info(name).size != size:
+                return False
+            found = 0
+            with system.open_input_stream(name) as held:
+                while part := held.read(1 << 22):
+                    found = zlib.crc32(part, found)
+            return found == crc
+
         for batch in batches:
-            for shard, data in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist()):
+            for shard, crc, data in zip(*(batch.column(c).to_pylist() for c in ("shard", "crc32", "data"))):
                 name = f"{root}/shard-{shard:010d}.bin"
-                done = system.get_file_info(name).size == len(data)
+                done = same(name, len(data), crc)
                 if not done:
                     part = f"{name}.{uuid.uuid4().hex}"
                     with system.open_output_stream(part) as out:
@@ -194,7 +206,7 @@ def write_shards(shards: DataFrame, folder: str) -> DataFrame:
                     }
                 )
 
-    return shards.select("shard", "data").mapInArrow(run, "shard long, file string, bytes long, written boolean")
+    return shards.select("shard", "crc32", "data").mapInArrow(run, "shard long, file string, bytes long, written boolean")
 
 
 def read_slot(shard: bytes, slot: int, first_slot: int, stride: int, length: int) -> np.ndarray:

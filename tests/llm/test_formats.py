@@ -109,6 +109,12 @@ def test_training_order_holds_every_sequence(spark, tmp_path):
     again = training_order.write_shards(shards, folder).collect()
     assert [r["shard"] for r in again if r["written"]] == [1]
     assert (tmp_path / "out" / "shard-0000000001.bin").read_bytes() == bytes(rows[1]["data"])
+    # Shards of another order replace those that are there, whatever their size.
+    moved = training_order.training_order(some, key=21, length=200, records=64)
+    assert all(r["written"] for r in training_order.write_shards(moved, folder).collect())
+    for r in moved.collect():
+        with open(f"{folder}/shard-{r['shard']:010d}.bin", "rb") as held:
+            assert held.read() == r["data"]
     assert training_order.training_order(docs(spark, [])).count() == 0
 
 
