@@ -209,8 +209,26 @@ def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def spanning(linked: np.ndarray) -> np.ndarray:
+    """Links (row, column) that connect all that the links of a matrix connect, no more than it has rows and columns."""
+    free = [np.ones(n, bool) for n in linked.shape]
+    both, out = (linked, linked.T), []
+    for start in np.flatnonzero(linked.any(1)).tolist():
+        if not free[0][start]:
+            continue
+        free[0][start] = False
+        todo = [(0, start)]
+        while todo:
+            side, i = todo.pop()
+            found = np.flatnonzero(both[side][i] & free[1 - side]).tolist()
+            free[1 - side][found] = False
+            todo += [(1 - side, j) for j in found]
+            out += [(j, i) if side else (i, j) for j in found]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
 def _compare(size: int, percent: int):
-    """Links between the two sides of a block, where labels differ."""
+    """Links between the two sides of a block, where labels differ: as many as connect what all of them connect."""
 
     def run(table: pa.Table) -> pa.Table:
         side = np.asarray(table.column("side"))
@@ -223,7 +241,7 @@ def _compare(size: int, percent: int):
             common = common_counts(*([values[first[i] : first[i + 1]] for i in x] for x in (rows, columns)))
             union = n[rows][:, None] + n[columns][None, :] - common
             linked = (100 * common >= percent * union) & (label[rows][:, None] != label[columns][None, :])
-            x, y = np.nonzero(linked)
+            x, y = spanning(linked).T
             pairs = np.sort(np.stack([ids[rows[x]], ids[columns[y]]], axis=1), axis=1)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
@@ -257,7 +275,8 @@ def _labels(ids: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _block_links(groups: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between members (pivot, id, label) of a pivot that differ in label."""
+    """Links between members (pivot, id, label) of a pivot that differ in label; all pairs are compared, and of the
+    links of a block those are returned that connect its members."""
     rows = groups.join(sketches.select("id", "n"), "id")
     parts = rows.groupBy("pivot", "label").agg(F.sum("n").alias("n"))
     main = parts.groupBy("pivot").agg(

@@ -286,6 +286,28 @@ def test_common_counts():
     assert (got == np.array(want)).all()
 
 
+def test_spanning_links_connect_the_same():
+    random_ = np.random.default_rng(4)
+    for share in (0.0, 0.02, 0.1, 1.0):
+        linked = random_.random((30, 40)) < share
+        chosen = setsketch.spanning(linked)
+        assert len(chosen) <= 70 and all(linked[i, j] for i, j in chosen)
+
+        def parts(pairs):
+            root = list(range(70))
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for i, j in pairs:
+                root[find(i)] = find(30 + j)
+            return {frozenset(k for k in range(70) if find(k) == r) for r in map(find, range(70))}
+
+        assert parts(chosen) == parts(zip(*np.nonzero(linked)))
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
