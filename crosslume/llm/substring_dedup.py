@@ -35,6 +35,7 @@ SHARD = 16_000  # segments of a shard, on average
 HOT = 50_000
 
 #: Tells rows apart: the id and two hashes of the text. Rows that agree in all hold the same words.
+SLICE = 1 << 19  # bytes of text looked at together
 _ROW = ["id", "text_key", "text_key2"]
 _ROW_TYPES = "id long, text_key long, text_key2 long"
 
@@ -78,7 +79,7 @@ def _segments(words, window: int):
 
 def _places(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             words = find_words(*buffers(batch.column("text")), NOT_SPACE)
             first, count, key, content, owner, twice = _segments(words, window)
             rows = pa.array(owner)
@@ -100,7 +101,7 @@ def _cut(window: int):
     """Texts of the asked places; those of hot keys in single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             words = find_words(*buffers(batch.column("text")), NOT_SPACE)
             rows = []
             for first, last, asked in zip(words.first.tolist(), words.first[1:].tolist(), batch.column("asked").to_pylist()):
@@ -206,7 +207,7 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, hot: int = HOT) ->
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE):
         words = find_words(*buffers(batch.column("text")), NOT_SPACE)
         marks = np.zeros(len(words.starts) + 1, np.int64)
         for first, last, spans in zip(words.first.tolist(), words.first[1:].tolist(), batch.column("_repeat_spans").to_pylist()):
