@@ -249,3 +249,21 @@ def test_crowded_cells_are_cut_finer(spark):
         )
         assert found == {(r["crosswalk_id"], r["street_segment_id"]) for r in plain.collect()} and len(found) > 50
     assert ratio[1] < 0.05 and ratio[1] <= 1.2 * ratio[0]
+
+
+def test_counts_of_cells_stay_off_the_driver(spark):
+    """However small the files look: one row may make a hundred cells."""
+    found = segment_hits(decompose_edges(fixtures.crosswalks(spark, SF)), fixtures.street_segments(spark, SF))
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    counted = [line for line in plan if "Join" in line and line.count("gx#") >= 2 and "sx#" not in line]
+    assert any("SortMergeJoin" in line and "Inner" in line for line in counted)
+    assert not any("BroadcastHashJoin" in line and "Inner" in line for line in counted)
+
+
+def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
+    """A file of one row group is read by one task, but geometry is made by all."""
+    spark.range(1000).selectExpr("id AS p_partkey", "CAST(id % 50 AS INT) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = fixtures.crosswalks(spark, str(tmp_path))
+    rows = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) >= spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in rows) == 1000 == made.select("OBJECTID").distinct().count()
