@@ -228,3 +228,11 @@ def test_segment_crossing(spark, segments, want):
     points = [G.point(F.lit(float(x)), F.lit(float(y))) for x, y in segments]
     got = spark.range(1).select(G.segment_crossing(*points)).first()[0]
     assert (None if got is None else [tuple(p) for p in got]) == want
+
+
+def test_text_is_parsed_once(spark):
+    """However often the parser refers to it, or Spark to what is parsed."""
+    df = spark.createDataFrame([("POINT (1 2)",)], "text string")
+    for kind in G.KINDS:
+        expression = df.select(G.from_wkt(F.col("text"), kind).alias("g"))._jdf.queryExecution().analyzed().toString()
+        assert expression.split("\n")[0].count("text#") == 1
