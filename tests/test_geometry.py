@@ -236,3 +236,20 @@ def test_text_is_parsed_once(spark):
     for kind in G.KINDS:
         expression = df.select(G.from_wkt(F.col("text"), kind).alias("g"))._jdf.queryExecution().analyzed().toString()
         assert expression.split("\n")[0].count("text#") == 1
+
+
+def test_text_of_coordinates_does_not_depend_on_how_it_is_made(spark):
+    """Casts to decimal, outside of lambdas, write what the format does, which still serves odd numbers."""
+    odd = [0.0, -0.0, 1e-5, -1e-5, 9.99e-6, -3e-10, 5e-10, 1e8, 999999999.9999999, 1e9, -1e19, 1e300]
+    odd += [float("nan"), float("inf"), float("-inf"), None]
+    odd += [0.1234567895, -0.1234567885, 2.5e-5, 71.0000000005, -71.0600000015, 42.3601234567891]
+    values = odd + [(-1) ** i * 1.7**i * 1.0000000005e-5 for i in range(60)]
+    rows = [(x, y) for x, y in zip(values, values[1:] + values[:1])]
+    frame = spark.createDataFrame(rows, "x double, y double").withColumn("p", G.point(F.col("x"), F.col("y")))
+    frame = frame.withColumn("line", F.array("p", G.point(F.col("y"), F.col("x"))))
+    got = frame.select(G.to_wkt(F.col("p")), G.to_wkt(F.col("line"), "line"), F.format_string("%.9f %.9f", "x", "y"), F.format_string("%.9f %.9f", "y", "x"))
+    for text, line, forth, back in got.collect():
+        assert text == f"POINT ({forth})" and line == f"LINESTRING ({forth}, {back})"
+    assert "decimal(19,9)" in got._jdf.queryExecution().optimizedPlan().toString()
+    gap = frame.limit(1).select(G.to_wkt(F.array(F.lit(None).cast("struct<x:double,y:double>"), G.point(F.lit(1), F.lit(2))), "line"))
+    assert gap.first()[0] == "LINESTRING (null null, 1.000000000 2.000000000)"
