@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from shapes import edges, largest_method, lights, polygons, rows_of, square, streets
 
+from crosslume.operators import lighting
 from crosslume.operators import (
     brightness,
     classify_edges,
@@ -360,3 +361,19 @@ def test_generated_methods_are_small_enough_to_compile(spark):
         assert max(largest_method(spark, df) for df in frames) < 8000
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_pairs_of_centers_take_one_join_where_none_is_crowded(spark, monkeypatch):
+    rows = [(1, "A", 7), (1, "B", 7), (2, "A", None), (3, None, 7)]
+    centers = spark.createDataFrame(rows, "crosswalk_id long, center_id string, street_segment_id long")
+    near = [(1, "A", 7, n, float(n)) for n in range(40)] + [(2, "A", None, 1, 1.0), (3, None, 7, 1, 1.0)]
+    pairs = spark.createDataFrame(near, "crosswalk_id long, center_id string, street_segment_id long, streetlight_id long, dist float")
+    plain = lighting.center_light_pairs(centers, pairs)
+    assert "Union" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    lists = lighting.light_lists(centers, pairs)
+    assert "Window" not in lists._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted(map(str, plain.collect()))
+    assert len(found) == 43
+    monkeypatch.setattr(lighting, "crowded_keys", lambda *given: True)
+    assert sorted(map(str, lighting.center_light_pairs(centers, pairs).collect())) == found
+    assert sorted(map(str, lighting.light_lists(centers, pairs).collect())) == sorted(map(str, lists.collect()))

@@ -16,7 +16,8 @@ from crosslume.operators import (
     split_join,
 )
 from crosslume.operators.centers import crossings
-from crosslume.operators.skew import piece_of
+from crosslume.operators import spatial_join
+from crosslume.operators.skew import crowded_keys, piece_of
 from crosslume.operators.spatial_join import segment_candidates
 from crosslume.plans import fixtures
 from crosslume.sources import stage
@@ -267,3 +268,54 @@ def test_small_tables_are_dealt_to_all_cores(spark, tmp_path):
     rows = made.groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) >= spark.sparkContext.defaultParallelism
     assert sum(r["count"] for r in rows) == 1000 == made.select("OBJECTID").distinct().count()
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_keys_are_counted_one_by_one_only_where_some_may_be_hot(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    assert crowded_keys(rows, ["k"], 10_100) is None
+    assert [(r["k"], r["ways"]) for r in crowded_keys(rows, ["k"], 10_000).collect()] == [(1, 2)]
+    # More full shares than are listed.
+    many = crowded_keys(rows.select((F.col("id") % 3000).alias("k")), ["k"], 9).collect()
+    assert len(many) == 3000 and {r["ways"] for r in many} == {2}
+
+
+def test_sides_without_crowded_keys_are_shuffled_once(spark):
+    parts = stage(decompose_edges(fixtures.crosswalks(spark, SF)), "parts")
+    roads = stage(fixtures.street_segments(spark, SF), "roads")
+    spots = stage(fixtures.streetlights(spark, SF), "spots")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert shuffles(segment_candidates(parts, roads)) == 2
+        assert shuffles(lights_within(spots, spots, 20)) == 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_cells_of_both_sides_are_merged_to_find_crowded_ones(spark, monkeypatch):
+    """Their counts are staged before the join of the segments, and never broadcast."""
+    seen = {}
+
+    def kept(df, name):
+        seen[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return stage(df, name)
+
+    monkeypatch.setattr(spatial_join, "stage", kept)
+    segment_candidates(decompose_edges(fixtures.crosswalks(spark, SF)), fixtures.street_segments(spark, SF))
+    assert "SortMergeJoin" in seen["cells"] and "BroadcastHashJoin" not in seen["cells"]
+
+
+@pytest.mark.parametrize("radius", [0.5, 20.0, 3000.0])
+def test_a_center_goes_to_eight_bins_at_most(spark, radius):
+    """Points on a line that crosses many bins, at distances just below and above the radius."""
+    step = radius / 111_000 / 2
+    ours = [(i, (25.0 + i * step, 60.0 + i * step)) for i in range(60)]
+    want = sorted((i, j) for i, p in ours for j, q in ours if vincenty(*p, *q) <= radius)
+    got = lights_within(lights(spark, ours), lights(spark, ours), radius)
+    assert rows_of(got, "OBJECTID", "streetlight_id") == want
+    step_rows = got._jdf.queryExecution().optimizedPlan().toString()
+    assert step_rows.count("[1,1,1]") == 1 and "[-1," not in step_rows
