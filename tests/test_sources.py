@@ -401,3 +401,10 @@ def test_results_appear_together(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert counts() == [3, 3, 3] and set(os.listdir(folder)) - {"other.txt"} == {"a", "b", "c"}
     assert (tmp_path / "out" / "other.txt").read_text() == "stays"
+
+
+def test_what_is_staged_is_not_staged_again(spark):
+    once = stage(spark.range(3), "once")
+    assert stage(once, "twice") is once
+    some = once.where("id > 0")
+    assert stage(some, "some") is not some and stage(some, "some").count() == 2
