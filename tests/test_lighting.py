@@ -377,3 +377,40 @@ def test_pairs_of_centers_take_one_join_where_none_is_crowded(spark, monkeypatch
     monkeypatch.setattr(lighting, "crowded_keys", lambda *given: True)
     assert sorted(map(str, lighting.center_light_pairs(centers, pairs).collect())) == found
     assert sorted(map(str, lighting.light_lists(centers, pairs).collect())) == sorted(map(str, lists.collect()))
+
+
+def shuffles(df):
+    """Exchanges of the initial plan, each once."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_hits_of_a_crosswalk_are_gathered_once(spark):
+    box = square(0.0, 0.0, 5e-5, 5e-5)
+    parts = stage(decompose_edges(polygons(spark, [(i, [box]) for i in range(3)])), "edges")
+    roads = streets(spark, [(7, "FT", [(0.0, -1e-4), (0.0, 1e-4)]), (9, None, [(2e-5, -1e-4), (2e-5, 1e-4)])])
+    hits = stage(segment_hits(parts, roads), "hits")
+    segments = classify_edges(parts, hits.repartition("crosswalk_id"))
+    # Edges and hits for the class of the crosswalk, and hits for the points: nothing is shuffled a second time.
+    assert shuffles(twoway_centers(segments, hits)) <= 3
+    assert shuffles(oneway_centers(segments, hits)) <= 3
+    # A crosswalk with too many hits is not gathered, and gives the same.
+    key = ["crosswalk_id", "center_id", "street_segment_id", "geometry", "ped_edge_geom"]
+    want = rows_of(oneway_centers(segments, hits), *key)
+    assert len(want) == 6 and rows_of(oneway_centers(segments, hits, hot_rows=2), *key) == want
+
+
+def test_axes_stay_off_the_driver(spark):
+    centers, _, _, _ = scored(spark)
+    assert "BroadcastHashJoin" not in with_axes(centers)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lights_of_lists_are_counted_in_the_pairs(spark):
+    centers, pairs, _, _ = scored(spark)
+    pairs = stage(pairs, "pairs")
+    lists, key = light_lists(centers, pairs), ["crosswalk_id", "center_id", "streetlight_id", "dist", "light"]
+    again = explode_lights(lists, lights(spark, SPOTS), pairs)
+    assert rows_of(again, *key) == rows_of(explode_lights(lists, lights(spark, SPOTS)), *key)
+    # Two joins: the lists to the centers, and the points to the lists. None is for a list of hot keys.
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join ") == 2
