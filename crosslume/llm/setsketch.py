@@ -36,6 +36,7 @@ M = BANDS * ROWS
 BASE, RATE = 1.09, 20.0
 MARGIN = 0.15
 BLOCK = 200_000  # shingles of one side of a block
+SLICE = 1 << 19  # bytes of text looked at together
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,7 @@ def similarity(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndar
 
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             values, first = shingle_sets(batch.column("text"), size)
             n = np.diff(first)
             sums = np.zeros((2, len(values) + 1), np.uint64)
@@ -177,8 +178,8 @@ def _confirm(size: int, percent: int):
     """Keeps pairs whose full shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for outer in slices(batches, "a_text"):
-            for batch in slices([outer], "b_text"):
+        for outer in slices(batches, "a_text", SLICE):
+            for batch in slices([outer], "b_text", SLICE):
                 pivots, pivot = np.unique(np.asarray(batch.column("a")), return_index=True)
                 left, la = shingle_sets(batch.column("a_text").take(pa.array(pivot)), size)
                 right, ra = shingle_sets(batch.column("b_text"), size)

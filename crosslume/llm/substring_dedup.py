@@ -31,7 +31,7 @@ from crosslume.sources.staging import stage
 WINDOW = 35
 GRAM = 8
 RUN = 32  # windows of a segment at most
-SHARD = 16_000  # segments of a shard, on average
+SHARD = 4_000  # segments of a shard, on average; its index is what takes most memory here
 HOT = 50_000
 
 #: Tells rows apart: the id and two hashes of the text. Rows that agree in all hold the same words.

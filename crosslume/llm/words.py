@@ -6,6 +6,7 @@ one slice (``SLICE_BYTES`` of text, or one longer document), whatever its partit
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -65,6 +66,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give free memory back to the system: workers are kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that numpy allocates from
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in pieces whose texts have ``limit`` bytes, or that are one row."""
     for batch in batches:
@@ -76,7 +85,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
-    pa.default_memory_pool().release_unused()  # workers are kept for other tasks
+        del batch
+        release()
 
 
 def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Words:
@@ -97,7 +107,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> Wor
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        n = max(n, SLICE_BYTES + (1 << 16))
+        n += n // 8  # the next slice may be a little longer
         _powers[:] = [np.full(n, base, np.uint64) for base in (_BASE, _INVERSE)]
         for table in _powers:
             table[0] = 1

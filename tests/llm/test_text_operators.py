@@ -331,3 +331,30 @@ def test_sets_of_shingles_fit_the_definition():
     values, first = setsketch.shingle_sets(column, 2)
     assert np.diff(first).tolist() == [2, 1, 0, 1] and values[first[3]] in values[: first[1]]
     assert words("a b c") == ["a b", "c"] and sha("") == sha("")
+
+
+def test_powers_are_kept_for_the_longest_slice_only(monkeypatch):
+    from crosslume.llm import words as texts
+
+    monkeypatch.setattr(texts, "_powers", [])
+    rows = pa.RecordBatch.from_arrays([pa.array(["one two three"] * 2000)], ["text"])
+    hashes = []
+    for batch in texts.slices(iter([rows]), "text", 1 << 12):
+        hashes += texts.word_hashes(texts.find_words(*texts.buffers(batch.column("text")), texts.NOT_SPACE)).tolist()
+    assert len(hashes) == 6000 and len(set(hashes)) == 3
+    assert sum(x.nbytes for x in texts._powers) < 1 << 18
+
+
+def test_the_index_of_a_shard_takes_little_memory():
+    import tracemalloc
+
+    draw, n = np.random.default_rng(3), substring_dedup.SHARD
+    half = [" ".join(f"w{i}" for i in draw.integers(0, 5000, 45)) for _ in range(n // 2)]
+    numbers = pa.array(range(n), pa.int64())
+    shard = pa.table({"key": numbers, "content": numbers, "weight": pa.array([1] * n, pa.int64()), "text": half + half})
+    tracemalloc.start()
+    try:
+        found = substring_dedup._index(35)(shard)
+        assert found.num_rows == n and tracemalloc.get_traced_memory()[1] < 128 << 20
+    finally:
+        tracemalloc.stop()
