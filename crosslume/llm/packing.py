@@ -27,6 +27,7 @@ from crosslume.sources.staging import stage
 CAPACITY = 2048
 BLOCK = 4096
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
+SLICE = 1 << 18  # bytes of text looked at together
 FULL = 0.98  # a well-filled bin
 
 
@@ -67,7 +68,7 @@ def cut(path: str, column: pa.Array, capacity: int, end: int) -> Cut:
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = cut(path, batch.column("text"), capacity, end)
             raw = found.raw()
             columns = {

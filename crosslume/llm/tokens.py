@@ -12,7 +12,7 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 
-from crosslume.llm.words import buffers, mix, span_hashes
+from crosslume.llm.words import buffers, mix, release, span_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -165,7 +165,7 @@ def forget_pieces() -> None:
     """To be called at the end of a task: workers are kept for others."""
     for known in _encoders.values():
         known.forget()
-    pa.default_memory_pool().release_unused()
+    release()
 
 
 def encoder(path: str) -> Encoder:

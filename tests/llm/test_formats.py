@@ -65,6 +65,25 @@ def test_packing_of_no_rows_and_equal_rows(spark):
     assert sorted(r["offset"] for r in rows)[0] == 0
 
 
+def test_pieces_come_from_small_slices(monkeypatch):
+    texts = [f"a line of text {i}" * 400 for i in range(400)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(400)), "text": pa.array(texts)})
+    whole, sizes = packing.cut, []
+
+    def cut(path, column, *rest):
+        sizes.append(sum(len(x.as_py()) for x in column))
+        return whole(path, column, *rest)
+
+    monkeypatch.setattr(packing, "cut", cut)
+    path = packing.tokenizer_path()
+    found = pa.Table.from_batches(packing._pieces(path, 2048, 0, False)(iter([batch])))
+    # A worker's memory is that of one slice.
+    assert sum(sizes) > 2 << 20 and max(sizes) <= 1 << 18
+    own = whole(path, batch.column("text"), 2048, 0)
+    assert found.column("length").to_pylist() == own.length.tolist()
+    assert found.column("ids_crc32").to_pylist() == [zlib.crc32(x) for x in own.raw()]
+
+
 def test_children_are_packings():
     rng = np.random.default_rng(5)
     sizes = rng.integers(1, 1500, 400)
