@@ -164,6 +164,25 @@ def test_vertices_inside_an_overlap_do_not_count(spark):
         assert (got["n"], got["sum_x"], got["sum_y"]) == (2, 0, -200_000)
 
 
+def test_only_streets_along_edges_are_counted_by_piece(spark):
+    box = decompose_edges(polygons(spark, [(1, [square(0.0, 0.0, 1e-4, 1e-4)]), (2, [square(5e-3, 0.0, 1e-4, 1e-4)])]))
+    across = (6, None, [(-3e-4, 0.0), (0.0, 0.0), (6e-3, 0.0)])
+    nameless = (None, None, [(5e-3, -3e-4), (5e-3, 3e-4)])
+    along = (5, None, [(-3e-4, -1e-4), (2e-5, -1e-4), (3e-4, -1e-4)])
+    again = (None, None, [(-3e-4, 1e-4), (-2e-5, 1e-4), (3e-4, 1e-4)])
+
+    def found(*lines):
+        rows = crossings(stage(segment_hits(box, streets(spark, lines)), "hits")).collect()
+        return {(r["crosswalk_id"], r["street_segment_id"]): (r["n"], r["sum_x"], r["sum_y"]) for r in rows}
+
+    want = {(1, 6): (2, 0, 0), (2, 6): (2, 10_000_000, 0), (2, None): (2, 10_000_000, 0)}
+    assert found(across, nameless) == want
+    # A vertex inside a stretch goes, also where the street has no id.
+    assert found(across, nameless, along, again) == {**want, (1, 5): (2, 0, -200_000), (1, None): (2, 0, 200_000)}
+    plain = crossings(stage(segment_hits(box, streets(spark, [across, nameless])), "hits"))
+    assert plain._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
 def scans(df):
     """Files that the static plan reads, by the name they were staged under."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
